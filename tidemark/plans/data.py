@@ -164,7 +164,7 @@ M15 = "w AS (SELECT last_day(date) AS month_end, arg_max(discount, date) AS disc
 add("m2_m15_macro_pipeline", lambda s, d: align.asof(bars(s, d).select("ticker", "date"), align.month_end(macro_monthly(s, d), ["discount", "tax"]), ["discount", "tax"], right_on="month_end"), ["ticker", "date"], ["discount", "tax"], M15)
 
 # transforms that look back only
-on_bars("r1_imputer", lambda b: transforms.impute(holes(b), ["a", "b"], 1), [], ["a", "b"], f"{HOLES}\n====\nSELECT ticker, date, coalesce(a, {past('avg', 'a')}) AS a, coalesce(b, {past('avg', 'b')}) AS b FROM h", 3)
+on_bars("r1_imputer", lambda b: transforms.impute(holes(b).withColumns({"a": F.ln("a"), "b": F.ln("b")}), ["a", "b"], 1), [], ["a", "b"], f"{HOLES}, l AS (SELECT ticker, date, ln(a) AS a, ln(b) AS b FROM h)\n====\nSELECT ticker, date, coalesce(a, {past('avg', 'a')}) AS a, coalesce(b, {past('avg', 'b')}) AS b FROM l")
 
 
 def std_sql(c: str, least: int, sigmas: float) -> str:

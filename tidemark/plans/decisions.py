@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.exprs import ahead, pct as spark_pct, roll as spark_roll
 from ..operators import align, labels, learning, price, quality, simulation
 from ..sources.views import table
+from ..streaming import streams
 from .catalog import SQL, W, add, lag, on_bars, pct, roll
 
 FWD5 = f"f AS (SELECT ticker, date, close, lead(close, 5) OVER ({W}) / nullif(close, 0) - 1 AS fwd FROM bars)"
@@ -105,11 +106,12 @@ on_bars("e16_auc", lambda b: quality.auc(events(b).where("ret is not null").with
 
 # simulations
 def signals(b: DataFrame) -> DataFrame:
-    return events(b).withColumn("signal", F.when(F.col("proba") >= 0.75, 1.0).when(F.col("proba") <= 0.45, -1.0).otherwise(0.0))
+    """Events with signals, at prices that move by a few percent a day."""
+    tame = {c: 1000 + F.col(c) / 10000 for c in ("open", "low", "close")}
+    return events(b).withColumns(tame).withColumn("signal", F.when(F.col("proba") >= 0.75, 1.0).when(F.col("proba") <= 0.45, -1.0).otherwise(0.0))
 
 
-on_bars("e3_single_pass", lambda b: simulation.simulate(signals(b)), ["shares", "buys", "sells"], ["balance"], None, 4)
-ACCOUNT = f"""RECURSIVE r AS (SELECT *, {pct('close')} AS r FROM bars), z AS (SELECT ticker, date, close, row_number() OVER ({W}) AS n, CASE WHEN {PROBA} >= 0.75 THEN 1 WHEN {PROBA} <= 0.45 THEN -1 ELSE 0 END AS s FROM r),
+ACCOUNT = f"""RECURSIVE r AS (SELECT *, {pct('close')} AS r FROM bars), z AS (SELECT ticker, date, 1000 + close / 10000 AS close, row_number() OVER ({W}) AS n, CASE WHEN {PROBA} >= 0.75 THEN 1 WHEN {PROBA} <= 0.45 THEN -1 ELSE 0 END AS s FROM r),
   f AS (SELECT ticker, date, n, close,
       CASE WHEN s > 0 THEN CAST(floor(1e7 / (close * 1.001)) AS BIGINT) ELSE 0 END AS shares,
       CASE WHEN s > 0 THEN 1e7 - floor(1e7 / (close * 1.001)) * close - floor(1e7 / (close * 1.001)) * close * 0.001 ELSE 1e7 END::DOUBLE AS cash,
@@ -150,3 +152,13 @@ on_bars("e17_linear", lambda b: learning.linear(samples(b).where("date < '1999-0
 # events as bars
 add("a1_event_bars", lambda s, d: align.window_bars(table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")), ["ticker", "start", "n"], ["high", "low", "total"], "\n====\nSELECT event_type AS ticker, CAST(date_trunc('hour', ts) AS TIMESTAMPTZ) AS start, count(*) AS n, max(value) AS high, min(value) AS low, sum(value) AS total FROM events GROUP BY 1, 2", 4)
 SQL["a1_event_bars"] = SQL["a1_event_bars"].replace("CAST(date_trunc('hour', ts) AS TIMESTAMPTZ)", "date_trunc('hour', ts)")
+
+
+def _stream(f):
+    return lambda s, d: streams.run_to_table(f(streams.read_events(s, streams.staged(table(s, d, "events")), 10)))
+
+
+CLOSED = "\n====\nSELECT event_type AS ticker, date_trunc('hour', ts) AS start, count(*) AS n, max(value) AS high, min(value) AS low, sum(value) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('hour', any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"
+add("stream_event_bars", _stream(streams.stream_bars), ["ticker", "start", "n"], ["high", "low", "total"], CLOSED, 4)
+EMA = f"e AS (SELECT event_type, ts, value, list_reduce(list(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), lambda y, x: {1 - 2 / 13!r} * y + {2 / 13!r} * x) AS ema FROM events)\n====\nSELECT * FROM e"
+add("stream_averages", _stream(streams.stream_averages), ["event_type", "ts"], ["value", "ema"], EMA)

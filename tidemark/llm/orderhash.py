@@ -2,7 +2,7 @@
 
 A text's words (runs without white space, in pieces of at most ``PIECE``
 characters) form k-mers of ``K`` words.  Each k-mer is numbered by occurrence,
-and k-mer and number are hashed together, once: the low bits of the hash
+and k-mer and number are hashed together, once: the high bits of the hash
 choose one of ``SKETCHES`` sketches and the hash itself ranks the k-mers of a
 sketch (one permutation, cut into as many parts as there are sketches).  Every
 sketch takes its ``TUPLE`` smallest, puts them back in text order and hashes
@@ -12,12 +12,15 @@ its set of words would not change.
 The likeness of two fingerprints is the share of equal sketches among those
 that either has; two fingerprints without any are alike.
 
-All is done with DataFrame functions.  Texts are shuffled once, by a range of
-doc_id; from there on everything stays in its task.
+All is done with DataFrame functions, on one array of longs per text: a hash
+in the high 40 bits and a place in the low 24, so that one sort brings equal
+k-mers together in text order.  Texts are shuffled once, by a range of doc_id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import table
@@ -26,40 +29,76 @@ from .ordering import ranges
 K, PIECE, SKETCHES, TUPLE = 3, 16, 32, 2
 #: A sketch without k-mers, and the digits of one with some.
 NONE, DIGITS = "-" * 8, 8
+#: Bits of a place in a text (places beyond them start again), and those of a hash that choose its sketch.
+PLACE, CHOICE = 24, 5
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _with_place(h: Column, i: Column) -> Column:
+    return F.shiftleft(F.shiftright(h, PLACE), PLACE).bitwiseOR(i.cast("long").bitwiseAND(F.lit((1 << PLACE) - 1)))
 
 
 def kmers(text: Column) -> Column:
-    """The hashes of the k-mers of a text, in text order; of all its words if they are fewer than ``K``."""
+    """The hashes of a text's k-mers with their places, ascending; of all its words if they are fewer than ``K``."""
     words = F.regexp_extract_all(text, F.lit(rf"(\S{{1,{PIECE}}})"), F.lit(1))
 
     def hashed(w: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(K)]))
-        return F.when(F.size(w) >= K, each).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
+        each = F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: _with_place(F.xxhash64(*[F.get(w, i + j) for j in range(K)]), i))
+        return F.when(F.size(w) >= K, F.sort_array(each)).when(F.size(w) > 0, F.array(_with_place(F.xxhash64(w), F.lit(0)))).otherwise(F.array().cast("array<long>"))
 
-    # the words are bound to a variable, so they are extracted once
-    return F.element_at(F.transform(F.array(words), hashed), 1)
+    return let(words, hashed)
 
 
-def sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows(keys, n_first, both)`` -> ``keys`` and two arrays of (sketch, value) for the first ``n_first`` and the other k-mers of ``both``.
+def _kmer(x: Column) -> Column:
+    return F.shiftright(x, PLACE)
 
-    ``keys`` identify a row; the first of them is what rows are partitioned by already.
-    """
-    flat = rows.select(*keys, "n_first", F.posexplode_outer("both").alias("pos", "kmer")).select(*keys, (F.col("pos") >= F.col("n_first")).alias("second"), "pos", "kmer")
-    occurrence = F.row_number().over(Window.partitionBy(*keys, "second", "kmer").orderBy("pos"))
-    ranked = flat.select(*keys, "second", "pos", "kmer", F.xxhash64("kmer", occurrence).alias("h")).withColumn("part", F.pmod("h", F.lit(SKETCHES)).cast("int"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "second", "part").orderBy("h"))
-    least = ranked.withColumn("rank", rank).where(F.col("rank") <= TUPLE)
-    tuples = least.groupBy(*keys, "second", "part").agg(F.xxhash64(F.count("kmer"), F.min_by("kmer", "pos"), F.max_by("kmer", "pos")).alias("v"), F.count("kmer").alias("n"))
-    value = F.when(F.col("n") > 0, F.struct("part", F.substring(F.lpad(F.lower(F.hex("v")), 16, "0"), 1, DIGITS).alias("v")))
-    of = lambda second: F.collect_list(F.when(F.coalesce("second", F.lit(False)) == F.lit(second), value))
-    return tuples.groupBy(*keys).agg(of(False).alias("first"), of(True).alias("other"))
 
+def _least(sorted_keys: Column, of: Callable[[Column], Column]) -> Column:
+    """The ``TUPLE`` first of each sketch, of an array that is ascending."""
+    part = lambda x: F.shiftright(of(x), 64 - CHOICE)
+    return F.filter(sorted_keys, lambda x, i: (i < TUPLE) | (part(x) != part(F.get(sorted_keys, i - TUPLE))))
+
+
+def _repeats(p: Column) -> Column:
+    """(key, kmer) of the second and later occurrences of k-mers, by key: the hash of k-mer and number, with the place."""
+    n = F.size(p)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (_kmer(F.get(p, i)) != _kmer(F.get(p, i - 1))))
+
+    def runs(s: Column) -> Column:
+        spans = F.filter(F.transform(s, lambda a, j: F.struct(a.alias("a"), F.coalesce(F.get(s, j + 1), n).alias("z"))), lambda r: r["z"] - r["a"] > 1)
+        later = lambda r: F.transform(F.sequence(r["a"] + 1, r["z"] - 1), lambda i: F.struct(_with_place(F.xxhash64(_kmer(F.get(p, i)), i - r["a"] + 1), F.get(p, i)).alias("key"), _kmer(F.get(p, i)).alias("kmer")))
+        return F.array_sort(F.flatten(F.transform(spans, later)))
+
+    return let(starts, runs)
+
+
+def fingerprint(text: Column) -> Column:
+    """The sketches of a text in their order, as one string."""
+
+    def printed(p: Column) -> Column:
+        n = F.size(p)
+        firsts = F.filter(p, lambda x, i: (i == 0) | (_kmer(x) != _kmer(F.get(p, i - 1))))
+
+        def chosen(f: Column) -> Column:
+            own = F.transform(let(f, lambda a: _least(a, lambda x: x)), lambda x: F.struct(x.alias("key"), _kmer(x).alias("kmer")))
+            again = let(_repeats(p), lambda a: _least(a, lambda x: x["key"]))
+            both = F.when(F.size(f) < n, F.array_sort(F.concat(own, again))).otherwise(own)
+            return let(both, lambda a: _least(a, lambda x: x["key"]))
+
+        def sketch(c: Column, b: Column) -> Column:
+            mine = F.filter(c, lambda x: F.shiftright(x["key"], 64 - CHOICE) == b)
+            placed = F.array_sort(F.transform(mine, lambda x: F.struct(x["key"].bitwiseAND(F.lit((1 << PLACE) - 1)).alias("at"), x["kmer"].alias("kmer"))))
+            print_of = lambda m: F.when(F.size(m) > 0, F.substring(F.lpad(F.lower(F.hex(F.xxhash64(F.transform(m, lambda x: x["kmer"])))), 16, "0"), 1, DIGITS)).otherwise(NONE)
+            return let(placed, print_of)
+
+        numbers = F.sequence(F.lit(-(SKETCHES // 2)), F.lit(SKETCHES // 2 - 1))
+        return let(let(firsts, chosen), lambda c: F.array_join(F.transform(numbers, lambda b: sketch(c, b)), ""))
 
-def fingerprint(parts: Column) -> Column:
-    """The sketches in their order, as one string."""
-    known = F.map_from_entries(parts)
-    return F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda i: F.coalesce(F.element_at(known, i), F.lit(NONE))))
+    return F.when(text.rlike(r"\S"), let(kmers(text), printed)).otherwise(F.lit(NONE * SKETCHES))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -73,10 +112,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprint_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs``, with ``fingerprint`` of ``text`` (null: empty)."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.col("_row"))
-    hashes = rows.select("_part", F.size(kmers(F.coalesce(text, F.lit("")))).alias("n_first"), kmers(F.coalesce(text, F.lit(""))).alias("both"))
-    found = sketches(hashes, ["_part"]).select(F.col("_part").alias("_p"), fingerprint(F.col("first")).alias("fingerprint"))
-    return rows.drop("fingerprint").join(found, rows._part == found._p).drop("_row", "_part", "_p")
+    return docs.withColumn("fingerprint", fingerprint(F.coalesce(text, F.lit(""))))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -109,24 +145,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(F.coalesce("next", F.lit("")), F.lit(1), quarter))
     rows = with_next(docs).select("part", "nth", "guest", "doc_id", n.cast("long").alias("n_chars"), "text", F.when(F.col("guest") == 0, edited).otherwise("").alias("edited"))
-    hashed = rows.select("part", "nth", "guest", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), kmers(F.col("text")).alias("own"), kmers(F.col("edited")).alias("new"))
-    # what belongs to the row travels with its first k-mer only
-    keys = ["part", "nth"]
-    flat = hashed.select(*keys, "guest", "doc_id", "n_chars", "sha", F.size("own").alias("n_first"), F.posexplode_outer(F.concat("own", "new")).alias("pos", "kmer"))
-    first = F.coalesce("pos", F.lit(0)) == 0
-    flat = flat.select(*keys, *[F.when(first, F.col(c)).alias(c) for c in ("guest", "doc_id", "n_chars", "sha")], (F.coalesce("pos", F.lit(0)) >= F.col("n_first")).alias("second"), "pos", "kmer")
-    carried = ("guest", "doc_id", "n_chars", "sha")
-    occurrence = F.row_number().over(Window.partitionBy(*keys, "second", "kmer").orderBy("pos"))
-    ranked = flat.withColumn("h", F.xxhash64("kmer", occurrence)).withColumn("bin", F.pmod("h", F.lit(SKETCHES)).cast("int"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "second", "bin").orderBy("h"))
-    least = F.when((F.col("rank") <= TUPLE) & F.col("kmer").isNotNull(), F.col("kmer"))
-    place = F.when(least.isNotNull(), F.col("pos"))
-    tuples = ranked.withColumn("rank", rank).groupBy(*keys, "second", "bin").agg(F.count(least).alias("n"), F.min_by(least, place).alias("a"), F.max_by(least, place).alias("b"), *[F.max(c).alias(c) for c in carried])
-    value = F.when(F.col("n") > 0, F.struct("bin", F.substring(F.lpad(F.lower(F.hex(F.xxhash64("n", "a", "b"))), 16, "0"), 1, DIGITS).alias("v")))
-    whole = tuples.groupBy(*keys).agg(F.collect_list(F.when(~F.col("second"), value)).alias("own"), F.collect_list(F.when(F.col("second"), value)).alias("new"), *[F.max(c).alias(c) for c in carried])
-    prints = whole.select(*keys, *carried, fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"))
+    prints = rows.select("part", "nth", "guest", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
     followed = prints.withColumn("next_print", F.lead("fingerprint").over(Window.partitionBy("part").orderBy("nth"))).where("guest = 0")
-    return followed.select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"))
+    return followed.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import small_batches, table
+from .common import fresh, small_batches, table
 
 #: Fixed value: how byte-level BPE cuts a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -169,8 +169,9 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", with_id
     small_batches(docs.sparkSession)
     path = path or vocabulary()
     new = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 5 if with_ids else 3]
-    kept = docs.select(*[c for c in docs.columns if c not in (text, *new)], F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("_text").schema)
+    whole = fresh(docs, "_text")
+    kept = docs.select(*[c for c in docs.columns if c not in (text, *new)], F.col(text).alias(whole))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop(whole).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)

@@ -53,3 +53,11 @@ def discard(df: DataFrame) -> None:
 def salted(key: F.Column, ways: int) -> F.Column:
     """0 .. ways-1, spread by the key."""
     return F.pmod(F.xxhash64(key), F.lit(ways)).cast("int")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

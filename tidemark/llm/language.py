@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import small_batches, table
+from .common import fresh, small_batches, table
 
 UNKNOWN = "und"
 #: Characters of labelled text per language that an automaton is built from, and of one row of it.
@@ -135,9 +135,12 @@ class LanguageModel:
                 x = block[:, j, None]
                 t = table[s * width + x]
                 gone = t < 0
-                c += gone
                 again = table[base * width + x]
-                s = np.where(gone, np.where(again < 0, base, again), t)
+                alone = again < 0
+                # the open phrase ends, and a symbol that the language lacks is a phrase
+                c += gone & (s != base)
+                c += gone & alone
+                s = np.where(gone, np.where(alone, base, again), t)
             state[:active] = s
             at = until
         for i in range(active if at < longest else 0):
@@ -146,13 +149,14 @@ class LanguageModel:
                 for x in rows[i][at:].tolist():
                     t = table[s * width + x]
                     if t < 0:
-                        c += 1
+                        c += s != b
                         t = table[b * width + x]
                         if t < 0:
-                            t = b
+                            c, t = c + 1, b
                     s = t
+                state[i, k] = s
                 count[i, k] += c
-        out[ids] = count + 1
+        out[ids] = count + (state != base)
 
     def bits(self, texts: list[str]) -> np.ndarray:
         """(texts, languages) cross-parsing entropies in bits per character."""
@@ -210,8 +214,9 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # some MB: bounded by TRAIN_CHARS and MAX_LANGUAGES
-    kept = docs.select(*[c for c in docs.columns if c not in (text, "lang_pred", "score", "lang_bits")], F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("_text").schema)
+    whole = fresh(docs, "_text")
+    kept = docs.select(*[c for c in docs.columns if c not in (text, "lang_pred", "score", "lang_bits")], F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias(whole))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop(whole).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -241,7 +246,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     The columns stay as they are; a null ``lang`` becomes the predicted one.
     """
-    docs = docs.select(*docs.columns, F.col("text").alias("_whole"))
-    found = identify(docs, fit(docs), "_whole")
-    kept = found.where(F.col("lang_pred") != UNKNOWN)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*[c for c in docs.columns if c != "_whole"])
+    names = {c: fresh(docs, f"_{c}") for c in ("lang_pred", "score", "lang_bits") if c in docs.columns}
+    text = fresh(docs, "_whole")
+    found = identify(docs.withColumnsRenamed(names).withColumn(text, F.col("text")), fit(docs), text)
+    kept = found.where(F.col("lang_pred") != UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return kept.drop("lang_pred", "score", "lang_bits").withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)

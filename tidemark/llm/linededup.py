@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, fresh, small_batches, table
 
 #: A line is dropped if its key has at least this many characters and is in at least this many documents.
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -237,14 +237,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession, 8192)
     lines = lines_of(docs)
-    gone = LineIndex.build(lines, with_refs=False).dropped(lines).select(F.col("doc_id").alias("_id"), "gone")
-    parts = docs.join(gone, docs.doc_id.eqNullSafe(gone._id), "left").withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.concat_ws("\n", F.filter("_lines", lambda x, i: ~F.array_contains("gone", i))))
-    return parts.select(
+    key, gone, parts = (fresh(docs, c) for c in ("_id", "_gone", "_lines"))
+    lost = LineIndex.build(lines, with_refs=False).dropped(lines).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
+    split = docs.join(lost, F.col("doc_id").eqNullSafe(F.col(key)), "left").withColumn(parts, F.split(F.coalesce("text", F.lit("")), "\n"))
+    kept = F.when(F.col(gone).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.concat_ws("\n", F.filter(parts, lambda x, i: ~F.array_contains(gone, i))))
+    return split.select(
         *[c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")],
         kept.alias("text"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size(F.array_intersect("gone", F.sequence(F.lit(0), F.size("_lines") - 1))), F.lit(0)).cast("long").alias("n_dropped"),
+        F.size(parts).cast("long").alias("n_lines"),
+        F.coalesce(F.size(F.array_intersect(gone, F.sequence(F.lit(0), F.size(parts) - 1))), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
@@ -272,5 +273,6 @@ FROM m GROUP BY doc_id
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without its frequent lines, n_chars counted anew."""
-    out = dedup_lines(docs)
+    names = {c: fresh(docs, f"_{c}") for c in ("n_lines", "n_dropped") if c in docs.columns}
+    out = dedup_lines(docs.withColumnsRenamed(names)).drop("n_lines", "n_dropped").withColumnsRenamed({v: k for k, v in names.items()})
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, fresh, small_batches, table
 
 #: Buckets of the hashed word counts; frequent words with a class of their own; classes of endings.
 BUCKETS, FREQUENT, ENDINGS = 1 << 16, 63, 64
@@ -156,7 +156,7 @@ class MaskedModel:
     def ready(self) -> None:
         """Makes the network and, for each class, what a word of it counts against."""
         self.net, self.words_of = Network(self.vector), Words(self.frequent)
-        own = np.array([k for k in self.frequent])
+        own = np.array(list(self.frequent), np.int64)
         rest = self.counts.copy()
         rest[own] = 0
         #: log of a bucket's share among the words without a class of their own
@@ -234,8 +234,9 @@ def score(docs: DataFrame, model: MaskedModel, text: str = "text") -> DataFrame:
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # under 1 MB, of a fixed size
     new = ("n_words", "log_likelihood", "per_word")
-    kept = docs.select(*[c for c in docs.columns if c not in (text, *new)], F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("_text").schema)
+    whole = fresh(docs, "_text")
+    kept = docs.select(*[c for c in docs.columns if c not in (text, *new)], F.col(text).alias(whole))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop(whole).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

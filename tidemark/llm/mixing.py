@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import table
+from .common import fresh, table
 from .ordering import numbered, ranges
 
 #: Documents of a block.
@@ -111,8 +111,8 @@ OP10_SQL = _sql()
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, the rows in order of the mixture: what is written is sorted over all its files."""
-    order = mix(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "slot", "place")
+    key, source, slot, place = (fresh(docs, c) for c in ("_id", "_source", "_slot", "_place"))
     # equal doc_id and source: any of their places will do, so each row takes the first
-    order = order.groupBy("_id", "_source").agg(F.min("slot").alias("slot"), F.min("place").alias("place"))
-    placed = docs.join(order, docs.doc_id.eqNullSafe(order._id) & docs.source.eqNullSafe(order._source), "left")
-    return placed.orderBy("slot", "place", "doc_id").select(*docs.columns)
+    order = mix(docs).groupBy(F.col("doc_id").alias(key), F.col("source").alias(source)).agg(F.min("slot").alias(slot), F.min("place").alias(place))
+    placed = docs.join(order, F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(source)), "left")
+    return placed.orderBy(slot, place, "doc_id").select(*docs.columns)

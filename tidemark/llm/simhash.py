@@ -25,9 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, fresh, small_batches, table
 from .components import connected_components
-from .golay import nearby
+from .golay import codewords, nearby
 
 SEED = 42
 MAX_BITS = 3
@@ -64,8 +64,9 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``fp`` (the fingerprint as a signed long) of every row of ``docs``."""
     small_batches(docs.sparkSession)
-    kept = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("_text").schema)
+    whole = fresh(docs, "_text")
+    kept = docs.select(*keep, F.col("text").alias(whole))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop(whole).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,8 +134,144 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# Similar documents: the same idea with a threshold on shingle sets.
+#
+# At a Jaccard similarity of 0.8 some 15 % of SimHash bits differ, so exact
+# bounds on errors per segment no longer help.  Here a fingerprint has six
+# segments of 23 sums (how many more hashes have the bit than have not), and a segment is
+# decoded softly: to the ``NEAR`` codewords with the largest products with
+# the sums, which hold nearly always under small changes.  Two segments
+# make a key, and similar texts share one of 60 or so with high probability.
+# In a bucket a text is proposed with the closest of those before it, if that
+# is close enough; the Jaccard similarity of the two shingle sets decides.
+
+SIMILARITY, SHINGLE_WORDS = 0.8, 5
+#: Segments and codewords per segment; differing bits (of 138) up to which texts are proposed, and at which one stands for the other.
+SOFT_SEGMENTS, NEAR, CLOSE_BITS, SAME_BITS = 6, 2, 40, 3
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def shingle_set(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending."""
+    found = shingles(text, words)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), np.uint64, len(found)))
+
+
+def soft_sums(hashes: np.ndarray) -> np.ndarray:
+    """(192,) for each bit of three words made of a hash, how many more of the hashes have it than have not."""
+    total = np.zeros(192, np.int64)
+    for i in range(0, len(hashes), _AT_ONCE):
+        h = hashes[i : i + _AT_ONCE]
+        three = np.stack([h, *((h ^ h >> np.uint64(29)) * np.uint64(m) for m in _MIX)], 1)
+        total += 2 * np.unpackbits(three.view(np.uint8).reshape(len(h), 24), axis=1, bitorder="little").sum(0, dtype=np.int64) - len(h)
+    return total
+
+
+def soft_keys(sums: np.ndarray) -> np.ndarray:
+    """(n, keys) of (n, 192) sums: for each two segments the pairs of their best codewords."""
+    best = []
+    for s in range(SOFT_SEGMENTS):
+        product = sums[:, 23 * s : 23 * s + 23].astype(np.float32) @ codewords().T
+        found = []
+        for _ in range(NEAR):
+            found.append(product.argmax(1))
+            product[np.arange(len(product)), found[-1]] = -np.inf
+        best.append(found)
+    pairs = [(a, b) for a in range(SOFT_SEGMENTS) for b in range(a + 1, SOFT_SEGMENTS)]
+    return np.stack([t << 24 | i << 12 | j for t, (a, b) in enumerate(pairs) for i in best[a] for j in best[b]], 1).astype(np.int64)
+
+
+def _prints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, n, f0, f1, f2, keys) of the documents with an id and a word."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
+            some = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
+            sums = np.array([soft_sums(sets[i]) for i in some], np.int64).reshape(-1, 192)
+            bits = np.packbits(sums > 0, axis=1, bitorder="little").view(np.int64).reshape(-1, 3)
+            k = soft_keys(sums)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array([len(sets[i]) for i in some], pa.int32()), *(pa.array(bits[:, j].copy()) for j in range(3)), pa.ListArray.from_arrays(np.arange(0, k.size + 1, max(k.shape[1], 1), dtype=np.int32) if len(some) else pa.array([0], pa.int32()), pa.array(k.ravel()))], ["doc_id", "n", "f0", "f1", "f2", "keys"])
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, n int, f0 long, f1 long, f2 long, keys array<long>")
+
+
+_BITS = np.array([(1 << 64) - 1, (1 << 64) - 1, (1 << 10) - 1], np.uint64)  # 138 bits
+
+
+def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and doc_id -> (a, b): each document with the closest one before it in its bucket.
+
+    A document within ``SAME_BITS`` of one before it is proposed with that and not held itself.
+    """
+    now, held, size, ids = None, np.zeros((64, 3), np.uint64), 0, np.zeros(64, np.int64)
+    for b in batches:
+        keys, doc = b.column("key").to_numpy(), b.column("doc_id").to_numpy()
+        f = np.stack([b.column(c).to_numpy().view(np.uint64) for c in ("f0", "f1", "f2")], 1) & _BITS
+        out_a, out_b = [], []
+        # a bucket of one row has nothing to propose
+        alone = np.concatenate([[True], keys[1:] != keys[:-1]]) & np.concatenate([keys[1:] != keys[:-1], [False]])
+        for i in np.flatnonzero(~alone).tolist() if b.num_rows else []:
+            if keys[i] != now:
+                now, size = keys[i], 0
+            close = SAME_BITS + 1
+            if size:
+                d = np.bitwise_count(held[:size] ^ f[i]).sum(1)
+                j = int(d.argmin())
+                close = int(d[j])
+                if close <= CLOSE_BITS:
+                    out_a.append(int(doc[i]))
+                    out_b.append(int(ids[j]))
+            if close > SAME_BITS:
+                if size == len(ids):
+                    held, ids = np.concatenate([held, np.zeros_like(held)]), np.concatenate([ids, np.zeros_like(ids)])
+                held[size], ids[size] = f[i], doc[i]
+                size += 1
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+
+def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of the documents with an id: component_id is the smallest doc_id of their group.
+
+    Groups are connected by verified links: a Jaccard similarity of at least
+    ``similarity`` of the sets of word shingles.  Texts without words are
+    alike.  Texts with equal fingerprints and numbers of shingles are compared with the first
+    of them only, so copies are never expanded into pairs.
+    """
+    rows = docs.where("doc_id is not null").select("doc_id", "text")
+    prints = cut(_prints(rows, words), "prints")
+    same = ["n", "f0", "f1", "f2"]
+    classes = cut(prints.groupBy(*same).agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "classes")
+    members = prints.select("doc_id", *same).join(classes.select(*same, "first"), same).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
+    flat = classes.select(F.col("first").alias("doc_id"), "f0", "f1", "f2", F.explode("keys").alias("key"))
+    proposed = flat.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_propose, "a long, b long")
+    pairs = cut(proposed.unionByName(members).where("a <> b").distinct(), "pairs")
+    left = pairs.join(rows.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(rows.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fine = []
+            for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist()):
+                if x == y:
+                    fine.append(True)
+                    continue
+                p, q = shingle_set(x, words), shingle_set(y, words)
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                fine.append(bool(shared >= similarity * (len(p) + len(q) - shared)))
+            keep = pa.array(fine, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+
+    wordless = rows.join(prints.select("doc_id"), "doc_id", "left_anti").select("doc_id")
+    least = wordless.agg(F.min("doc_id").alias("b"))
+    links = both.mapInArrow(verify, "a long, b long").unionByName(wordless.join(F.broadcast(least)).select(F.col("doc_id").alias("a"), "b").where("a <> b"))
+    roots = connected_components(links)
+    return rows.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles) the document with the smallest doc_id stays; rows without doc_id stay."""
-    found = near_duplicates(docs.withColumn("_row", F.struct(*docs.columns)), 5, ("doc_id",))
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays, and every row without doc_id."""
+    gone = similar_documents(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, fresh, small_batches, table
 
 #: Labelled rows that are learned from, about; features; voters of each kind.
 MAX_ROWS, MAX_FEATURES, MAX_VOTERS = 20_000, 2000, 48
@@ -214,8 +214,9 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
-    kept = docs.select(*[c for c in docs.columns if c not in (text, "score", "predicted")], F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("_text").schema)
+    whole = fresh(docs, "_text")
+    kept = docs.select(*[c for c in docs.columns if c not in (text, "score", "predicted")], F.col(text).alias(whole))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop(whole).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -147,7 +147,7 @@ def zsql(c: str, n: int, least: int) -> str:
 
 
 CURVE = "c AS (SELECT *, (discount + tax + price) / 3 AS level, price - discount AS slope, price - 2 * tax + discount AS curvature FROM macro)"
-on_macro("m3_curve_moments", lambda m: macro.curve_moments(m, "discount", "tax", "price"), ["level", "slope", "curvature", "level_z", "slope_z"], f"{CURVE}\n====\nSELECT date, level, slope, curvature, {zsql('level', 252, 60)} AS level_z, {zsql('slope', 252, 60)} AS slope_z FROM c", digits=4)
+on_macro("m3_curve_moments", lambda m: macro.curve_moments(m, "discount", "tax", "price"), ["level_z", "slope_z", "curvature_z"], f"{CURVE}\n====\nSELECT date, {zsql('level', 252, 60)} AS level_z, {zsql('slope', 252, 60)} AS slope_z, {zsql('curvature', 252, 60)} AS curvature_z FROM c", digits=4)
 on_macro("m4_risk_appetite", lambda m: macro.risk_appetite(m, ["discount", "tax"]), ["discount_z21", "tax_z252", "risk_appetite"], f"z AS (SELECT date, {zsql('discount', 21, 21)} AS discount_z21, {zsql('discount', 252, 60)} AS d, {zsql('tax', 252, 60)} AS tax_z252 FROM macro)\n====\nSELECT date, discount_z21, tax_z252, -list_avg(list_filter([d, tax_z252], lambda x: x IS NOT NULL)) AS risk_appetite FROM z")
 PCT = "(SELECT count(*) FILTER (WHERE b.{c} <= a.{c}) / nullif(count(b.{c}), 0) FROM {t} b WHERE b.date < a.date)"
 REG = f"g AS (SELECT *, discount / lag(discount) OVER ({MW}) - 1 AS g, tax / lag(tax) OVER ({MW}) - 1 AS i FROM macro), p AS (SELECT a.date, coalesce((g > 0)::INT, 0) AS g, coalesce((i > 0)::INT, 0) AS i, coalesce(({PCT.format(c='price', t='macro')} < 0.8)::INT, 0) AS r FROM g a)\n====\nSELECT date, CAST(2 * g + i + 3 * r AS INTEGER) AS regime_code, CAST(4 * r + 2 * g + i AS INTEGER) AS regime_bits FROM p"

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, fresh, small_batches, table
+from .common import fresh, small_batches, table
 
 #: Buckets of the hashed word counts; frequent words with a class of their own; classes of endings.
 BUCKETS, FREQUENT, ENDINGS = 1 << 16, 63, 64
@@ -106,10 +106,10 @@ class Network:
         self.out -= rate * np.clip(hidden.T @ gap / np.float32(n) * WIDTH, -CLIP, CLIP)
         self.bias -= rate * gap.sum(0) / np.float32(n) * WIDTH
         for i in range(2 * SIDE):
-            hot = np.zeros((n, CLASSES), np.float32)
-            hot[np.arange(n), around[i]] = 1
+            at = (around[i][:, None] * WIDTH + np.arange(WIDTH)).ravel()
+            total = np.bincount(at, back.ravel(), CLASSES * WIDTH).reshape(CLASSES, WIDTH)
             # each neighbour's embedding moves by its mean gradient in the step
-            self.embed[i] -= rate * (hot.T @ back) / (hot.sum(0)[:, None] + 8)
+            self.embed[i] -= rate * (total / (np.bincount(around[i], minlength=CLASSES)[:, None] + 8)).astype(np.float32)
 
 
 def windows(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -168,8 +168,8 @@ class MaskedModel:
         classes, buckets = flat >> 16, flat & BUCKETS - 1
         around = windows(classes, starts)
         out = np.zeros(len(flat))
-        for i in range(0, len(flat), 8192):
-            s = slice(i, i + 8192)
+        for i in range(0, len(flat), STEP):
+            s = slice(i, i + STEP)
             _, logp = self.net.forward(around[:, s])
             out[s] = logp[np.arange(len(logp)), classes[s]]
         out += np.where(classes > FREQUENT, np.minimum(self.share[buckets], 0), 0)

@@ -28,8 +28,8 @@ TRAIN_CHARS, ROW_CHARS = 60_000, 600
 MAX_LANGUAGES = 200
 #: Characters that have a symbol of their own; all others share one that no labelled text holds.
 MAX_SYMBOLS = 255
-#: Texts that are parsed side by side, and under how many a plain loop is faster.
-LANES, FEW = 1024, 12
+#: Texts that are parsed side by side, under how many a plain loop is faster, and symbols per block.
+LANES, FEW, STEPS = 1024, 10, 64
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -90,9 +90,21 @@ class LanguageModel:
         self.sizes = np.array([max(2, len(texts[x])) for x in self.languages], float)
         k = len(common)
         parts = [SuffixAutomaton([self.symbol[ord(c)] for c in texts[x] if ord(c) in self.symbol], k).table for x in self.languages]
-        #: The tables below one another; the start states are ``base``.  A missing transition leads to -1.
-        self.base = np.cumsum([0, *(len(p) for p in parts)])[:-1].astype(np.int32)
-        self.table = np.concatenate([np.where(p > 0, p + b, -1).astype(np.int32) for p, b in zip(parts, self.base)]) if parts else np.zeros((0, 1), np.int32)
+        #: The automata below one another, completed: per state and symbol the place of the row to go on from (after a
+        #: missing transition that of the symbol from the start, or the start), times four, plus the phrases that end or stand alone.
+        #: The last symbol pads texts that are over: it changes nothing.
+        width, rows = k + 2, np.cumsum([0, *(len(p) for p in parts)])
+        self.pad = k + 1
+        kind = np.int32 if int(rows[-1]) * width * 4 < 1 << 31 else np.int64
+        self.base = (rows[:-1] * width).astype(kind)
+        self.table = np.zeros(int(rows[-1]) * width, kind)
+        for p, first in zip(parts, rows[:-1]):
+            missing, alone = p == 0, p[0] == 0
+            ends = np.where(missing, 1 + alone, 0)
+            ends[0] = missing[0]
+            go = np.where(missing, np.where(alone, 0, p[0]), p).astype(np.int64)
+            packed = np.concatenate([((go + first) * width) << 2 | ends, (np.arange(first, first + len(p))[:, None] * width) << 2], 1)
+            self.table[first * width : (first + len(p)) * width] = packed.ravel()
         low = np.zeros(0x110000 if any(c > 0xFFFF for c in self.symbol) else 0x10000, np.uint8)
         for c, s in self.symbol.items():
             low[c] = s
@@ -117,43 +129,33 @@ class LanguageModel:
 
     def _parse(self, rows: list[np.ndarray], ids: list[int], out: np.ndarray) -> None:
         """Parses rows, longest first, side by side: one step takes a symbol of each row that is not over, in each language."""
-        n, table, width, base = len(rows), self.table.ravel(), self.table.shape[1], self.base
+        n, table, base, pad = len(rows), self.table, self.base, self.pad
         lengths = np.array([len(r) for r in rows])
+        flat = np.concatenate([*rows, np.zeros(STEPS, np.uint8)]) if n else np.zeros(0, np.uint8)
+        starts = np.cumsum(lengths) - lengths
         state = np.tile(base, (n, 1))
         count = np.zeros((n, len(base)), np.int64)
-        longest = int(lengths[0]) if n else 0
-        at, active = 0, n
-        while at < longest:
-            while active and lengths[active - 1] <= at:
-                active -= 1
-            if active < FEW:
-                break
-            until = min(longest, at + 256, int(lengths[active - 1]))
-            block = np.stack([rows[i][at:until] for i in range(active)]).astype(np.int32)
+        at = 0
+        while (active := int(np.searchsorted(-lengths, -at))) >= FEW:
+            columns = at + np.arange(STEPS)
+            block = np.where(columns < lengths[:active, None], flat[np.minimum(starts[:active, None] + columns, len(flat) - 1)], pad).astype(table.dtype)
+            block = np.ascontiguousarray(block.T)[:, :, None]
             s, c = state[:active], count[:active]
-            for j in range(until - at):
-                x = block[:, j, None]
-                t = table[s * width + x]
-                gone = t < 0
-                again = table[base * width + x]
-                alone = again < 0
-                # the open phrase ends, and a symbol that the language lacks is a phrase
-                c += gone & (s != base)
-                c += gone & alone
-                s = np.where(gone, np.where(alone, base, again), t)
+            for x in block:
+                t = table[s + x]
+                c += t & 3
+                s = t >> 2
             state[:active] = s
-            at = until
-        for i in range(active if at < longest else 0):
-            for k, b in enumerate(base):
-                s, c, b = int(state[i, k]), 0, int(b)
-                for x in rows[i][at:].tolist():
-                    t = table[s * width + x]
-                    if t < 0:
-                        c += s != b
-                        t = table[b * width + x]
-                        if t < 0:
-                            c, t = c + 1, b
-                    s = t
+            at += STEPS
+        view = memoryview(table)
+        for i in range(active):
+            rest = rows[i][at:].tolist()
+            for k in range(len(base)):
+                s, c = int(state[i, k]), 0
+                for x in rest:
+                    t = view[s + x]
+                    c += t & 3
+                    s = t >> 2
                 state[i, k] = s
                 count[i, k] += c
         out[ids] = count + (state != base)
@@ -212,8 +214,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     2^-bits of all languages.  Ties go to the first language in order of name.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # some MB: bounded by TRAIN_CHARS and MAX_LANGUAGES
+    small_batches(spark, LANES)
+    shared = spark.sparkContext.broadcast(model)  # some 10 MB: bounded by TRAIN_CHARS and MAX_LANGUAGES
     whole = fresh(docs, "_text")
     kept = docs.select(*[c for c in docs.columns if c not in (text, "lang_pred", "score", "lang_bits")], F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias(whole))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop(whole).schema)

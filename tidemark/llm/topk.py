@@ -91,7 +91,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(masks))), pa.array(np.repeat(q, len(masks))), pa.array(np.full(len(values), s, np.int32)), pa.array(values)], ["query_id", "query", "s", "v"])
 
         asked_now = left.mapInArrow(probes, "query_id long, query long, s int, v int")
-        met = asked_now.join(keyed, (F.col("s") == F.col("segment")) & (F.col("v") == F.col("value"))).select("query_id", "query", "code", "ids").dropDuplicates(["query_id", "query", "code"])
+        met = asked_now.hint("merge").join(keyed, (F.col("s") == F.col("segment")) & (F.col("v") == F.col("value"))).select("query_id", "query", "code", "ids").dropDuplicates(["query_id", "query", "code"])
         flat = met.select("query_id", "query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
         if best is not None:
             flat = flat.unionByName(best.join(left.select("query_id", "query"), ["query_id", "query"], "left_semi"))

@@ -141,6 +141,30 @@ def test_dedup_stage_keeps_one_of_each_group(spark, odd, empty):
     assert simhash.dedup_stage(spark, empty, "").count() == 0
 
 
+def test_similar_documents_equal_brute_force_in_families_of_edits(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 7)))
+    texts = []
+    for size in (20, 40, 60, 120, 200):
+        base = [word() for _ in range(size)]
+        for _ in range(30):
+            w = list(base)
+            for _ in range(rng.randint(0, max(size // 25, 1) * 2)):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    texts += [texts[0], "", texts[40]]
+    sets = [simhash.shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    found = simhash.similar_documents(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == dict(enumerate(root))
+
+
 # 2: BPE
 
 

@@ -144,10 +144,15 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # make a key, and similar texts share one of 60 or so with high probability.
 # In a bucket a text is proposed with the closest of those before it, if that
 # is close enough; the Jaccard similarity of the two shingle sets decides.
+# These proposals join most of a group, but not all of it: the closest by bits
+# need not be the similar one.  So pairs between the groups are completed by the
+# prefixes of the shingle sets, which miss none.
 
 SIMILARITY, SHINGLE_WORDS = 0.8, 5
 #: Segments and codewords per segment; differing bits (of 138) up to which texts are proposed, and at which one stands for the other.
 SOFT_SEGMENTS, NEAR, CLOSE_BITS, SAME_BITS = 6, 2, 40, 3
+#: Documents (about) whose shingles tell which are common, and how many of them are held.
+SAMPLED, MOST_COMMON = 20_000, 200_000
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -182,19 +187,20 @@ def soft_keys(sums: np.ndarray) -> np.ndarray:
 
 
 def _prints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, f0, f1, f2, keys) of the documents with an id and a word."""
+    """(doc_id, n, s0, s1, f0, f1, f2, keys) of the documents with an id and a word; s0 and s1 are a 128-bit hash of the shingle set."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
             some = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
+            whole = np.array([[xxhash.xxh64_intdigest(sets[i].tobytes(), seed) for seed in (0, 1)] for i in some], np.uint64).reshape(-1, 2).view(np.int64)
             sums = np.array([soft_sums(sets[i]) for i in some], np.int64).reshape(-1, 192)
             bits = np.packbits(sums > 0, axis=1, bitorder="little").view(np.int64).reshape(-1, 3)
             k = soft_keys(sums)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array([len(sets[i]) for i in some], pa.int32()), *(pa.array(bits[:, j].copy()) for j in range(3)), pa.ListArray.from_arrays(np.arange(0, k.size + 1, max(k.shape[1], 1), dtype=np.int32) if len(some) else pa.array([0], pa.int32()), pa.array(k.ravel()))], ["doc_id", "n", "f0", "f1", "f2", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array([len(sets[i]) for i in some], pa.int32()), *(pa.array(whole[:, j].copy()) for j in range(2)), *(pa.array(bits[:, j].copy()) for j in range(3)), pa.ListArray.from_arrays(np.arange(0, k.size + 1, max(k.shape[1], 1), dtype=np.int32) if len(some) else pa.array([0], pa.int32()), pa.array(k.ravel()))], ["doc_id", "n", "s0", "s1", "f0", "f1", "f2", "keys"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, n int, f0 long, f1 long, f2 long, keys array<long>")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s0 long, s1 long, f0 long, f1 long, f2 long, keys array<long>")
 
 
 _BITS = np.array([(1 << 64) - 1, (1 << 64) - 1, (1 << 10) - 1], np.uint64)  # 138 bits
@@ -231,23 +237,126 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
-def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of the documents with an id: component_id is the smallest doc_id of their group.
+def _common(rows: DataFrame, words: int) -> np.ndarray:
+    """Hashes of shingles that many of some ``SAMPLED`` documents share, ascending by how many, at most ``MOST_COMMON``.
 
-    Groups are connected by verified links: a Jaccard similarity of at least
-    ``similarity`` of the sets of word shingles.  Texts without words are
-    alike.  Texts with equal fingerprints and numbers of shingles are compared with the first
-    of them only, so copies are never expanded into pairs.
+    Only the order in which shingles are taken depends on them, and any order finds all pairs.
     """
-    rows = docs.where("doc_id is not null").select("doc_id", "text")
-    prints = cut(_prints(rows, words), "prints")
-    same = ["n", "f0", "f1", "f2"]
-    classes = cut(prints.groupBy(*same).agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "classes")
-    members = prints.select("doc_id", *same).join(classes.select(*same, "first"), same).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
-    flat = classes.select(F.col("first").alias("doc_id"), "f0", "f1", "f2", F.explode("keys").alias("key"))
-    proposed = flat.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_propose, "a long, b long")
-    pairs = cut(proposed.unionByName(members).where("a <> b").distinct(), "pairs")
+    total = rows.count()
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(total // SAMPLED, 1))) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view(np.int64))], ["h"])
+
+    often = some.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("docs")).where("docs >= 4")
+    found = often.orderBy(F.desc("docs"), "h").limit(MOST_COMMON).select("h").toArrow()["h"].to_numpy()
+    return found[::-1].copy().view(np.uint64)
+
+
+def _ordered(hashes: np.ndarray, rank: np.ndarray, by_hash: np.ndarray) -> np.ndarray:
+    """A set's hashes in the order of all sets: rare ones by hash, then the common ones (``by_hash`` sorted, with their ``rank``)."""
+    if not len(by_hash):
+        return hashes
+    at = np.minimum(np.searchsorted(by_hash, hashes), len(by_hash) - 1)
+    known = by_hash[at] == hashes
+    late = hashes[known]
+    return np.concatenate([hashes[~known], late[np.argsort(rank[at[known]], kind="stable")]])
+
+
+def _least_shared(similarity: float, n: np.ndarray | int) -> np.ndarray:
+    """The least whole number at or over similarity * n, rounding errors allowed for."""
+    return np.ceil(similarity * np.asarray(n, np.float64) - 1e-6).astype(np.int64)
+
+
+def _prefixes(rows: DataFrame, common: np.ndarray, words: int, similarity: float) -> DataFrame:
+    """``rows(doc_id, root, text)`` -> (key, doc_id, root, n, pos): the first shingles of every set, of which two similar sets share one at least.
+
+    Sets of p and q at the similarity s share at least s * max(p, q), so one of p
+    without its last ceil(s * p) - 1 still has a shared one, the first shared in the order of all.
+    """
+    small_batches(rows.sparkSession)
+    sort = np.argsort(common)
+    by_hash, rank = common[sort], sort
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, size, pos = [], [], []
+            for t in b.column(2).to_pylist():
+                h = shingle_set(t, words)
+                m = max(len(h) - int(_least_shared(similarity, len(h))) + 1, 0) if len(h) else 0
+                key.append(_ordered(h, rank, by_hash)[:m])
+                size.append(len(h))
+                pos.append(np.arange(len(key[-1]), dtype=np.int32))
+            each = [len(k) for k in key]
+            if sum(each):
+                ids = [np.repeat(b.column(j).to_numpy(), each) for j in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), *map(pa.array, ids), pa.array(np.repeat(np.array(size, np.int32), each)), pa.array(np.concatenate(pos))], ["key", "doc_id", "root", "n", "pos"])
+
+    return rows.select("doc_id", "root", "text").mapInArrow(run, "key long, doc_id long, root long, n int, pos int")
+
+
+def _across(similarity: float, all_pairs: bool):
+    """Rows sorted by key and n -> (a, b): documents of different roots that may be similar by their sizes and the places of the key.
+
+    Without ``all_pairs`` one pair of each document and root, the first found.
+    """
+    names = ("key", "doc_id", "root", "n", "pos")
+
+    def bucket(doc: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        out_a, out_b, size = [], [], 0
+        ends = np.searchsorted(n, np.floor(n / similarity + 1e-6), side="right")  # n ascends
+        for i in range(len(doc) - 1):
+            z = int(ends[i])
+            if z <= i + 1:
+                continue
+            o = slice(i + 1, z)
+            least = _least_shared(similarity / (1 + similarity), n[i] + n[o])
+            j = np.flatnonzero((root[o] != root[i]) & (np.minimum(n[i] - pos[i], n[o] - pos[o]) >= least)) + i + 1
+            if not all_pairs and len(j) > 1:
+                j = j[np.unique(root[j], return_index=True)[1]]
+            if len(j):
+                out_a.append(np.maximum(doc[i], doc[j]))
+                out_b.append(np.minimum(doc[i], doc[j]))
+                size += len(j)
+            if size >= _AT_ONCE:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+                out_a, out_b, size = [], [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+    def ready(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, doc, root, n, pos = (np.concatenate([p[c] for p in parts]) for c in range(5))
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        for a, z in zip(starts[mixed].tolist(), np.append(starts[1:], len(key))[mixed].tolist()):
+            yield from bucket(doc[a:z], root[a:z], n[a:z], pos[a:z])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [b.column(c).to_numpy() for c in names]
+            # the last bucket may go on in the next batch
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if held and held[-1][0][-1] != rows[0][0]:
+                yield from ready(held)
+                held = []
+            if last:
+                yield from ready([*held, [r[:last] for r in rows]])
+                held = []
+            held.append([r[last:] for r in rows])
+        if held:
+            yield from ready(held)
+
+    return run
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of documents of which some texts have a Jaccard similarity of at least ``similarity``."""
     left = pairs.join(rows.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(rows.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -264,9 +373,43 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: f
             keep = pa.array(fine, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
+    return both.mapInArrow(verify, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of the documents with an id: component_id is the smallest doc_id of their group.
+
+    Groups are the components of all pairs with a Jaccard similarity of at least
+    ``similarity`` of the sets of word shingles.  Texts without words are
+    alike.  Of texts with equal sets only the first goes on, so copies are never expanded into pairs.
+
+    The fingerprints' proposals join most of a group cheaply.  What they miss is
+    found by the exact prefixes of the sets: pairs between different groups only,
+    in a first pass one of each document and group, in the second all.
+    """
+    spark = docs.sparkSession
+    rows = docs.where("doc_id is not null").select("doc_id", "text")
+    prints = cut(_prints(rows, words), "prints")
+    same = ["n", "s0", "s1"]
+    classes = cut(prints.groupBy(*same).agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("f0", "f1", "f2", "keys"))), "classes")
+    members = prints.select("doc_id", *same).join(classes.select(*same, "first"), same).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     wordless = rows.join(prints.select("doc_id"), "doc_id", "left_anti").select("doc_id")
     least = wordless.agg(F.min("doc_id").alias("b"))
-    links = both.mapInArrow(verify, "a long, b long").unionByName(wordless.join(F.broadcast(least)).select(F.col("doc_id").alias("a"), "b").where("a <> b"))
+    known = members.unionByName(wordless.join(F.broadcast(least)).select(F.col("doc_id").alias("a"), "b").where("a <> b"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
+    flat = classes.select(F.col("first").alias("doc_id"), "f0", "f1", "f2", F.explode("keys").alias("key"))
+    proposed = flat.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_propose, "a long, b long")
+    pairs = cut(proposed.where("a <> b").distinct(), "pairs")
+    links = cut(known.unionByName(_verified(pairs, rows, words, similarity)), "links")
+    firsts = classes.select(F.col("first").alias("doc_id")).distinct()
+    common = _common(rows, words)
+    for all_pairs in (False, True):
+        roots = connected_components(links)
+        heads = firsts.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
+        placed = rows.join(heads, "doc_id")
+        spread = _prefixes(placed, common, words, similarity).repartition(n, "key").sortWithinPartitions("key", "n")
+        pairs = cut(spread.mapInArrow(_across(similarity, all_pairs), "a long, b long").distinct(), "pairs")
+        links = links.unionByName(cut(_verified(pairs, rows, words, similarity), "links"))
     roots = connected_components(links)
     return rows.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 

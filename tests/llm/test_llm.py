@@ -325,6 +325,28 @@ def test_line_dedup_equals_brute_force(spark, docs, odd, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_rows_that_share_a_doc_id_lose_only_their_own_lines(spark):
+    common_line = "this line is in many documents"
+    own = [f"a clean line that only row {i} has" for i in range(4)]
+    rows = [(i, common_line) for i in range(3)] + [(None, common_line + "\n" + own[0]), (None, own[1] + "\n" + common_line), (None, own[2] + "\n" + own[3]), (1, own[0] + "!")]
+    found = linededup.dedup_lines(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)).collect()
+    assert sorted(r["text"] for r in found if r["doc_id"] is None) == sorted([own[0], own[1], own[2] + "\n" + own[3]])
+    assert sorted(r["text"] for r in found if r["doc_id"] == 1) == ["", own[0] + "!"]
+
+
+def test_filters_keep_the_old_one_whichever_batch_brings_it(spark):
+    old = linededup.CuckooFilter()
+    old.insert(500 << 48 | 77)
+    rows = [(0, None, k << 48, True) for k in range(1, 60)] + [(0, old.dump(), 0, None)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        blob = linededup._filters(spark.createDataFrame(rows, "shard int, old binary, k1 long, add boolean").coalesce(1)).first()["filter"]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert linededup.CuckooFilter.load(blob).contains(np.array([500 << 48 | 77, *(k << 48 for k in range(1, 60))], np.uint64)).all()
+
+
 def test_line_index_changes_are_reversible(spark, docs):
     state = lambda x: (sorted(map(tuple, x.refs.select("k1", "k2", "doc_id").collect())), sorted(map(tuple, x.frequent.collect())))
     half, rest = docs.where("doc_id < 180"), docs.where("doc_id >= 180")

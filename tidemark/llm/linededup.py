@@ -112,11 +112,19 @@ def line_key(line: Column) -> Column:
     return F.translate(F.regexp_replace(line, f"^[{_SPACE}]+|[{_SPACE}]+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def row_of(text: Column) -> Column:
+    """A hash of a text, null as the empty one: with its doc_id the identity of a row (equal rows lose the same lines)."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, k1, k2): the lines of ``docs`` whose keys are long enough, by 128-bit hashes of the keys."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    keyed = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= MIN_CHARS)
-    return keyed.select("doc_id", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key", F.lit(2)).alias("k2"))
+    """(doc_id, row, pos, k1, k2): the lines of ``docs`` whose keys are long enough, by 128-bit hashes of the keys.
+
+    ``row`` tells texts apart that share a doc_id.
+    """
+    lines = docs.select("doc_id", row_of(F.col("text")).alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    keyed = lines.select("doc_id", "row", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= MIN_CHARS)
+    return keyed.select("doc_id", "row", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key", F.lit(2)).alias("k2"))
 
 
 def references(lines: DataFrame) -> DataFrame:
@@ -137,14 +145,16 @@ def _filters(changes: DataFrame) -> DataFrame:
     """``changes(shard, old, k1, add)`` -> (shard, filter): inserts or deletes keys in the filters of their shards, in batches."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = None
+        f, waiting = CuckooFilter(), []
         for b in batches:
-            old = next((x for x in b.column("old").to_pylist() if x is not None), None)
-            if f is None:
-                f = CuckooFilter.load(old) if old else CuckooFilter()
+            old = b.column("old").drop_null()
+            if len(old):
+                f = CuckooFilter.load(old[0].as_py())
+            waiting.append(b.select(["k1", "add"]).filter(b.column("add").is_valid()))
+        # any batch may bring the old filter, so changes wait for the last
+        for b in waiting:
             for k, add in zip(b.column("k1").to_numpy().view(np.uint64).tolist(), b.column("add").to_pylist()):
-                if add is not None:
-                    f.insert(k) if add else f.delete(k)
+                f.insert(k) if add else f.delete(k)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([f.dump()], pa.binary())], ["shard", "filter"])
 
     return changes.groupBy("shard").applyInArrow(run, "shard int, filter binary")
@@ -191,8 +201,8 @@ class LineIndex:
         Lines go to the shard of their key and there to one of ``SALTS`` tasks
         by a hash of the document, so a key with a third of all lines is no single task.
         """
-        f = self.filters.select(F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "shard", "filter", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("pos"), F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"))
-        rows = lines.select(F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int").alias("salt"), shard().alias("shard"), F.lit(None).cast("binary").alias("filter"), "doc_id", "pos", "k1", "k2")
+        f = self.filters.select(F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "shard", "filter", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), F.lit(None).cast("int").alias("pos"), F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"))
+        rows = lines.select(F.pmod(F.xxhash64("doc_id", "row", "pos"), F.lit(SALTS)).cast("int").alias("salt"), shard().alias("shard"), F.lit(None).cast("binary").alias("filter"), "doc_id", "row", "pos", "k1", "k2")
         n = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
         both = f.unionByName(rows).repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
 
@@ -214,16 +224,16 @@ class LineIndex:
                         hit[a:z] = held[at].contains(keys[a:z])
                         hit[own] = False
                 keep = pa.array(hit)
-                yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("doc_id", "pos", "k1", "k2")], ["doc_id", "pos", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("doc_id", "row", "pos", "k1", "k2")], ["doc_id", "row", "pos", "k1", "k2"])
 
-        return both.mapInArrow(run, "doc_id long, pos int, k1 long, k2 long")
+        return both.mapInArrow(run, "doc_id long, row long, pos int, k1 long, k2 long")
 
     def dropped(self, lines: DataFrame) -> DataFrame:
-        """(doc_id, gone): the positions of the lines that each document loses."""
+        """(doc_id, row, gone): the positions of the lines that each row loses."""
         hits = self.probe(lines)
         exact = self.frequent.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), "last")
         found = hits.join(exact, (hits.k1 == exact.f1) & (hits.k2 == exact.f2)).where("doc_id is null or doc_id <> last")
-        return found.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
+        return found.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -232,14 +242,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     A key of at least ``MIN_CHARS`` characters in at least ``MIN_DOCS``
     documents loses all its lines except in the largest doc_id that holds it.
     Null and empty texts have one empty line and stay empty.  Rows that share
-    a doc_id are one document to the counts; their lines are treated alike by
-    position.  Rows with a null doc_id count as one document and lose frequent lines.
+    a doc_id are one document to the counts, but each loses its own lines only.
+    Rows with a null doc_id count as one document and lose frequent lines.
     """
     small_batches(docs.sparkSession, 8192)
     lines = lines_of(docs)
-    key, gone, parts = (fresh(docs, c) for c in ("_id", "_gone", "_lines"))
-    lost = LineIndex.build(lines, with_refs=False).dropped(lines).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
-    split = docs.join(lost, F.col("doc_id").eqNullSafe(F.col(key)), "left").withColumn(parts, F.split(F.coalesce("text", F.lit("")), "\n"))
+    key, row, gone, parts = (fresh(docs, c) for c in ("_id", "_row", "_gone", "_lines"))
+    lost = LineIndex.build(lines, with_refs=False).dropped(lines).select(F.col("doc_id").alias(key), F.col("row").alias(row), F.col("gone").alias(gone))
+    split = docs.join(lost, F.col("doc_id").eqNullSafe(F.col(key)) & (row_of(F.col("text")) == F.col(row)), "left").withColumn(parts, F.split(F.coalesce("text", F.lit("")), "\n"))
     kept = F.when(F.col(gone).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.concat_ws("\n", F.filter(parts, lambda x, i: ~F.array_contains(gone, i))))
     return split.select(
         *[c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")],

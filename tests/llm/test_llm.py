@@ -470,6 +470,14 @@ def test_mixture_keeps_all_rows(spark, odd, empty, docs):
     assert len(places) == len(set(places)) == docs.count()
 
 
+def test_last_stage_keeps_the_mixture_over_several_files(spark, docs):
+    mixed = common.cut(mixing.mixing_stage(spark, docs, "").repartition(7), "several")
+    assert len(mixed.inputFiles()) > 1
+    done = [(r["doc_id"], r["slot"], r["place"]) for r in bpe.encode_stage(spark, mixed, "").collect()]
+    want = sorted(((r["slot"], r["place"], r["doc_id"]) for r in mixing.mix(docs).collect()))
+    assert done == [(i, s, p) for s, p, i in want]
+
+
 # queries and pipeline
 
 

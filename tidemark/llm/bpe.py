@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import fresh, small_batches, table
+from .mixing import in_mixture
 
 #: Fixed value: how byte-level BPE cuts a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -195,5 +196,5 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage of the pipeline: every document with its token count and digests instead of its text."""
-    return encode(docs)
+    """Last stage of the pipeline: every document with its token count and digests instead of its text, its slot and place in the mixture, in their order."""
+    return in_mixture(encode(docs), docs)

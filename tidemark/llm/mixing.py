@@ -109,10 +109,21 @@ FROM r JOIN turn ON r.stream = turn.stream AND (k // {BLOCK_DOCS}) % turn.p + 1
 OP10_SQL = _sql()
 
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, the rows in order of the mixture: what is written is sorted over all its files."""
-    key, source, slot, place = (fresh(docs, c) for c in ("_id", "_source", "_slot", "_place"))
+def _with_places(rows: DataFrame, docs: DataFrame, slot: str, place: str) -> DataFrame:
+    """``rows`` (one for each of ``docs``, with its doc_id and source) with the slot and place of the mixture of ``docs``."""
+    key, source = (fresh(rows, c) for c in ("_id", "_source"))
     # equal doc_id and source: any of their places will do, so each row takes the first
     order = mix(docs).groupBy(F.col("doc_id").alias(key), F.col("source").alias(source)).agg(F.min("slot").alias(slot), F.min("place").alias(place))
-    placed = docs.join(order, F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(source)), "left")
-    return placed.orderBy(slot, place, "doc_id").select(*docs.columns)
+    return rows.hint("merge").join(order, F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(source)), "left").drop(key, source)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, the rows in order of the mixture: what is written is sorted over all its files."""
+    slot, place = (fresh(docs, c) for c in ("_slot", "_place"))
+    return _with_places(docs, docs, slot, place).orderBy(slot, place, "doc_id").select(*docs.columns)
+
+
+def in_mixture(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` (one for each of ``docs``) with ``slot`` and ``place``, ordered by them: files that were read again have no order of their own."""
+    rows = rows.drop("slot", "place")
+    return _with_places(rows, docs, "slot", "place").orderBy("slot", "place", "doc_id")

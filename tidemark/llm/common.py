@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import importable
 
-#: Rows of an Arrow batch sent to Python: with documents of a few hundred kB a batch stays under some hundred MB.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch sent to Python (a single row may be larger).
+BATCH_ROWS, BATCH_BYTES = 256, 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +21,15 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds the Arrow batches of the Python operators of this session."""
     importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one beside the warehouse where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one beside the warehouse where that is unset and the master is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -42,17 +47,22 @@ def cut(df: DataFrame, what: str = "table") -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
     """Deletes what ``cut`` wrote, once nothing will read it."""
-    spark, path = df.sparkSession, getattr(df, "_tidemark_path", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for df in tables:
+        if path := getattr(df, "_tidemark_path", None):
+            remove(df.sparkSession, path)
 
 
-def salted(key: F.Column, ways: int) -> F.Column:
-    """0 .. ways-1, spread by the key."""
-    return F.pmod(F.xxhash64(key), F.lit(ways)).cast("int")
+def let(x: F.Column, f: Callable[[F.Column], F.Column]) -> F.Column:
+    """f(x) with x evaluated once, whatever the optimizer merges."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
 
 def fresh(df: DataFrame, name: str) -> str:

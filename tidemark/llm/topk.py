@@ -1,11 +1,13 @@
 """Exact top-k search over binary codes by incremental multi-index hashing (operator 7).
 
 A vector's code has one bit per component: whether it is positive.  A 64-bit
-code is cut into four segments of 16 bits, and every segment value is a key of
-an index.  Round r looks up all values within r bits of a query's segments.  A code
-at Hamming distance d has a segment within floor(d/4) bits, so after round r
-all codes at distance up to 4 * (r + 1) - 1 have been met.  A query is done
-once its kth best verified distance is at most that; the others grow their radius.
+code is cut into m segments, about as wide as the binary logarithm of the number
+of distinct codes, so that a segment's value has about one code at any size of the
+table; every segment value is a key of an index.  Round r looks up all values
+within r bits of a query's segments.  A code at Hamming distance d has a segment
+within floor(d/m) bits, so after round r all codes at distance up to
+m * (r + 1) - 1 have been met.  A query is done once its kth best verified
+distance is at most that; the others grow their radius.
 
 Equal codes are one entry of the index with their k smallest ids, which are
 the only ones that can be among the k best in order of distance and id.
@@ -14,6 +16,7 @@ the only ones that can be among the k best in order of distance and id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import cut, discard, small_batches, table
 
 K = 10
-SEGMENTS, WIDTH = 4, 16
+BITS, LEAST_WIDTH = 64, 8
 #: Rows over which the ids of one code are spread before its k smallest are taken.
 SALTS = 64
 
@@ -62,52 +65,72 @@ def index(coded: DataFrame, k: int) -> DataFrame:
     return few.groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def _segment(code: F.Column, s: int) -> F.Column:
-    return F.shiftrightunsigned(code, s * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
+def segments(distinct: int) -> list[tuple[int, int]]:
+    """(offset, width) of the segments for so many distinct codes: at least ``LEAST_WIDTH`` bits each."""
+    m = max(1, min(BITS // LEAST_WIDTH, round(BITS / max(1, (max(distinct, 2) - 1).bit_length()))))
+    edges = [BITS * i // m for i in range(m + 1)]
+    return [(a, z - a) for a, z in zip(edges, edges[1:])]
+
+
+def _segment(code: F.Column, offset: int, width: int) -> F.Column:
+    own = F.shiftrightunsigned(code, offset)
+    return own if width == BITS else own.bitwiseAND(F.lit((1 << width) - 1))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, distance): of each query the k vectors with the smallest Hamming distance, ties by the smallest vec_id.
 
     A vector with the id of the query is not among its own neighbours.  Fewer
-    than k other vectors give as many rows.  Queries of equal id and code are one.
+    than k other vectors give as many rows.  Queries of equal id and code are
+    one, and so are vectors; a null id or vector is no query and no neighbour.
     """
     small_batches(vectors.sparkSession, 4096)
     codes_k = cut(index(codes(vectors), k + 1), "codes")
-    keyed = cut(codes_k.select("code", "ids", F.posexplode(F.array(*[_segment(F.col("code"), s) for s in range(SEGMENTS)])).alias("segment", "value")), "index")
-    total = codes_k.agg(F.sum(F.size("ids"))).first()[0] or 0
-    asked = cut(codes(queries).select(F.col("vec_id").alias("query_id"), F.col("code").alias("query")).distinct(), "queries")
-    left, best, done = asked, None, None
-    for radius in range(WIDTH + 1):
-        masks = [sum(1 << i for i in at) for at in combinations(range(WIDTH), radius)]
-
-        def probes(batches: Iterator[pa.RecordBatch], masks: np.ndarray = np.array(masks, np.int32)) -> Iterator[pa.RecordBatch]:
+    distinct, total = codes_k.agg(F.count("*"), F.sum(F.size("ids"))).first()
+    parts = segments(distinct)
+    keyed = cut(codes_k.select("code", "ids", F.posexplode(F.array(*[_segment(F.col("code"), o, w) for o, w in parts])).alias("segment", "value")), "index")
+    asked = codes(queries).select(F.col("vec_id").alias("query_id"), F.col("code").alias("query")).distinct()
+    # of how many others a query waits for the best k: fewer only in tables of about as few vectors
+    others = F.lit(k)
+    if (total or 0) <= 10 * k:
+        own = codes_k.select(F.explode("ids").alias("query_id")).groupBy("query_id").agg(F.count("*").alias("own"))
+        asked = asked.join(F.broadcast(own), "query_id", "left")  # at most 10 k rows
+        others = F.least(F.lit(k), F.lit(total or 0) - F.coalesce("own", F.lit(0)))
+    asked = cut(asked.select("query_id", "query", others.cast("long").alias("need")), "queries")
+    left, best, done = asked, None, []
+    for radius in range(max(w for _, w in parts) + 1):
+        masks = [np.array([sum(1 << i for i in at) for at in combinations(range(w), radius)], np.uint64) for _, w in parts]
+
+        def probes(batches: Iterator[pa.RecordBatch], masks: list[np.ndarray] = masks) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(0, b.num_rows, 64):
                     ids, q = (b.column(c).to_numpy()[i : i + 64] for c in ("query_id", "query"))
-                    for s in range(SEGMENTS):
-                        own = (q.view(np.uint64) >> np.uint64(s * WIDTH) & np.uint64((1 << WIDTH) - 1)).astype(np.int32)
-                        values = (own[:, None] ^ masks[None, :]).ravel()
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(masks))), pa.array(np.repeat(q, len(masks))), pa.array(np.full(len(values), s, np.int32)), pa.array(values)], ["query_id", "query", "s", "v"])
-
-        asked_now = left.mapInArrow(probes, "query_id long, query long, s int, v int")
+                    for s, (o, w) in enumerate(parts):
+                        own = q.view(np.uint64) >> np.uint64(o) & np.uint64((1 << w) - 1)
+                        for j in range(0, len(masks[s]), 1 << 14):
+                            m = masks[s][j : j + (1 << 14)]
+                            values = (own[:, None] ^ m[None, :]).ravel().view(np.int64)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(m))), pa.array(np.repeat(q, len(m))), pa.array(np.full(len(values), s, np.int32)), pa.array(values)], ["query_id", "query", "s", "v"])
+
+        asked_now = left.select("query_id", "query").mapInArrow(probes, "query_id long, query long, s int, v long")
         met = asked_now.hint("merge").join(keyed, (F.col("s") == F.col("segment")) & (F.col("v") == F.col("value"))).select("query_id", "query", "code", "ids").dropDuplicates(["query_id", "query", "code"])
         flat = met.select("query_id", "query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
         if best is not None:
             flat = flat.unionByName(best.join(left.select("query_id", "query"), ["query_id", "query"], "left_semi"))
         rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("distance", "vec_id"))
         new = cut(flat.select("query_id", "query", "distance", "vec_id").distinct().withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), "best")
-        covered = SEGMENTS * (radius + 1) - 1
-        full = new.where(F.col("distance") <= covered).groupBy("query_id", "query").count().where(F.col("count") >= min(k, total))
-        ready = new.join(full.select("query_id", "query"), ["query_id", "query"], "left_semi")
-        last = radius == WIDTH
-        done = (new if last else ready) if done is None else done.unionByName(new if last else ready)
-        left = cut(left.join(full.select("query_id", "query"), ["query_id", "query"], "left_anti"), "left")
-        if last or left.isEmpty():
+        covered = len(parts) * (radius + 1) - 1
+        near = new.where(F.col("distance") <= covered).groupBy("query_id", "query").agg(F.count("*").alias("n"))
+        judged = left.join(near, ["query_id", "query"], "left").withColumn("full", F.coalesce("n", F.lit(0)) >= F.col("need"))
+        # a row for every query that was asked in this round: the next round's queries are those that aren't full
+        judged = cut(judged.select("query_id", "query", "need", "full"), "judged")
+        done.append(new.join(judged.where("full").select("query_id", "query"), ["query_id", "query"], "left_semi"))
+        best, left = new, judged.where("not full").drop("full")
+        if left.isEmpty():
             break
-        best = new
+    discard(codes_k, keyed, asked)
     rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("distance", "vec_id"))
-    return done.withColumn("rank", rank).select("query_id", "rank", "vec_id", "distance")
+    return reduce(DataFrame.unionByName, done).withColumn("rank", rank).select("query_id", "rank", "vec_id", "distance")
 
 
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

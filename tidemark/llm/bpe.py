@@ -197,4 +197,4 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last stage of the pipeline: every document with its token count and digests instead of its text, its slot and place in the mixture, in their order."""
-    return in_mixture(encode(docs), docs)
+    return in_mixture(encode(docs))

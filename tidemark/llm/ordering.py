@@ -39,5 +39,5 @@ def numbered(rows: DataFrame, by: str, order: list[str], within: Column) -> Data
     before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     own = split.withColumn("_k", F.row_number().over(Window.partitionBy(by, "_range").orderBy(*order)))
-    same = (F.col("_range") == F.col("_r")) & (F.col(by) == F.col("_by"))
+    same = (F.col("_range") == F.col("_r")) & F.col(by).eqNullSafe(F.col("_by"))
     return own.join(starts, same).withColumn("nth", F.col("_k") + F.col("_start")).drop("_range", "_r", "_k", "_start", "_by")

@@ -347,6 +347,47 @@ def test_filters_keep_the_old_one_whichever_batch_brings_it(spark):
     assert linededup.CuckooFilter.load(blob).contains(np.array([500 << 48 | 77, *(k << 48 for k in range(1, 60))], np.uint64)).all()
 
 
+def test_many_cuckoo_tables_and_keys_at_once():
+    rng = random.Random(16)
+    f, keys = linededup.CuckooFilter(1), [rng.getrandbits(64) for _ in range(9000)]
+    f.tables = [np.zeros((1, 4), np.uint16) for _ in range(20)]
+    for k in keys[:200]:
+        f.insert(k)
+    back = linededup.CuckooFilter.load(f.dump())
+    assert len(back.tables) > 20 and back.contains(np.array(keys[:200], np.uint64)).all()
+    whole = linededup.CuckooFilter.of(np.array(keys, np.uint64))
+    assert len(whole.tables) == 1 and whole.contains(np.array(keys, np.uint64)).all()
+    assert whole.contains(np.array([rng.getrandbits(64) for _ in range(20000)], np.uint64)).mean() < 0.01
+
+
+def test_line_dedup_takes_time_in_proportion_to_the_lines(spark):
+    import time
+
+    took = {}
+    for n in (1000, 30_000, 60_000):
+        text = "\n".join(f"a line that all three of them hold, {i}\nalone {i}" for i in range(n // 2))
+        df = spark.createDataFrame([(i, text, None, None, None) for i in range(3)], DOCS)
+        start = time.perf_counter()
+        rows = linededup.dedup_lines(df).select("doc_id", "n_lines", "n_dropped", F.length("text").alias("n")).collect()
+        took[n] = time.perf_counter() - start
+        assert {r["doc_id"]: r["n_dropped"] for r in rows} == {0: n // 2, 1: n // 2, 2: 0} and {r["n_lines"] for r in rows} == {n // 2 * 2}
+    assert took[60_000] < 3 * took[30_000] + 2
+
+
+def test_hot_lines_are_dropped_like_any_other(spark):
+    rows = [(i, "the very same line in all of the texts" + (f"\nanother line of {i % 40} in some texts" if i % 2 else "")) for i in range(300)] + [(None, "the very same line in all of the texts")]
+    found = sorted((str(r["doc_id"]), r["text"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == lines_left(rows)
+
+
+def test_line_stage_of_odd_and_empty_tables(spark, odd, empty):
+    out = linededup.line_stage(spark, odd, "")
+    assert out.columns == odd.columns
+    left = dict(lines_left([(r[0], r[1]) for r in ODD]))
+    assert all(r["text"] == left[str(r["doc_id"])] and r["n_chars"] == len(r["text"]) for r in out.collect() if r["doc_id"] != 5)
+    assert linededup.line_stage(spark, empty, "").count() == 0
+
+
 def test_line_index_changes_are_reversible(spark, docs):
     state = lambda x: (sorted(map(tuple, x.refs.select("k1", "k2", "doc_id").collect())), sorted(map(tuple, x.frequent.collect())))
     half, rest = docs.where("doc_id < 180"), docs.where("doc_id >= 180")
@@ -381,6 +422,28 @@ def test_topk_equals_brute_force(spark):
     assert topk.search(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("k", [3, 9])
+def test_topk_of_few_vectors_and_repeated_queries(spark, k):
+    rng = np.random.default_rng(8)
+    v = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(6)]
+    v += [v[2], (5, v[0][1])]  # a repeated row; an id with two vectors
+    df = spark.createDataFrame(v, "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([*v[:2], v[0], (77, v[3][1])], df.schema)
+    code = lambda e: sum(1 << j for j, x in enumerate(e) if x > 0)
+    found = topk.search(df, asked, k).collect()
+    for i, e in (v[0], v[1], (77, v[3][1])):
+        others = sorted((bin(code(e) ^ c).count("1"), j) for j, c in {(j, code(x)) for j, x in v} if j != i)
+        assert [(r["distance"], r["vec_id"]) for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == i] == others[:k]
+
+
+def test_segments_follow_the_number_of_codes():
+    for n in (0, 1, 5, 1000, 10**6, 10**10, 10**18):
+        parts = topk.segments(n)
+        assert parts[0][0] == 0 and sum(w for _, w in parts) == 64 and all(a + w == b for (a, w), (b, _) in zip(parts, parts[1:]))
+    counts = [len(topk.segments(n)) for n in (1000, 10**4, 10**6, 10**10, 10**18)]
+    assert counts == sorted(counts, reverse=True) and counts[0] > 4 and counts[-1] == 1
+
+
 # 8: WARC
 
 
@@ -449,14 +512,27 @@ def test_fingerprint_takes_occurrence_numbered_kmers_in_order(spark):
 
 
 def test_mixture_deviates_by_less_than_a_block(spark):
-    shares, other = {"a": 5, "b": 3, "c": 1}, 2
-    turns = {r["slot"]: r["stream"] for r in mixing.period(spark, shares, other).collect()}
-    d, had = sum(shares.values()) + other, Counter()
-    assert sorted(turns) == list(range(d))
-    for t in range(d):
-        had[turns[t]] += 1
-        for s, p in {**shares, mixing.OTHER: other}.items():
-            assert abs(had[s] - p * (t + 1) / d) < 1
+    for of in ([(None, 2), ("a", 5), ("b", 3), ("c", 1)], [(f"s{i:02}", 1 + i % 3) for i in range(40)]):
+        turns = {r["slot"]: r["stream"] for r in mixing.period(spark, of).collect()}
+        d, had = sum(p for _, p in of), Counter()
+        assert sorted(turns) == list(range(d))
+        for t in range(d):
+            had[turns[t]] += 1
+            for s, p in of:
+                assert abs(had[s] - p * (t + 1) / d) < 1
+
+
+def test_every_source_of_the_table_deviates_by_less_than_a_block(spark, docs):
+    rows = mixing.mix(docs, {"src1": 3, "src2": 2}, block=1).orderBy("slot").collect()
+    names = sorted({r["source"] for r in rows})
+    share = {n: {"src1": 3, "src2": 2}.get(n, 1) for n in names}
+    size, d = Counter(r["source"] for r in rows), sum(share.values())
+    assert len({r["slot"] for r in rows}) == len(rows)
+    for n in names:  # as long as it lasts
+        mine = [r["slot"] for r in rows if r["source"] == n]
+        assert len(mine) == size[n] and all(abs((k + 1) - share[n] * (t + 1) / d) < 1 for k, t in enumerate(mine))
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"src1": 0})
 
 
 def test_mixture_keeps_all_rows(spark, odd, empty, docs):
@@ -466,6 +542,8 @@ def test_mixture_keeps_all_rows(spark, odd, empty, docs):
     staged = mixing.mixing_stage(spark, odd, "")
     assert staged.columns == odd.columns and staged.count() == len(ODD)
     m = mixing.mix(docs, {"src1": 1, "src2": 2}, 4, 2)
+    many = mixing.mix(odd).select("doc_id", "source", "slot", "place").distinct()
+    assert many.count() == len(ODD)  # repeated rows have places of their own
     places = m.select("slot", "place").collect()
     assert len(places) == len(set(places)) == docs.count()
 

@@ -20,13 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, fresh, small_batches, table
+from .common import cut, discard, fresh, let, small_batches, table
 
 #: A line is dropped if its key has at least this many characters and is in at least this many documents.
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Shards of the filters, and over how many tasks the lines of one shard are spread.
-SHARDS, SALTS = 64, 8
-_SPACE = r"\x20\x09-\x0D"
+#: Frequent keys (about) of a shard of the filters, the least number of shards, and over how many tasks the lines of one shard are spread.
+SHARD_KEYS, LEAST_SHARDS, SALTS = 50_000, 16, 8
+#: A key with over one in so many of all references is hot: there are at most as many hot keys.
+HOT = 1000
+_SPACE = " \t\n\x0b\x0c\r"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class CuckooFilter:
@@ -93,23 +96,46 @@ class CuckooFilter:
                     return True
         return False
 
+    @classmethod
+    def of(cls, keys: np.ndarray) -> CuckooFilter:
+        """A filter of many keys: most take a free slot of their first or second bucket all at once, the rest are inserted one by one."""
+        buckets = 256
+        while buckets * cls.SLOTS < 2 * len(keys):
+            buckets *= 2
+        out, left = cls(buckets), keys.astype(np.uint64)
+        t = out.tables[0]
+        for which in (1, 2):
+            mark, bucket = (x for i, x in enumerate(cls._split(left, buckets)) if i in (0, which))
+            order = np.argsort(bucket, kind="stable")
+            b = bucket[order]
+            starts = np.flatnonzero(np.diff(b, prepend=-1))
+            slot = np.arange(len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b)))) + (t[b] != 0).sum(1)
+            fits = slot < cls.SLOTS
+            t[b[fits], slot[fits]] = mark[order][fits]
+            left = left[order][~fits]
+        for k in left.tolist():
+            out.insert(k)
+        return out
+
     def dump(self) -> bytes:
-        return np.array([len(t) for t in self.tables], "<u4").tobytes().rjust(64, b"\0") + b"".join(t.tobytes() for t in self.tables)
+        """The number of tables, their sizes, and the tables."""
+        return np.array([len(self.tables), *(len(t) for t in self.tables)], "<u4").tobytes() + b"".join(t.tobytes() for t in self.tables)
 
     @classmethod
     def load(cls, data: bytes) -> CuckooFilter:
-        out, at = cls(), 64
-        out.tables = []
-        for n in np.frombuffer(data[:64], "<u4"):
-            if n:
-                out.tables.append(np.frombuffer(data, np.uint16, int(n) * cls.SLOTS, at).reshape(-1, cls.SLOTS).copy())
-                at += int(n) * cls.SLOTS * 2
+        out = cls()
+        n = int(np.frombuffer(data, "<u4", 1)[0])
+        at, out.tables = 4 * (n + 1), []
+        for size in np.frombuffer(data, "<u4", n, 4).tolist():
+            out.tables.append(np.frombuffer(data, np.uint16, size * cls.SLOTS, at).reshape(-1, cls.SLOTS).copy())
+            at += size * cls.SLOTS * 2
         return out
 
 
 def line_key(line: Column) -> Column:
-    """The line stripped of [\\x20\\x09-\\x0D] at both ends, A-Z lowered."""
-    return F.translate(F.regexp_replace(line, f"^[{_SPACE}]+|[{_SPACE}]+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """The line stripped of [\\x20\\x09-\\x0D] at both ends, A-Z lowered (``lower`` is faster and does the same where every character is one byte)."""
+    plain = F.octet_length(line) == F.char_length(line)
+    return F.btrim(F.when(plain, F.lower(line)).otherwise(F.translate(line, _UPPER, _LOWER)), F.lit(_SPACE))
 
 
 def row_of(text: Column) -> Column:
@@ -137,34 +163,43 @@ def counts(refs: DataFrame) -> DataFrame:
     return refs.groupBy("k1", "k2").agg((F.count("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).cast("long").alias("docs"), F.max("doc_id").alias("last"))
 
 
-def shard(k: Column | str = "k1") -> Column:
-    return F.pmod(F.col(k) if isinstance(k, str) else k, F.lit(SHARDS)).cast("int")
+def shard(shards: int) -> Column:
+    return F.pmod(F.col("k1"), F.lit(shards)).cast("int")
 
 
 def _filters(changes: DataFrame) -> DataFrame:
     """``changes(shard, old, k1, add)`` -> (shard, filter): inserts or deletes keys in the filters of their shards, in batches."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, waiting = CuckooFilter(), []
+        f, waiting = None, []
         for b in batches:
             old = b.column("old").drop_null()
             if len(old):
                 f = CuckooFilter.load(old[0].as_py())
             waiting.append(b.select(["k1", "add"]).filter(b.column("add").is_valid()))
         # any batch may bring the old filter, so changes wait for the last
-        for b in waiting:
-            for k, add in zip(b.column("k1").to_numpy().view(np.uint64).tolist(), b.column("add").to_pylist()):
-                f.insert(k) if add else f.delete(k)
+        keys = np.concatenate([b.column("k1").to_numpy().view(np.uint64) for b in waiting])
+        add = np.concatenate([b.column("add").to_numpy(zero_copy_only=False).astype(bool) for b in waiting])
+        if f is None:
+            f = CuckooFilter.of(keys[add])
+        else:
+            for k in keys[add].tolist():
+                f.insert(k)
+        for k in keys[~add].tolist():
+            f.delete(k)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([f.dump()], pa.binary())], ["shard", "filter"])
 
     return changes.groupBy("shard").applyInArrow(run, "shard int, filter binary")
 
 
 class LineIndex:
-    """The references of a corpus and the filters over its frequent keys; every change gives a new index, tables in the shared folder."""
+    """The references of a corpus and the filters over its frequent keys; every change gives a new index, tables in the shared folder.
 
-    def __init__(self, refs: DataFrame, frequent: DataFrame, filters: DataFrame) -> None:
-        self.refs, self.frequent, self.filters = refs, frequent, filters
+    The number of shards follows the number of frequent keys when the index is built, and stays.
+    """
+
+    def __init__(self, refs: DataFrame, frequent: DataFrame, filters: DataFrame, shards: int) -> None:
+        self.refs, self.frequent, self.filters, self.shards = refs, frequent, filters, shards
 
     @classmethod
     def build(cls, lines: DataFrame, with_refs: bool = True) -> LineIndex:
@@ -173,36 +208,35 @@ class LineIndex:
         if with_refs:
             refs = cut(refs, "refs")
         frequent = cut(counts(refs).where(F.col("docs") >= MIN_DOCS), "frequent")
-        new = frequent.select(shard().alias("shard"), F.lit(None).cast("binary").alias("old"), "k1", F.lit(True).alias("add"))
-        return cls(refs, frequent, cut(_filters(new), "filters"))
+        shards = max(LEAST_SHARDS, -(-frequent.count() // SHARD_KEYS))
+        new = frequent.select(shard(shards).alias("shard"), F.lit(None).cast("binary").alias("old"), "k1", F.lit(True).alias("add"))
+        return cls(refs, frequent, cut(_filters(new), "filters"), shards)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with documents added; those that it holds already change nothing."""
-        new = references(lines_of(docs))
-        return self._changed(cut(self.refs.unionByName(new).distinct(), "refs"), new)
+        return self._changed(cut(self.refs.unionByName(references(lines_of(docs))).distinct(), "refs"))
 
     def delete(self, ids: DataFrame) -> LineIndex:
-        """The index without the documents ``ids(doc_id)``: as if they had never been inserted."""
-        gone = self.refs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-        return self._changed(cut(self.refs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti"), "refs"), gone)
+        """The index without the documents ``ids(doc_id)``: as if they had never been inserted.  A null id stands for all rows without one."""
+        own = ids.select(F.col("doc_id").alias("gone_id")).distinct()
+        return self._changed(cut(self.refs.join(own, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti"), "refs"))
 
-    def _changed(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
+    def _changed(self, refs: DataFrame) -> LineIndex:
         frequent = cut(counts(refs).where(F.col("docs") >= MIN_DOCS), "frequent")
         key = ["k1", "k2"]
         up = frequent.join(self.frequent, key, "left_anti").select("k1", F.lit(True).alias("add"))
         down = self.frequent.join(frequent, key, "left_anti").select("k1", F.lit(False).alias("add"))
-        change = up.unionByName(down).select(shard().alias("shard"), F.lit(None).cast("binary").alias("old"), "k1", "add")
+        change = up.unionByName(down).select(shard(self.shards).alias("shard"), F.lit(None).cast("binary").alias("old"), "k1", "add")
         old = self.filters.select("shard", F.col("filter").alias("old"), F.lit(0).cast("long").alias("k1"), F.lit(None).cast("boolean").alias("add"))
-        return LineIndex(refs, frequent, cut(_filters(old.unionByName(change)), "filters"))
+        return LineIndex(refs, frequent, cut(_filters(old.unionByName(change)), "filters"), self.shards)
 
     def probe(self, lines: DataFrame) -> DataFrame:
         """The rows of ``lines`` whose keys may be frequent: all that are, and few others.
 
-        Lines go to the shard of their key and there to one of ``SALTS`` tasks
-        by a hash of the document, so a key with a third of all lines is no single task.
+        Lines go to the shard of their key and there to one of ``SALTS`` tasks.
         """
         f = self.filters.select(F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "shard", "filter", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), F.lit(None).cast("int").alias("pos"), F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"))
-        rows = lines.select(F.pmod(F.xxhash64("doc_id", "row", "pos"), F.lit(SALTS)).cast("int").alias("salt"), shard().alias("shard"), F.lit(None).cast("binary").alias("filter"), "doc_id", "row", "pos", "k1", "k2")
+        rows = lines.select(F.pmod(F.xxhash64("doc_id", "row", "pos"), F.lit(SALTS)).cast("int").alias("salt"), shard(self.shards).alias("shard"), F.lit(None).cast("binary").alias("filter"), "doc_id", "row", "pos", "k1", "k2")
         n = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
         both = f.unionByName(rows).repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
 
@@ -229,11 +263,20 @@ class LineIndex:
         return both.mapInArrow(run, "doc_id long, row long, pos int, k1 long, k2 long")
 
     def dropped(self, lines: DataFrame) -> DataFrame:
-        """(doc_id, row, gone): the positions of the lines that each row loses."""
-        hits = self.probe(lines)
-        exact = self.frequent.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), "last")
-        found = hits.join(exact, (hits.k1 == exact.f1) & (hits.k2 == exact.f2)).where("doc_id is null or doc_id <> last")
-        return found.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone"))
+        """(doc_id, row, gone): the positions of the lines that each row loses.
+
+        Lines of hot keys (at most ``HOT`` of them) meet the exact counts in a
+        broadcast join and need no filter, so no key with a large part of all
+        lines is one task; all others are probed first.
+        """
+        exact = self.frequent.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), "last", "docs")
+        total = self.frequent.agg(F.sum("docs")).first()[0] or 0
+        hot = F.col("docs") > total // HOT
+        same = (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))
+        few = F.broadcast(exact.where(hot))
+        rest = lines.join(few.select("f1", "f2"), same, "left_anti")
+        found = lines.join(few, same).unionByName(self.probe(rest).join(exact.where(~hot), same))
+        return found.where("doc_id is null or doc_id <> last").groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -244,18 +287,25 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Null and empty texts have one empty line and stay empty.  Rows that share
     a doc_id are one document to the counts, but each loses its own lines only.
     Rows with a null doc_id count as one document and lose frequent lines.
+    Columns named like the new ones are replaced.  An empty table stays empty.
     """
     small_batches(docs.sparkSession, 8192)
-    lines = lines_of(docs)
-    key, row, gone, parts = (fresh(docs, c) for c in ("_id", "_row", "_gone", "_lines"))
-    lost = LineIndex.build(lines, with_refs=False).dropped(lines).select(F.col("doc_id").alias(key), F.col("row").alias(row), F.col("gone").alias(gone))
-    split = docs.join(lost, F.col("doc_id").eqNullSafe(F.col(key)) & (row_of(F.col("text")) == F.col(row)), "left").withColumn(parts, F.split(F.coalesce("text", F.lit("")), "\n"))
-    kept = F.when(F.col(gone).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.concat_ws("\n", F.filter(parts, lambda x, i: ~F.array_contains(gone, i))))
-    return split.select(
+    lines = cut(lines_of(docs), "lines")
+    key, row, gone = (fresh(docs, c) for c in ("_id", "_row", "_gone"))
+    index = LineIndex.build(lines, with_refs=False)
+    lost = cut(index.dropped(lines), "lost")
+    discard(lines, index.frequent, index.filters)
+    lost = lost.select(F.col("doc_id").alias(key), F.col("row").alias(row), F.col("gone").alias(gone))
+    joined = docs.join(lost, F.col("doc_id").eqNullSafe(F.col(key)) & (row_of(F.col("text")) == F.col(row)), "left")
+    whole = F.coalesce("text", F.lit(""))
+    # by the positions that stay: linear in the lines
+    left = lambda parts: F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone), lambda i: F.get(parts, i))
+    kept = F.when(F.col(gone).isNull(), whole).otherwise(F.array_join(let(F.split(whole, "\n"), left), "\n"))
+    return joined.select(
         *[c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")],
         kept.alias("text"),
-        F.size(parts).cast("long").alias("n_lines"),
-        F.coalesce(F.size(F.array_intersect(gone, F.sequence(F.lit(0), F.size(parts) - 1))), F.lit(0)).cast("long").alias("n_dropped"),
+        (F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_dropped"),
     )
 
 

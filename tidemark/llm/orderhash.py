@@ -23,7 +23,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import table
+from .common import let, table
 from .ordering import ranges
 
 K, PIECE, SKETCHES, TUPLE = 3, 16, 32, 2
@@ -33,11 +33,6 @@ NONE, DIGITS = "-" * 8, 8
 PLACE, CHOICE = 24, 5
 
 
-def let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f(x) with x evaluated once."""
-    return F.element_at(F.transform(F.array(x), f), 1)
-
-
 def _with_place(h: Column, i: Column) -> Column:
     return F.shiftleft(F.shiftright(h, PLACE), PLACE).bitwiseOR(i.cast("long").bitwiseAND(F.lit((1 << PLACE) - 1)))
 

@@ -24,13 +24,15 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, scratch, small_batches, table
+from .common import cut, discard, remove, scratch, small_batches, table
 
 #: Payloads under so many bytes are never deduplicated.
 MIN_BYTES = 100
 #: Uncompressed bytes after which a frame ends, and compressed bytes after which a bundle does.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 25
 LEVEL = 3
+#: Bytes of pages (about) that a writing task should have at least, and most revisits that are broadcast.
+TASK_BYTES, MOST_BROADCAST = 1 << 23, 200_000
 #: Fixed values of the Zstandard frame formats.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -66,14 +68,21 @@ def parse(frame: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + n + 4
 
 
+def opened(path: str, write: bool) -> pa.NativeFile:
+    """A stream of a file below a folder that executors share, whatever its scheme."""
+    system, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if not write:
+        return system.open_input_file(place)
+    if isinstance(system, fs.LocalFileSystem):
+        system.create_dir(place.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(place, compression=None)
+
+
 class BundleWriter:
     """Collects records into frames and writes one bundle."""
 
     def __init__(self, path: str) -> None:
-        system, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        if isinstance(system, fs.LocalFileSystem):
-            system.create_dir(place.rpartition("/")[0], recursive=True)
-        self.out, self.path, self.size = system.open_output_stream(place, compression=None), path, 0
+        self.out, self.path, self.size = opened(path, True), path, 0
         self.zstd = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, write_checksum=True)
         self.frames: list[tuple[int, int]] = []
         self.index: list[tuple[bytes, int, int, int]] = []
@@ -110,11 +119,16 @@ class BundleWriter:
 
 
 class BundleReader:
-    """Reads a bundle by its seek table."""
+    """Reads a bundle by its seek table; closes its file at the end of a ``with`` block."""
+
+    def __enter__(self) -> BundleReader:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.file.close()
 
     def __init__(self, path: str) -> None:
-        system, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        self.file = system.open_input_file(place)
+        self.file = opened(path, False)
         size = self.file.size()
         self.file.seek(size - 9)
         n, flags, magic = struct.unpack("<IBI", self.file.read(9))
@@ -162,14 +176,20 @@ def plan(pages: DataFrame) -> DataFrame:
     Of the pages with equal payloads of at least ``MIN_BYTES`` bytes the one
     with the smallest page_id is the response (rows that repeat it are
     responses too); a null page_id is a response only if all of them are null.
-    Payloads are not shuffled to find this: only digests are, counted before.
+    Digests alone decide, in a table of their own.  The revisits are then
+    broadcast to the pages if they are few (counted), so that no payload is
+    shuffled; else both sides are shuffled by page and digest.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    digests = rows.where(F.octet_length("html") >= MIN_BYTES).select("page_id", "digest")
-    shared = digests.groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = digests.join(shared, F.col("digest") == F.col("d")).where("first is not null and not (page_id <=> first)").select(F.col("page_id").alias("p"), "d", "first").distinct()
-    joined = rows.join(again, rows.page_id.eqNullSafe(again.p) & (rows.digest == again.d), "left")
+    digest = F.sha2(F.col("html").cast("binary"), 256)
+    digests = cut(rows.where(F.octet_length("html") >= MIN_BYTES).select("page_id", F.unhex(digest).alias("d")), "digests")
+    shared = digests.groupBy(F.col("d").alias("s")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = cut(digests.join(shared, F.col("d") == F.col("s")).where("first is not null and not (page_id <=> first)").select(F.col("page_id").alias("p"), "d", "first").distinct(), "revisits")
+    discard(digests)
+    if again.count() <= MOST_BROADCAST:
+        again = F.broadcast(again)
+    rows = rows.withColumn("digest", digest)
+    joined = rows.join(again, rows.page_id.eqNullSafe(again.p) & (F.unhex(rows.digest) == again.d), "left")
     return joined.select("page_id", "url", "html", "digest", F.col("d").isNotNull().alias("revisit"), F.col("first").alias("refers_to"))
 
 
@@ -182,7 +202,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         name, bundle, number = f"{task.partitionId():06d}-{uuid.uuid4().hex[:12]}", None, 0
         for b in batches:
             found = []
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                r = {c: b.column(j)[i].as_py() for j, c in enumerate(b.schema.names)}
                 if bundle is None:
                     bundle = BundleWriter(f"{folder}/{name}-{number:04d}.warc.zst")
                 key = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}/{number}/{len(bundle.index)}')}"
@@ -196,7 +217,11 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         if bundle is not None:
             bundle.close()
 
-    return cut(plan(pages).mapInArrow(run, "record_id string, page_id long, bundle string, frame int, offset long, length long"), "warc-index")
+    planned = plan(pages)
+    # many small partitions would be as many small bundles
+    sizes = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    n = max(pages.sparkSession.sparkContext.defaultParallelism, -(-sizes // TASK_BYTES))
+    return cut(planned.coalesce(n).mapInArrow(run, "record_id string, page_id long, bundle string, frame int, offset long, length long"), "warc-index")
 
 
 def read_archives(index: DataFrame) -> DataFrame:
@@ -216,13 +241,14 @@ def read_archives(index: DataFrame) -> DataFrame:
         rows: list[tuple] = []
         for b in batches:
             for path in b.column(0).to_pylist():
-                for fields, payload in BundleReader(path).records():
-                    again = fields["WARC-Type"] == "revisit"
-                    number = lambda k: int(fields[k]) if k in fields else None  # noqa: E731, B023
-                    rows.append((number("Page-ID"), fields["WARC-Type"], number("Refers-To-Page-ID"), fields["WARC-Payload-Digest"].removeprefix("sha256:"), None if again else len(payload), None if again else hashlib.sha256(payload).hexdigest()))
-                    if len(rows) >= 4096:
-                        yield batch(rows)
-                        rows = []
+                with BundleReader(path) as bundle:
+                    for fields, payload in bundle.records():
+                        again = fields["WARC-Type"] == "revisit"
+                        number = lambda k: int(fields[k]) if k in fields else None  # noqa: E731, B023
+                        rows.append((number("Page-ID"), fields["WARC-Type"], number("Refers-To-Page-ID"), fields["WARC-Payload-Digest"].removeprefix("sha256:"), None if again else len(payload), None if again else hashlib.sha256(payload).hexdigest()))
+                        if len(rows) >= 4096:
+                            yield batch(rows)
+                            rows = []
         if rows:
             yield batch(rows)
 
@@ -234,9 +260,15 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     Null html is an empty payload.  A revisit takes its size from the response
     that it refers to; a payload that doesn't have its digest is an error.
+    Without a ``folder`` the bundles are deleted once they have been read.
     """
-    folder = folder or scratch(pages.sparkSession, "warc")
-    back = cut(read_archives(write_archives(pages, folder)), "warc-records")
+    spark, own = pages.sparkSession, folder is None
+    folder = folder or scratch(spark, "warc")
+    index = write_archives(pages, folder)
+    back = cut(read_archives(index), "warc-records")
+    if own:  # nobody was given the folder's name
+        discard(index)
+        remove(spark, folder)
     fine = back.withColumn("payload_digest", F.when(F.col("stored").isNull() | (F.col("stored") == F.col("digest")), F.col("digest")).otherwise(F.raise_error(F.lit("a payload differs from its digest"))))
     plain = fine.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     kept = plain.where("page_id is not null").select(F.col("page_id").alias("id"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("size")).distinct()

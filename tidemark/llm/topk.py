@@ -1,8 +1,8 @@
 """Exact top-k search over binary codes by incremental multi-index hashing (operator 7).
 
 A vector's code has one bit per component: whether it is positive.  A 64-bit
-code is cut into m segments, by the number of distinct codes: the fewer lookups and
-codes met are expected; every segment value is a key of an index.  Round r looks up all values
+code is cut into m segments, the wider the more distinct codes there are, so that a
+segment's value has about eight of them; every segment value is a key of an index.  Round r looks up all values
 within r bits of a query's segments.  A code at Hamming distance d has a segment
 within floor(d/m) bits, so after round r all codes at distance up to
 m * (r + 1) - 1 have been met.  A query is done once its kth best verified
@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
-from math import comb
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import cut, discard, small_batches, table
 
 K = 10
-BITS, LEAST_WIDTH = 64, 8
+#: Bits of a code, least width of a segment, and codes that a segment's value should have.
+BITS, LEAST_WIDTH, VALUE_CODES = 64, 8, 8
 #: Rows over which the ids of one code are spread before its k smallest are taken.
 SALTS = 64
 
@@ -65,24 +66,11 @@ def index(coded: DataFrame, k: int) -> DataFrame:
     return few.groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def segments(distinct: int, k: int = K) -> list[tuple[int, int]]:
-    """(offset, width) of the segments for so many distinct codes: of 1 to ``BITS // LEAST_WIDTH`` segments the number with the least lookups and codes met.
-
-    The estimate takes the codes as random: the kth distance is where k of them are expected.
-    """
-    reached, d = 0.0, -1
-    while reached < min(k, distinct) and d < BITS:
-        d += 1
-        reached += distinct * comb(BITS, d) / 2**BITS
-
-    def cut_in(m: int) -> list[tuple[int, int]]:
-        edges = [BITS * i // m for i in range(m + 1)]
-        return [(a, z - a) for a, z in zip(edges, edges[1:])]
-
-    def cost(m: int) -> float:
-        return sum(comb(w, i) * (1 + distinct / 2**w) for _, w in cut_in(m) for i in range(max(d, 0) // m + 1))
-
-    return cut_in(min(range(1, BITS // LEAST_WIDTH + 1), key=cost))
+def segments(distinct: int) -> list[tuple[int, int]]:
+    """(offset, width) of the segments for so many distinct codes: as wide as gives a value some ``VALUE_CODES`` of them, at least ``LEAST_WIDTH`` bits."""
+    m = max(1, min(BITS // LEAST_WIDTH, round(BITS / max(1.0, log2(max(distinct, 2) / VALUE_CODES)))))
+    edges = [BITS * i // m for i in range(m + 1)]
+    return [(a, z - a) for a, z in zip(edges, edges[1:])]
 
 
 def _segment(code: F.Column, offset: int, width: int) -> F.Column:
@@ -100,7 +88,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     small_batches(vectors.sparkSession, 4096)
     codes_k = cut(index(codes(vectors), k + 1), "codes")
     distinct, total = codes_k.agg(F.count("*"), F.sum(F.size("ids"))).first()
-    parts = segments(distinct, k)
+    parts = segments(distinct)
     keyed = cut(codes_k.select("code", "ids", F.posexplode(F.array(*[_segment(F.col("code"), o, w) for o, w in parts])).alias("segment", "value")), "index")
     asked = codes(queries).select(F.col("vec_id").alias("query_id"), F.col("code").alias("query")).distinct()
     # of how many others a query waits for the best k: fewer only in tables of about as few vectors

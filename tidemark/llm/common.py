@@ -12,6 +12,9 @@ from ..session import importable
 #: Rows and bytes of an Arrow batch sent to Python (a single row may be larger).
 BATCH_ROWS, BATCH_BYTES = 256, 1 << 24
 
+#: Most rows of a table of ids that is broadcast: some MB.
+MOST_BROADCAST = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,6 +68,11 @@ def let(x: F.Column, f: Callable[[F.Column], F.Column]) -> F.Column:
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
+def if_few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df`` for a join: broadcast if it has at most ``most`` rows (of some numbers each), else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` doesn't have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -32,5 +32,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         discard(e)
         e = new
         if now == before:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root")))
+            out = e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root")))
+            out._tidemark_path = e._tidemark_path
+            return out
         before = now

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, fresh, small_batches, table
+from .common import cut, discard, fresh, if_few, small_batches, table
 from .components import connected_components
 from .golay import codewords, nearby
 
@@ -104,6 +104,8 @@ def links(distinct: DataFrame) -> DataFrame:
             _, k, row = keys(fps.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fps[row])], ["key", "b"])
 
+    # a fingerprint has some 85 fuzzy keys: dealt anew, as there are few files of them
+    distinct = distinct.repartition(max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "fp")
     left = distinct.mapInArrow(own, "key long, a long")
     right = distinct.mapInArrow(fuzzy, "key long, b long")
     return left.hint("merge").join(right, (left.key == right.key) & (left.a > right.b) & (F.bit_count(left.a.bitwiseXOR(right.b)) <= MAX_BITS)).select("a", "b")
@@ -123,6 +125,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ("d
     found = connected_components(links(distinct.select("fp")))
     roots = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     roots = cut(roots, "roots")
+    discard(found)
     smallest = roots.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
     labelled = roots.join(smallest, roots.root == smallest.r).select(F.col("fp").alias("f"), "component_id")
     return fps.join(labelled, fps.fp == labelled.f, "left").select(*keep, "fp", "component_id")
@@ -271,8 +274,9 @@ def _least_shared(similarity: float, n: np.ndarray | int) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, common: np.ndarray, words: int, similarity: float) -> DataFrame:
-    """``rows(doc_id, root, text)`` -> (key, doc_id, root, n, pos): the first shingles of every set, of which two similar sets share one at least.
+    """``rows(doc_id, text)`` -> (key, doc_id, at): the first shingles of every set, of which two similar sets share one at least.
 
+    ``at`` holds the size of the set and the place of the shingle in it (32 bits each).
     Sets of p and q at the similarity s share at least s * max(p, q), so one of p
     without its last ceil(s * p) - 1 still has a shared one, the first shared in the order of all.
     """
@@ -282,27 +286,43 @@ def _prefixes(rows: DataFrame, common: np.ndarray, words: int, similarity: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, size, pos = [], [], []
-            for t in b.column(2).to_pylist():
+            key, at, each = [], [], []
+            for t in b.column(1).to_pylist():
                 h = shingle_set(t, words)
                 m = max(len(h) - int(_least_shared(similarity, len(h))) + 1, 0) if len(h) else 0
                 key.append(_ordered(h, rank, by_hash)[:m])
-                size.append(len(h))
-                pos.append(np.arange(len(key[-1]), dtype=np.int32))
-            each = [len(k) for k in key]
+                at.append(len(h) << 32 | np.arange(len(key[-1]), dtype=np.int64))
+                each.append(len(key[-1]))
             if sum(each):
-                ids = [np.repeat(b.column(j).to_numpy(), each) for j in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), *map(pa.array, ids), pa.array(np.repeat(np.array(size, np.int32), each)), pa.array(np.concatenate(pos))], ["key", "doc_id", "root", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), each)), pa.array(np.concatenate(at))], ["key", "doc_id", "at"])
 
-    return rows.select("doc_id", "root", "text").mapInArrow(run, "key long, doc_id long, root long, n int, pos int")
+    return rows.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, at long")
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key those whose key comes more than once: most shingles are in one document only."""
+    last, last_waits = None, True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        whole = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0] if last is not None else b
+        key = whole.column("key").to_numpy()
+        same = key[1:] == key[:-1]
+        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        # the last row stands for its key in the next batch, unless it goes out already
+        known, last_waits = not last_waits, not keep[-1]
+        if known:
+            keep[0] = False
+        yield whole.filter(pa.array(keep))
+        last = whole.slice(whole.num_rows - 1)
 
 
 def _across(similarity: float, all_pairs: bool):
-    """Rows sorted by key and n -> (a, b): documents of different roots that may be similar by their sizes and the places of the key.
+    """Rows sorted by key and ``at`` -> (a, b): documents of different roots that may be similar by their sizes and the places of the key.
 
     Without ``all_pairs`` one pair of each document and root, the first found.
     """
-    names = ("key", "doc_id", "root", "n", "pos")
+    names = ("key", "doc_id", "root", "at")
 
     def bucket(doc: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
         out_a, out_b, size = [], [], 0
@@ -327,8 +347,8 @@ def _across(similarity: float, all_pairs: bool):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
     def ready(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key, doc, root, n, pos = (np.concatenate([p[c] for p in parts]) for c in range(5))
-        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        key, doc, root, at = (np.concatenate([p[c] for p in parts]) for c in range(4))
+        n, pos = at >> 32, at & 0xFFFFFFFF
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
         for a, z in zip(starts[mixed].tolist(), np.append(starts[1:], len(key))[mixed].tolist()):
@@ -356,9 +376,14 @@ def _across(similarity: float, all_pairs: bool):
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of documents of which some texts have a Jaccard similarity of at least ``similarity``."""
-    left = pairs.join(rows.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(rows.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    """The pairs (a, b) of documents of which some texts have a Jaccard similarity of at least ``similarity``.
+
+    Only the texts of documents in a pair are shuffled.
+    """
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
+    texts = cut(rows.join(if_few(ids), "doc_id", "left_semi").select("doc_id", "text"), "texts")
+    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -373,7 +398,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float)
             keep = pa.array(fine, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
-    return both.mapInArrow(verify, "a long, b long")
+    out = cut(both.mapInArrow(verify, "a long, b long"), "links")
+    discard(ids, texts)
+    return out
 
 
 def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -401,15 +428,18 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: f
     proposed = flat.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_propose, "a long, b long")
     pairs = cut(proposed.where("a <> b").distinct(), "pairs")
     links = cut(known.unionByName(_verified(pairs, rows, words, similarity)), "links")
-    firsts = classes.select(F.col("first").alias("doc_id")).distinct()
-    common = _common(rows, words)
+    # of equal sets one: the first document goes on, and every document that is the first of any of its texts
+    copies = cut(members.select(F.col("a").alias("doc_id")).distinct().join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_anti"), "copies")
+    discard(pairs, prints, classes)
+    spread = _prefixes(rows.join(if_few(copies), "doc_id", "left_anti"), _common(rows, words), words, similarity)
+    shared = cut(spread.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_several, "key long, doc_id long, at long"), "prefixes")
     for all_pairs in (False, True):
         roots = connected_components(links)
-        heads = firsts.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
-        placed = rows.join(heads, "doc_id")
-        spread = _prefixes(placed, common, words, similarity).repartition(n, "key").sortWithinPartitions("key", "n")
-        pairs = cut(spread.mapInArrow(_across(similarity, all_pairs), "a long, b long").distinct(), "pairs")
-        links = links.unionByName(cut(_verified(pairs, rows, words, similarity), "links"))
+        placed = shared.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"), "at")
+        pairs = cut(placed.repartition(n, "key").sortWithinPartitions("key", "at").mapInArrow(_across(similarity, all_pairs), "a long, b long").distinct(), "pairs")
+        links = links.unionByName(_verified(pairs, rows, words, similarity))
+        discard(pairs, roots)
+    discard(copies, shared)
     roots = connected_components(links)
     return rows.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 

@@ -24,15 +24,15 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, discard, remove, scratch, small_batches, table
+from .common import cut, discard, if_few, remove, scratch, small_batches, table
 
 #: Payloads under so many bytes are never deduplicated.
 MIN_BYTES = 100
 #: Uncompressed bytes after which a frame ends, and compressed bytes after which a bundle does.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 25
 LEVEL = 3
-#: Bytes of pages (about) that a writing task should have at least, and most revisits that are broadcast.
-TASK_BYTES, MOST_BROADCAST = 1 << 23, 200_000
+#: Bytes of pages (about) that a writing task should have at least.
+TASK_BYTES = 1 << 23
 #: Fixed values of the Zstandard frame formats.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -186,8 +186,7 @@ def plan(pages: DataFrame) -> DataFrame:
     shared = digests.groupBy(F.col("d").alias("s")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = cut(digests.join(shared, F.col("d") == F.col("s")).where("first is not null and not (page_id <=> first)").select(F.col("page_id").alias("p"), "d", "first").distinct(), "revisits")
     discard(digests)
-    if again.count() <= MOST_BROADCAST:
-        again = F.broadcast(again)
+    again = if_few(again)
     rows = rows.withColumn("digest", digest)
     joined = rows.join(again, rows.page_id.eqNullSafe(again.p) & (F.unhex(rows.digest) == again.d), "left")
     return joined.select("page_id", "url", "html", "digest", F.col("d").isNotNull().alias("revisit"), F.col("first").alias("refers_to"))

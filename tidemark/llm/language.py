@@ -2,12 +2,13 @@
 
 For each language a suffix automaton is built over labelled text.  A text is
 parsed greedily into the longest phrases that occur in a language's text; a
-language that needs n phrases for m characters, with N characters of labelled
-text, has cross-parsing entropy n * log2(N) / m bits per character.  The
+language that needs n phrases for m bytes, with N bytes of labelled
+text, has cross-parsing entropy n * log2(N) / m bits per byte.  The
 language with the fewest normalised phrases wins.
 
-The automata are fitted on a bounded sample of labelled rows (``TRAIN_CHARS``
-per language); every text is parsed whole.
+Characters are taken as their bytes in UTF-8, so that any alphabet, however
+large, has at most 256 symbols.  The automata are fitted on a bounded sample of
+labelled rows (``TRAIN_CHARS`` per language); every text is parsed whole.
 """
 
 from __future__ import annotations
@@ -22,12 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import fresh, small_batches, table
 
 UNKNOWN = "und"
-#: Characters of labelled text per language that an automaton is built from, and of one row of it.
-TRAIN_CHARS, ROW_CHARS = 60_000, 600
-#: Most languages that are learned: those with the most labelled rows.
-MAX_LANGUAGES = 200
-#: Characters that have a symbol of their own; all others share one that no labelled text holds.
-MAX_SYMBOLS = 255
+#: Characters of labelled text per language that an automaton is built from, of one row of it, and of all languages together.
+TRAIN_CHARS, ROW_CHARS, ALL_CHARS = 60_000, 600, 1_200_000
 #: Texts that are parsed side by side, under how many a plain loop is faster, and symbols per block.
 LANES, FEW, STEPS = 1024, 10, 64
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -78,18 +75,15 @@ class LanguageModel:
     """Automata of several languages over one alphabet."""
 
     def __init__(self, texts: dict[str, str]) -> None:
-        counts: dict[str, int] = {}
-        texts = {lang: letters(t) for lang, t in texts.items()}
-        for t in texts.values():
-            for c in t:
-                counts[c] = counts.get(c, 0) + 1
-        common = sorted(counts, key=lambda c: (-counts[c], c))[:MAX_SYMBOLS]
-        #: code point -> symbol; 0 for all without one
-        self.symbol = {ord(c): i + 1 for i, c in enumerate(common)}
+        data = {lang: letters(t).encode("utf-8", "surrogatepass") for lang, t in texts.items()}
+        known = sorted(set().union(*data.values()))
+        #: byte -> symbol; 0 for all that no labelled text holds
+        self.lookup = np.zeros(256, np.uint8)
+        self.lookup[known] = np.arange(1, len(known) + 1)
         self.languages = sorted(texts)
-        self.sizes = np.array([max(2, len(texts[x])) for x in self.languages], float)
-        k = len(common)
-        parts = [SuffixAutomaton([self.symbol[ord(c)] for c in texts[x] if ord(c) in self.symbol], k).table for x in self.languages]
+        self.sizes = np.array([max(2, len(data[x])) for x in self.languages], float)
+        k = len(known)
+        parts = [SuffixAutomaton(self.lookup[np.frombuffer(data[x], np.uint8)].tolist(), k).table for x in self.languages]
         #: The automata below one another, completed: per state and symbol the place of the row to go on from (after a
         #: missing transition that of the symbol from the start, or the start), times four, plus the phrases that end or stand alone.
         #: The last symbol pads texts that are over: it changes nothing.
@@ -105,17 +99,12 @@ class LanguageModel:
             go = np.where(missing, np.where(alone, 0, p[0]), p).astype(np.int64)
             packed = np.concatenate([((go + first) * width) << 2 | ends, (np.arange(first, first + len(p))[:, None] * width) << 2], 1)
             self.table[first * width : (first + len(p)) * width] = packed.ravel()
-        low = np.zeros(0x110000 if any(c > 0xFFFF for c in self.symbol) else 0x10000, np.uint8)
-        for c, s in self.symbol.items():
-            low[c] = s
-        self.lookup = low
 
     def symbols(self, text: str) -> np.ndarray:
-        codes = np.frombuffer(letters(text).encode("utf-32-le", "surrogatepass"), np.uint32)
-        return self.lookup[np.where(codes < len(self.lookup), codes, 0)] if codes.size and codes.max() >= len(self.lookup) else self.lookup[codes]
+        return self.lookup[np.frombuffer(letters(text).encode("utf-8", "surrogatepass"), np.uint8)]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
-        """(texts, languages) numbers of phrases of the greedy parses; a character without a match is a phrase of its own."""
+        """(texts, languages) numbers of phrases of the greedy parses; a byte without a match is a phrase of its own."""
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         if not self.languages:
             return out
@@ -161,7 +150,7 @@ class LanguageModel:
         out[ids] = count + (state != base)
 
     def bits(self, texts: list[str]) -> np.ndarray:
-        """(texts, languages) cross-parsing entropies in bits per character."""
+        """(texts, languages) cross-parsing entropies in bits per byte."""
         phrases = self.phrases(texts)
         return phrases * np.log2(self.sizes) / np.maximum(self.parsed, 1)[:, None]
 
@@ -174,20 +163,24 @@ def held_out(doc_id: F.Column) -> F.Column:
 def fit(docs: DataFrame) -> LanguageModel:
     """Learns from text and non-null lang of the rows that are not held out.
 
-    Bounded sample: the first ``ROW_CHARS`` characters of as many rows per
-    language, in order of a hash of doc_id, as fill ``TRAIN_CHARS``; the
-    ``MAX_LANGUAGES`` most frequent languages.  The pick is one map-side top-k
-    per language.
+    Bounded sample: pieces of ``ROW_CHARS`` characters, from a hashed place of
+    the text, of as many rows per language, in order of a hash of doc_id, as fill
+    ``TRAIN_CHARS`` (or a language's part of ``ALL_CHARS``, if there are many).
+    Every language that has a labelled row is learned.  The pick is one
+    map-side top-k per language.
     """
-    rows = TRAIN_CHARS // ROW_CHARS * 3
-    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.substring("text", 1, ROW_CHARS).alias("text"), F.xxhash64("doc_id").alias("h"))
-    names = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    names = [r["lang"] for r in labelled.select("lang").distinct().collect()]  # one row per language
     if not names:
         return LanguageModel({})
+    wanted = max(ROW_CHARS, min(TRAIN_CHARS, ALL_CHARS // len(names)))
+    rows = wanted // ROW_CHARS * 3
+    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.char_length("text") - ROW_CHARS, F.lit(0)) + 1).cast("int") + 1
+    labelled = labelled.select("lang", F.substring(F.col("text"), place, F.lit(ROW_CHARS)).alias("text"), F.xxhash64("doc_id").alias("h"))
     # a row is picked if its hash is among the smallest of its part; parts keep a hot language from being one task
     parts = 32
     w = Window.partitionBy("lang", "part").orderBy("h", "text")
-    some = labelled.where(F.col("lang").isin(names)).withColumn("part", F.pmod(F.col("h"), F.lit(parts))).withColumn("k", F.row_number().over(w)).where(F.col("k") <= -(-rows // parts) * 2)
+    some = labelled.withColumn("part", F.pmod(F.col("h"), F.lit(parts))).withColumn("k", F.row_number().over(w)).where(F.col("k") <= -(-rows // parts) * 2)
     picked: dict[str, list[tuple[int, str]]] = {}
     for r in some.select("lang", "h", "text").collect():
         picked.setdefault(r["lang"], []).append((r["h"], r["text"]))
@@ -200,7 +193,7 @@ def fit(docs: DataFrame) -> LanguageModel:
             seen.add(t)
             parts_of.append(t)
             total += len(t) + 1
-            if total >= TRAIN_CHARS:
+            if total >= wanted:
                 break
         texts[lang] = "\n".join(parts_of)
     return LanguageModel(texts)
@@ -215,7 +208,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     """
     spark = docs.sparkSession
     small_batches(spark, LANES)
-    shared = spark.sparkContext.broadcast(model)  # some 10 MB: bounded by TRAIN_CHARS and MAX_LANGUAGES
+    shared = spark.sparkContext.broadcast(model)  # some 10 MB per language at most: bounded by TRAIN_CHARS and ALL_CHARS
     whole = fresh(docs, "_text")
     kept = docs.select(*[c for c in docs.columns if c not in (text, "lang_pred", "score", "lang_bits")], F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias(whole))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop(whole).schema)

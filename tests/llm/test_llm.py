@@ -165,6 +165,30 @@ def test_similar_documents_equal_brute_force_in_families_of_edits(spark):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == dict(enumerate(root))
 
 
+def test_keys_that_come_more_than_once_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    for _ in range(200):
+        keys = sorted(rng.randint(0, 12) for _ in range(rng.randint(1, 14)))
+        batches, i = [], 0
+        while i < len(keys):
+            n = rng.randint(0, 3)
+            batches.append(pa.RecordBatch.from_arrays([pa.array(keys[i : i + n], pa.int64()), pa.array(range(i, min(i + n, len(keys))), pa.int64()), pa.array([0] * len(keys[i : i + n]), pa.int64())], ["key", "doc_id", "at"]))
+            i += n
+        got = [x for b in simhash._several(batches) for x in b.column("doc_id").to_pylist()]
+        assert got == [i for i, k in enumerate(keys) if keys.count(k) > 1]
+
+
+def test_near_duplicates_of_odd_and_empty_tables(spark, odd, empty):
+    got = sorted((str(r["doc_id"]), r["fp"], str(r["component_id"])) for r in simhash.near_duplicates(odd).collect())
+    assert len(got) == len(ODD)
+    prints = {i: simhash.fingerprint(t) for i, t, *_ in ODD if i is not None}
+    want = components_of(prints)
+    assert {i: c for i, _, c in got if i != "None"} == {str(i): str(c) for i, c in want.items()}
+    assert simhash.near_duplicates(empty).count() == 0
+
+
 # 2: BPE
 
 
@@ -262,6 +286,16 @@ def test_language_of_odd_texts(spark, odd, empty, docs):
     assert language.identify(empty, language.fit(empty)).count() == 0
 
 
+def test_languages_of_large_alphabets_and_shared_heads(spark):
+    rng = random.Random(11)
+    alphabets = {f"l{i}": [chr(0x4E00 + 300 * i + j) for j in range(600)] for i in range(4)}
+    text = lambda a: "SHARED LICENSE HEAD IN ANOTHER LANGUAGE " * 40 + "".join(rng.choices(alphabets[a], k=2500))
+    rows = [(i, text(f"l{i % 4}"), f"l{i % 4}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df, language.fit(df)).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.95
+
+
 # 5: masked language model
 
 
@@ -494,7 +528,7 @@ def test_fingerprint_takes_occurrence_numbered_kmers_in_order(spark):
     num = {}
     pairs = [(x >> 24, n) for r in h for x in r["k"] for n in range(2, 60)]
     hashed = spark.createDataFrame(sorted(set(pairs)), "k long, n int").select("k", "n", F.xxhash64("k", "n").alias("h")).collect()
-    num = {(r["k"], r["n"]): r["h"] for r in hashed}
+    num, tuples = {(r["k"], r["n"]): r["h"] for r in hashed}, []
     for r in h:
         seen, keys = Counter(), []
         for x in sorted(r["k"], key=lambda x: x & 0xFFFFFF):
@@ -504,8 +538,26 @@ def test_fingerprint_takes_occurrence_numbered_kmers_in_order(spark):
             keys.append((key, k, at))
         for b in range(32):
             mine = sorted(x for x in keys if x[0] >> 59 == b - 16)[:2]
-            assert (r["f"][8 * b : 8 * b + 8] == orderhash.NONE) == (not mine)
+            digits = r["f"][8 * b : 8 * b + 8]
+            assert (digits == orderhash.NONE) == (not mine)
+            if mine:
+                tuples.append(([k for _, k, _ in sorted(mine, key=lambda x: x[2])], digits))
         assert len(r["f"]) == 256
+    made = spark.createDataFrame(tuples, "kmers array<long>, digits string").select("digits", F.lower(F.hex(F.xxhash64("kmers"))).alias("h")).collect()
+    assert made and all(x["h"].rjust(16, "0")[:8] == x["digits"] for x in made)
+
+
+def test_words_of_runs_without_spaces(spark):
+    rng = random.Random(10)
+    run = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789", k=3000))
+    han = "".join(chr(0x4E00 + rng.randrange(800)) for _ in range(600))
+    texts = [run, "Q" + run, run[:1500] + "zz" + run[1500:], han, "中" + han, "x" * 5000, "a bc  def\u00a0ghi\u3000j " + "k" * 16 + " l"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r["i"]: r for r in rows.select("i", orderhash.fingerprint(F.col("text")).alias("f"), F.regexp_extract_all("text", F.lit(orderhash.WORDS), F.lit(1)).alias("w")).collect()}
+    assert "".join(got[0]["w"]) == run and "".join(got[5]["w"]) == texts[5] and max(map(len, got[0]["w"])) <= 16
+    assert got[6]["w"] == ["a", "bc", "def", "ghi", "j", "k" * 16, "l"] and got[3]["w"] == list(han)
+    like = lambda a, b: spark.createDataFrame([(got[a]["f"], got[b]["f"])], "a string, b string").select(orderhash.likeness(F.col("a"), F.col("b"))).first()[0]
+    assert like(0, 1) > 0.8 and like(0, 2) > 0.7 and like(3, 4) > 0.8 and like(0, 3) < 0.2
 
 
 # 10: mixing

@@ -1,7 +1,9 @@
 """Order MinHash document fingerprints (operator 9, native).
 
-A text's words (runs without white space, in pieces of at most ``PIECE``
-characters) form k-mers of ``K`` words.  Each k-mer is numbered by occurrence,
+A text's words are its runs without white space of at most ``PIECE`` characters.
+A longer run is cut where its own characters say so (after one of ``ENDS``, four
+characters on at least), so an edit moves the cuts near it only; a character of a
+script that is written without spaces is a word.  ``K`` words form a k-mer.  Each k-mer is numbered by occurrence,
 and k-mer and number are hashed together, once: the high bits of the hash
 choose one of ``SKETCHES`` sketches and the hash itself ranks the k-mers of a
 sketch (one permutation, cut into as many parts as there are sketches).  Every
@@ -14,7 +16,9 @@ that either has; two fingerprints without any are alike.
 
 All is done with DataFrame functions, on one array of longs per text: a hash
 in the high 40 bits and a place in the low 24, so that one sort brings equal
-k-mers together in text order.  Texts are shuffled once, by a range of doc_id.
+k-mers together in text order.  So hashes are compared by 40 bits, and in a text of
+over 16,777,216 words places start again from 0.  Texts are shuffled once, by a range
+of doc_id.
 """
 
 from __future__ import annotations
@@ -29,6 +33,12 @@ from .ordering import ranges
 K, PIECE, SKETCHES, TUPLE = 3, 16, 32, 2
 #: A sketch without k-mers, and the digits of one with some.
 NONE, DIGITS = "-" * 8, 8
+#: Characters of scripts without spaces, those that a word may have, and after which a long run is cut.
+_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_IN, ENDS = rf"[^\s\p{{Z}}{_ALONE}]", r"[aeiouAEIOU0-3/.,;:_+=&-]"
+WORDS = rf"({_IN}{{1,{PIECE}}}+(?!{_IN})|[{_ALONE}]|{_IN}{{3,{PIECE - 1}}}?{ENDS}|{_IN}{{1,{PIECE}}})"
+#: Characters of a shuffled task, about.
+TASK_CHARS = 1 << 23
 #: Bits of a place in a text (places beyond them start again), and those of a hash that choose its sketch.
 PLACE, CHOICE = 24, 5
 
@@ -39,7 +49,7 @@ def _with_place(h: Column, i: Column) -> Column:
 
 def kmers(text: Column) -> Column:
     """The hashes of a text's k-mers with their places, ascending; of all its words if they are fewer than ``K``."""
-    words = F.regexp_extract_all(text, F.lit(rf"(\S{{1,{PIECE}}})"), F.lit(1))
+    words = F.regexp_extract_all(text, F.lit(WORDS), F.lit(1))
 
     def hashed(w: Column) -> Column:
         each = F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: _with_place(F.xxhash64(*[F.get(w, i + j) for j in range(K)]), i))
@@ -93,7 +103,7 @@ def fingerprint(text: Column) -> Column:
         numbers = F.sequence(F.lit(-(SKETCHES // 2)), F.lit(SKETCHES // 2 - 1))
         return let(let(firsts, chosen), lambda c: F.array_join(F.transform(numbers, lambda b: sketch(c, b)), ""))
 
-    return F.when(text.rlike(r"\S"), let(kmers(text), printed)).otherwise(F.lit(NONE * SKETCHES))
+    return F.when(text.rlike(r"[^\s\p{Z}]"), let(kmers(text), printed)).otherwise(F.lit(NONE * SKETCHES))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -116,13 +126,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     Documents are partitioned by ranges of doc_id.  Each range is followed by
     a guest, the first document of the next range that has any.
     """
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("part", ranges(docs, "doc_id"))
     firsts = docs.groupBy("part").agg(F.min("doc_id").alias("f_id"))
     everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = firsts.select(F.col("part").alias("f_part"), "f_id", F.coalesce(F.lag("part").over(Window.orderBy("part")), F.last("part").over(everything)).alias("to"))
     # at most KNOTS * (MOST_PER + 1) + 2 rows: a proven bound
     guests = docs.join(F.broadcast(before), (docs.part == before.f_part) & docs.doc_id.eqNullSafe(before.f_id)).select(F.col("to").alias("part"), F.lit(1).alias("guest"), "doc_id", "text")
-    both = docs.select("part", F.lit(0).alias("guest"), "doc_id", "text").unionByName(guests)
+    both = docs.select("part", F.lit(0).alias("guest"), "doc_id", "text").unionByName(guests).repartition(int(-(-chars // TASK_CHARS)) + 1, "part")
     w = Window.partitionBy("part").orderBy("guest", "doc_id", "text")
     return both.select("part", F.row_number().over(w).alias("nth"), "guest", "doc_id", "text", F.lead("text").over(w).alias("next"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Quantiles that ranges follow; ranges between two of them, and how many rows a range should have.
-KNOTS, LEAST_PER, MOST_PER, RANGE_ROWS = 64, 4, 1024, 2000
+KNOTS, LEAST_PER, MOST_PER, RANGE_ROWS = 64, 4, 8192, 500
 
 
 def ranges(rows: DataFrame, key: str) -> Column:

@@ -299,27 +299,86 @@ def test_languages_of_large_alphabets_and_shared_heads(spark):
 # 5: masked language model
 
 
-def test_masked_model_prefers_the_corpus(spark, odd, empty):
+def plain_scores(m, texts, inside, corpus=None):
+    """The definition, word by word, with the model's base probabilities."""
+    frequent = m.plain
+    sets = []
+    for t in corpus if corpus is not None else texts:
+        w = ["", *masked.lowered(t).split(), ""]
+        sets.append({(w[i - 1], w[i + 1], w[i]) for i in range(1, len(w) - 1)})
+    out = []
+    for own, t in enumerate(texts):
+        w = masked.lowered(t).split()
+        total, base = 0.0, m.base(masked.Words([masked.lowered(t)])) if w else []
+        for i, x in enumerate(w):
+            left, right = w[i - 1] if i else "", w[i + 1] if i + 1 < len(w) else ""
+            p = float(np.exp(base[i]))
+            others = [s for j, s in enumerate(sets) if not (inside and j == own)]
+            if not ((left in frequent or left == "") and (right in frequent or right == "")):
+                c = sum((left, right, x) in s for s in others)
+                places = sum(sum((a, b) == (left, right) for a, b, _ in s) for s in others)
+                p = (c + masked.STRENGTH * p) / (places + masked.STRENGTH)
+            total += np.log(p)
+        out.append(total)
+    return out
+
+
+def test_masked_scores_equal_the_definition(spark):
     rng = random.Random(5)
-    line = lambda: "the cat sat on the mat and the dog ran to the cat"
-    d = spark.createDataFrame([(i, " ".join(line() for _ in range(60))) for i in range(20)], "doc_id long, text string")
-    m = masked.fit(d)
-    assert m.counts.sum() == 20 * 60 * 13
-    words = line().split() * 10
-    mixed = words[:]
-    rng.shuffle(mixed)
-    tests = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(mixed)), (2, "qq zz ww " * 20)], "doc_id long, text string")
-    s = {r["doc_id"]: r["per_word"] for r in masked.score(tests, m).collect()}
-    assert s[0] > s[1] > s[2]
-    got = {r["doc_id"]: r for r in masked.score(odd, m).collect()}
-    assert got[1]["log_likelihood"] == got[2]["log_likelihood"] == 0 and got[1]["per_word"] is None
-    assert masked.score(empty, masked.fit(empty)).count() == 0
-
-
-def test_masked_probabilities_of_classes_add_up():
-    net = masked.Network()
-    _, logp = net.forward(np.zeros((4, 3), int))
-    assert np.exp(logp).sum(1) == pytest.approx(1, abs=1e-5)
+    word = lambda: "".join(rng.choices("abcd", k=rng.randint(2, 5)))
+    texts = [" ".join(rng.choice(["the", "of", "in", word()]) for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    texts += [texts[3], texts[3], texts[5], "", "\n", "é 日本 the", texts[7] + " " + word()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    packed = masked.pack(df)
+    m = masked.fit_blocks(packed)
+    m.plain = {x for t in texts for x in masked.lowered(t).split() if m.classes(masked.Words([x]))[0] <= masked.FREQUENT}
+    got = {r["doc_id"]: r["log_likelihood"] for r in masked.score_blocks(packed, m, None).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(plain_scores(m, texts, True), rel=1e-4, abs=1e-4)
+    new = ["the of the", texts[0], "zz yy"]
+    other = spark.createDataFrame(list(enumerate(new)), "doc_id long, text string")
+    m.corpus = packed
+    got = {r["doc_id"]: r["log_likelihood"] for r in masked.score(other, m).collect()}
+    assert [got[i] for i in range(3)] == pytest.approx(plain_scores(m, new, False, texts), rel=1e-4, abs=1e-4)
+
+
+def test_masked_probabilities_add_up(spark):
+    df = spark.createDataFrame([(i, r[1]) for i, r in enumerate(corpus(40))], "doc_id long, text string")
+    m = masked.fit(df)
+    # bytes: from any byte some word goes on or ends, and all of them together have probability one
+    assert np.exp(m.bytes).sum(1) == pytest.approx(np.ones(257)) and (np.exp(m.bytes[:256, 256]) > 0).all() and np.exp(m.bytes[256, 256]) == 0
+    # groups: what frequent words take out is all that lacks
+    total = np.exp(m.mass[m.used[1 + masked.FREQUENT :]]).sum()
+    words = [x for t in corpus(40) for x in masked.lowered(t[1]).split()]
+    often = list(dict.fromkeys(w for w in words if m.classes(masked.Words([w]))[0] <= masked.FREQUENT))
+    assert total + np.exp(m.spelled(masked.Words(often))).sum() == pytest.approx(1, abs=1e-6)
+    # classes: only those that some word has
+    net = masked.Network(m.vector, m.used)
+    _, logp = net.forward(np.random.default_rng(0).integers(0, masked.CLASSES, (2 * masked.SIDE, 5)))
+    assert np.exp(logp).sum(1) == pytest.approx(1, abs=1e-4) and (np.exp(logp[:, ~m.used]) == 0).all()
+    # and so in one context: every frequent word by its class, the others by their groups
+    classes = m.classes(masked.Words(often))
+    assert len(set(classes)) == len(often) == m.used[: 1 + masked.FREQUENT].sum()
+
+
+def test_masked_scores_do_not_depend_on_partitions(spark):
+    rows = [(r[0], r[1]) for r in corpus(100, 3)] + [(None, "no id"), (None, "no id"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = ({(r["doc_id"], r["n_words"]): r["log_likelihood"] for r in masked.score_corpus(df.repartition(n)).collect()} for n in (1, 9))
+    assert set(one) == set(many) and [many[k] for k in one] == pytest.approx(list(one.values()), rel=1e-4, abs=1e-3)
+
+
+def test_masked_model_tells_texts_of_the_corpus_apart(spark, odd, empty):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8)))
+    texts = [" ".join(word() for _ in range(50)) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:10]])], "doc_id long, text string")
+    s = {r["doc_id"]: r["per_word"] for r in masked.score_corpus(df).collect()}
+    twice = [s[i] for i in [*range(10), *range(60, 70)]]
+    assert min(twice) > max(s[i] for i in range(10, 60)) + 2
+    got = {r["doc_id"]: r for r in masked.score(odd, masked.fit(df)).collect()}
+    assert got[1]["log_likelihood"] == got[2]["log_likelihood"] == 0 and got[1]["per_word"] is None and set(odd.columns) - {"text"} < set(got[1].asDict())
+    assert masked.score_corpus(odd).count() == len(ODD) and masked.score_corpus(empty).count() == 0
+    assert masked.score(empty, masked.fit(empty)).count() == 0 and masked.score(odd, masked.fit(empty)).count() == len(ODD)
 
 
 # 6: line dedup

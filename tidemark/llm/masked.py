@@ -1,76 +1,122 @@
 """Language-model scores by masked pseudo-likelihood (operator 5).
 
-Every word of a text is predicted from the two words on either side: the sum
-of log P(word | both sides) over all words scores the text.  The network sums
-an embedding of each neighbour, by place, through a hyperbolic tangent into a
-softmax over classes of words; within its class a word has its share of the
-corpus.  Frequent words are a class of their own, all others are classed by
-their endings, so the softmax stays small and any word has a probability.
-
-Everything learned comes from all texts.  Word counts are gathered from the
-whole corpus, hashed into ``BUCKETS``.  The network is trained in numpy, one
-pass over every window of every text: each task trains a copy from the same
-start on its own texts, and the copies are averaged by their words in one
-distributed aggregation, so the driver gets one network of fixed size.
+Every word of a text is predicted from both sides: the sum of log P(word | both
+sides) over all words scores the text.  Words are the runs of bytes between
+white space of the lower-cased text in UTF-8.  P has three parts:
+
+* A window network, trained in numpy: the classes of the two words on either
+  side, embedded by place, pass through a hyperbolic tangent into a softmax over
+  classes.  A class is one of the frequent words, or all other words that begin
+  with a byte of the same group.
+* Within a class of other words, a word has its share of a byte-bigram model of
+  the corpus, divided by the share of the whole class.  So ``base``, the product
+  of both, adds up to one over all words there can be.
+* A memory of the corpus: in how many documents a word stands between the same
+  two words.  With c of T such places in other documents, the probability is
+  (c + STRENGTH * base) / (T + STRENGTH), which adds up to one as well.  Places
+  between two frequent words are left to the network.  A document that is scored
+  by the corpus that it belongs to never counts for itself.
+
+Everything learned comes from all texts, and is a function of the rows, not of
+their partitions.  Documents are dealt by a hash to blocks of some million
+characters, one row of a table each.  The network is trained by rounds: in each,
+every block of the round trains a copy from the same start, and the next start
+is the mean of the copies by their words.  The memory grows with the corpus and
+is never held whole: blocks send their sorted keys in pieces to shards, which
+add them up and send the totals back to the blocks that asked.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+
+from .common import cut, discard, fresh, small_batches, table
+
+#: Frequent words with a class of their own, and groups of the first bytes of all others.
+FREQUENT, GROUPS = 63, 64
+#: Classes: padding, then frequent words, then groups.
+CLASSES = 1 + FREQUENT + GROUPS
+#: Neighbours on each side; width of the network; words of a training step; rounds of training.
+SIDE, WIDTH, STEP, ROUNDS = 2, 16, 4096, 2
+RATE, CLIP, SEED = 0.15, 5.0, 11
+#: What the base weighs against the places of the memory.
+STRENGTH = 1.0
+#: Characters of a block: at least, at most, and how many blocks there should be at least before they get larger.
+BLOCK_CHARS, MOST_CHARS, BLOCKS = 1 << 22, 1 << 26, 1000
+#: Keys (about) of a shard of the memory.
+SHARD_KEYS = 1 << 19
+#: Words of a chunk that may become frequent ones, and the most bytes that such a word may have.
+CANDIDATES, SHORT = 200, 14
+#: Bytes that are looked at together, and bits of a key: a word's, and beside the shard's number a context's.
+CHUNK, WORD_BITS, CONTEXT_BITS = 1 << 22, 16, 32
+_END, _BYTES = 256, 64
+_SPACES = [9, 10, 11, 12, 13, 32]
+
+
+@lru_cache(maxsize=1)
+def _tabulation() -> np.ndarray:
+    """Random 64-bit numbers by place in a word (repeating) and byte: their sum is a word's hash."""
+    return np.random.default_rng(SEED).integers(0, 1 << 64, (_BYTES, 256), np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(29)
 
-from .common import fresh, small_batches, table
 
-#: Buckets of the hashed word counts; frequent words with a class of their own; classes of endings.
-BUCKETS, FREQUENT, ENDINGS = 1 << 16, 63, 64
-ENDING_CHARS = 3
-#: Neighbours on each side; width of the network; words of a training step.
-SIDE, WIDTH, STEP = 2, 16, 2048
-RATE, CLIP = 0.15, 5.0
-SEED = 11
-#: Classes: padding, then frequent words, then endings.
-CLASSES = 1 + FREQUENT + ENDINGS
-#: Words whose hashes a worker remembers.
-CACHED = 1 << 18
+class Words:
+    """The words of texts laid end to end: bytes, where words begin in them, hashes, and the place of each word's text."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        data = np.frombuffer(b" ".join(texts), np.uint8)
+        space = _is_space()[data]
+        lengths = np.array([len(t) for t in texts], np.int64)
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
+        begin, end = edge[::2], edge[1::2]
+        self.sizes = end - begin
+        self.bytes = data[~space]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        inside = np.arange(len(self.bytes)) - np.repeat(self.starts, self.sizes)
+        values = _tabulation()[inside % _BYTES, self.bytes]
+        self.hash = np.add.reduceat(values, self.starts) + self.sizes.astype(np.uint64) if len(begin) else np.zeros(0, np.uint64)
+        firsts = np.cumsum(lengths + 1) - lengths - 1
+        self.text = np.searchsorted(firsts, begin, side="right") - 1
+        self.counts = np.bincount(self.text, minlength=len(texts))
+
+    def spelled(self, i: int) -> bytes:
+        return self.bytes[self.starts[i] : self.starts[i] + self.sizes[i]].tobytes()
+
+    def around(self, values: np.ndarray, d: int, beyond: int) -> np.ndarray:
+        """The value of the word d places on, ``beyond`` past the ends of the text."""
+        n, out = len(values), np.full(len(values), beyond, values.dtype)
+        a, z = (slice(max(-d, 0), n - max(d, 0)), slice(max(d, 0), n - max(-d, 0)))
+        same = self.text[a] == self.text[z]
+        out[a] = np.where(same, values[z], out[a])
+        return out
+
+
+@lru_cache(maxsize=1)
+def _is_space() -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[_SPACES] = True
+    return out
 
 
-class Words:
-    """Buckets (and, once the frequent ones are known, classes) of words, remembered."""
-
-    def __init__(self, frequent: dict[int, int] | None = None) -> None:
-        self.frequent, self.seen = frequent, {}
-
-    def __call__(self, text: str | None) -> list:
-        words = (text or "").lower().split()
-        found = list(map(self.seen.get, words))
-        if None in found:
-            found = [self.new(w) if x is None else x for w, x in zip(words, found)]
-        return found
-
-    def new(self, word: str) -> int:
-        """The bucket of a word, and from the 17th bit on its class."""
-        data = word.encode("utf-8", "surrogatepass")
-        x = zlib.crc32(data) & BUCKETS - 1
-        if self.frequent is not None:
-            k = self.frequent.get(x)
-            if k is None:
-                k = 1 + FREQUENT + zlib.crc32(word[-ENDING_CHARS:].encode("utf-8", "surrogatepass")) % ENDINGS
-            x |= k << 16
-        if len(word) <= 64:
-            if len(self.seen) >= CACHED:
-                self.seen.clear()
-            self.seen[word] = x
-        return x
+def lowered(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "surrogatepass")
 
 
 class Network:
-    """The bidirectional window network."""
+    """The bidirectional window network; ``used`` tells which classes there are."""
 
-    def __init__(self, vector: np.ndarray | None = None) -> None:
+    def __init__(self, vector: np.ndarray | None = None, used: np.ndarray | None = None) -> None:
         rng = np.random.default_rng(SEED)
         e, u = 2 * SIDE * CLASSES * WIDTH, WIDTH * CLASSES
         if vector is None:
@@ -79,6 +125,7 @@ class Network:
         self.embed = vector[:e].reshape(2 * SIDE, CLASSES, WIDTH)
         self.out = vector[e : e + u].reshape(WIDTH, CLASSES)
         self.bias = vector[e + u :]
+        self.off = np.float32(-1e9) * ~(np.arange(CLASSES) > 0 if used is None else used)
 
     def vector(self) -> np.ndarray:
         return np.concatenate([self.embed.ravel(), self.out.ravel(), self.bias])
@@ -87,10 +134,10 @@ class Network:
         """Hidden layers and log-probabilities of the classes for windows (2 * SIDE, n) of neighbours."""
         hidden = self.embed[0][around[0]]
         for i in range(1, 2 * SIDE):
-            hidden = hidden + self.embed[i][around[i]]
+            hidden += self.embed[i][around[i]]
         np.tanh(hidden, out=hidden)
         logits = hidden @ self.out
-        logits += self.bias
+        logits += self.bias + self.off
         logits -= logits.max(1, keepdims=True)
         logits -= np.log(np.exp(logits).sum(1, keepdims=True))
         return hidden, logits
@@ -112,148 +159,377 @@ class Network:
             self.embed[i] -= rate * (total / (np.bincount(around[i], minlength=CLASSES)[:, None] + 8)).astype(np.float32)
 
 
-def windows(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(2 * SIDE, n) classes of the neighbours of each word of texts laid end to end; 0 beyond the ends of a text.  ``starts``: the first place of each word's text and its end, (2, n)."""
-    n = len(classes)
-    at = np.arange(n)
-    out = np.zeros((2 * SIDE, n), np.int64)
-    for i, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        j = at + d
-        fine = (j >= starts[0]) & (j < starts[1])
-        out[i, fine] = classes[j[fine]]
-    return out
+class MaskedModel:
+    """Frequent words, byte bigrams and the network; ``corpus`` holds the blocks that it was learned from."""
+
+    def __init__(self, frequent: list[bytes], bigrams: np.ndarray, vector: np.ndarray | None = None) -> None:
+        self.vector = vector
+        hashes = Words(frequent).hash if frequent else np.zeros(0, np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.class_of = hashes[order], 1 + order
+        share = bigrams.astype(float) + 0.5
+        share[:, _SPACES] = 0
+        share[_END, _END] = 0  # no word is empty
+        with np.errstate(divide="ignore"):
+            self.bytes = np.log(share / share.sum(1, keepdims=True))
+        # the share of each group of first bytes, without that of the frequent words in it
+        group = np.arange(256) % GROUPS
+        mass = np.bincount(group, np.exp(self.bytes[_END, :256]), GROUPS)
+        if frequent:
+            w = Words(frequent)
+            np.subtract.at(mass, group[w.bytes[w.starts]], np.exp(self.spelled(w)))
+        self.mass = np.log(np.maximum(mass, 1e-300))
+        self.used = np.zeros(CLASSES, bool)
+        self.used[1 : 1 + len(frequent)] = True
+        self.used[1 + FREQUENT :] = mass > 1e-12
+        self.corpus: DataFrame | None = None
+
+    def spelled(self, w: Words) -> np.ndarray:
+        """Log-probability of each word by the byte bigrams, its end included."""
+        if not len(w.sizes):
+            return np.zeros(0)
+        before = np.concatenate([[_END], w.bytes[:-1]]).astype(np.int64)
+        before[w.starts] = _END
+        last = w.bytes[w.starts + w.sizes - 1]
+        return np.add.reduceat(self.bytes[before, w.bytes], w.starts) + self.bytes[last, _END]
+
+    def classes(self, w: Words) -> np.ndarray:
+        out = 1 + FREQUENT + (w.bytes[w.starts] % GROUPS).astype(np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, w.hash), len(self.hashes) - 1)
+            out = np.where(self.hashes[at] == w.hash, self.class_of[at], out)
+        return out
+
+    def windows(self, w: Words, classes: np.ndarray) -> np.ndarray:
+        """(2 * SIDE, n) classes of the neighbours of each word; 0 beyond the ends of its text."""
+        return np.stack([w.around(classes, d, 0) for d in [*range(-SIDE, 0), *range(1, SIDE + 1)]])
+
+    def base(self, w: Words) -> np.ndarray:
+        """Log-probability of each word by network and bytes."""
+        net = Network(self.vector, self.used)
+        classes = self.classes(w)
+        around = self.windows(w, classes)
+        out = np.zeros(len(classes))
+        for i in range(0, len(classes), STEP):
+            _, logp = net.forward(around[:, i : i + STEP])
+            out[i : i + STEP] = logp[np.arange(len(logp)), classes[i : i + STEP]]
+        other = classes > FREQUENT
+        return out + np.where(other, self.spelled(w) - self.mass[np.maximum(classes - 1 - FREQUENT, 0)], 0)
+
+    def keys(self, w: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(which, key): the words that are not between two frequent ones, and their keys: CONTEXT_BITS + bits of the neighbours' hash, then the word's."""
+        frequent = self.classes(w) <= FREQUENT
+        which = np.flatnonzero(~(w.around(frequent, -1, 1) & w.around(frequent, 1, 1)))
+        left, right = w.around(w.hash, -1, 0)[which], w.around(w.hash, 1, 0)[which]
+        context = _mixed(_mixed(left + np.uint64(1)) + right) >> np.uint64(64 - CONTEXT_BITS - bits)
+        return which, context << np.uint64(WORD_BITS) | _mixed(w.hash[which]) >> np.uint64(64 - WORD_BITS)
+
+
+def pack(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(block, rows, sizes, data): the documents in blocks, by a hash of id and text; ``rows`` holds all columns but ``text``, ``data`` the packed lower-cased texts."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    total = docs.agg(F.sum(F.char_length(text))).first()[0] or 0
+    blocks = max(1, -(-total // max(BLOCK_CHARS, min(MOST_CHARS, total // BLOCKS))))
+    keep = [c for c in docs.columns if c != text]
+    # rows without an id may be as many as they like, with equal texts too: they are dealt by place
+    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()) if "doc_id" in keep else F.monotonically_increasing_id()
+    h = F.xxhash64(*(["doc_id"] if "doc_id" in keep else []), F.col(text), salt)
+    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(text, F.lit("")).alias("text"), h.alias("h"))
+    n = min(blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    dealt = rows.withColumn("block", F.pmod("h", F.lit(blocks))).repartition(n, "block").sortWithinPartitions("block", "h")
+    schema = StructType([StructField("block", LongType()), StructField("rows", ArrayType(rows.schema["row"].dataType)), StructField("sizes", ArrayType(IntegerType())), StructField("data", BinaryType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, texts = None, [], []
 
-def _laid_out(found: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.array([len(f) for f in found], np.int64)
-    flat = np.fromiter((x for f in found for x in f), np.int64, int(sizes.sum()))
-    ends = np.cumsum(sizes)
-    return flat, sizes, np.stack([np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)])
+        def done() -> pa.RecordBatch:
+            whole = pa.concat_arrays(held)
+            sizes = pa.array([len(t) for t in texts], pa.int32())
+            offsets = pa.array([0, len(whole)], pa.int32())
+            data = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.ListArray.from_arrays(offsets, whole), pa.ListArray.from_arrays(offsets, sizes), pa.array([data], pa.binary())], ["block", "rows", "sizes", "data"])
 
+        for b in batches:
+            block = b.column("block").to_numpy()
+            starts = np.flatnonzero(np.diff(block, prepend=-1)) if b.num_rows else np.zeros(0, int)
+            for a, z in zip(starts, [*starts[1:], b.num_rows]):
+                if held and block[a] != now:
+                    yield done()
+                    held, texts = [], []
+                now = int(block[a])
+                part = b.slice(a, z - a)
+                held.append(part.column("row"))
+                texts += [lowered(t) for t in part.column("text").to_pylist()]
+        if held:
+            yield done()
+
+    return cut(dealt.mapInArrow(run, schema), "blocks")
+
+
+def _texts(sizes: pa.ListScalar, data: pa.BinaryScalar) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, texts) of a block, about ``CHUNK`` bytes at a time."""
+    plain = zstandard.ZstdDecompressor().decompress(data.as_py())
+    at, first, out, n = 0, 0, [], 0
+    for size in sizes.as_py():
+        out.append(plain[at : at + size])
+        at, n = at + size, n + size
+        if n >= CHUNK:
+            yield first, out
+            first, out, n = first + len(out), [], 0
+    if out:
+        yield first, out
+
+
+def _statistics(packed: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words, and how often each byte follows each (256: begin or end of a word).
+
+    A frequent word has at most ``SHORT`` bytes and is among the ``CANDIDATES``
+    most frequent of at least one chunk, where its spelling is noted (in two numbers).
+    """
 
-def _texts_by_words(batch: pa.RecordBatch, column: int, words: Words) -> Iterator[tuple[list[int], list[list]]]:
-    """(rows, words) of some texts of a batch at a time, about 64 thousand words."""
-    rows, found, n = [], [], 0
-    for i in range(batch.num_rows):
-        f = words(batch.column(column)[i].as_py())
-        rows.append(i)
-        found.append(f)
-        n += len(f)
-        if n >= 1 << 16:
-            yield rows, found
-            rows, found, n = [], [], 0
-    if rows:
-        yield rows, found
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bigrams, side = np.zeros(257 * 257, np.int64), 257
 
+        def rows(pair: bool, key: np.ndarray, n: np.ndarray, a: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([pair] * len(key), pa.bool_()), *map(pa.array, (key, n, a, z))], ["pair", "key", "n", "a", "z"])
 
-class MaskedModel:
-    """Word counts, the frequent words and the network."""
-
-    def __init__(self, counts: np.ndarray, frequent: dict[int, int], vector: np.ndarray) -> None:
-        self.frequent, self.vector, self.counts = frequent, vector, counts
-        self.words_of: Words | None = None
-
-    def ready(self) -> None:
-        """Makes the network and, for each class, what a word of it counts against."""
-        self.net, self.words_of = Network(self.vector), Words(self.frequent)
-        own = np.array(list(self.frequent), np.int64)
-        rest = self.counts.copy()
-        rest[own] = 0
-        #: log of a bucket's share among the words without a class of their own
-        self.share = np.log((self.counts + 1.0) / (rest.sum() / ENDINGS + BUCKETS / ENDINGS))
-
-    def log_probabilities(self, found: list[list]) -> np.ndarray:
-        """Of each text the sum of the conditional log-probabilities of its words (natural logarithm)."""
-        flat, sizes, starts = _laid_out(found)
-        classes, buckets = flat >> 16, flat & BUCKETS - 1
-        around = windows(classes, starts)
-        out = np.zeros(len(flat))
-        for i in range(0, len(flat), STEP):
-            s = slice(i, i + STEP)
-            _, logp = self.net.forward(around[:, s])
-            out[s] = logp[np.arange(len(logp)), classes[s]]
-        out += np.where(classes > FREQUENT, np.minimum(self.share[buckets], 0), 0)
-        totals = np.zeros(len(sizes))
-        some = sizes > 0
-        totals[some] = np.add.reduceat(out, (np.cumsum(sizes) - sizes)[some]) if len(flat) else 0
-        return totals
-
-
-def count_words(docs: DataFrame) -> np.ndarray:
-    """Hashed counts of the words of all texts."""
-    small_batches(docs.sparkSession)
+        for b in batches:
+            for i in range(b.num_rows):
+                for _, texts in _texts(b.column(0)[i], b.column(1)[i]):
+                    w = Words(texts)
+                    if not len(w.hash):
+                        continue
+                    before = np.concatenate([[_END], w.bytes[:-1]]).astype(np.int64)
+                    before[w.starts] = _END
+                    bigrams += np.bincount(before * side + w.bytes, minlength=side * side)
+                    bigrams += np.bincount(w.bytes[w.starts + w.sizes - 1].astype(np.int64) * side + _END, minlength=side * side)
+                    found, at, n = np.unique(w.hash, return_index=True, return_counts=True)
+                    head, tail = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+                    for j in np.argsort(-n, kind="stable")[:CANDIDATES].tolist():
+                        if w.sizes[at[j]] <= SHORT:
+                            word = w.spelled(int(at[j])).ljust(SHORT, b"\0")
+                            head[j], tail[j] = (int.from_bytes(x, "big") for x in (word[: SHORT // 2], word[SHORT // 2 :]))
+                    yield rows(False, found.view(np.int64), n, head, tail)
+        at = np.flatnonzero(bigrams)
+        yield rows(True, at, bigrams[at], at * 0, at * 0)
+
+    counted = packed.select("sizes", "data").mapInArrow(run, "pair boolean, key long, n long, a long, z long")
+    totals = cut(counted.groupBy("pair", "key").agg(F.sum("n").alias("n"), F.max("a").alias("a"), F.max("z").alias("z")), "words")
+    bigrams = np.zeros(257 * 257, np.int64)
+    for k, n in totals.where("pair").select("key", "n").collect():  # at most 257 * 257 rows
+        bigrams[k] = n
+    best = totals.where("not pair and a > 0").orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
+    discard(totals)
+    return [(r["a"].to_bytes(SHORT // 2, "big") + r["z"].to_bytes(SHORT // 2, "big")).rstrip(b"\0") for r in best], bigrams.reshape(257, 257)
+
+
+def fit_blocks(packed: DataFrame) -> MaskedModel:
+    """Learns from all blocks; without any word all words are alike."""
+    model = MaskedModel(*_statistics(packed))
+    model.vector = Network().vector().astype(np.float64)
+    for turn in range(ROUNDS):
+        frozen = packed.sparkSession.sparkContext.broadcast(model)  # some hundred kB, of a fixed size
+
+        def run(batches: Iterator[pa.RecordBatch], frozen=frozen) -> Iterator[pa.RecordBatch]:
+            m, total, seen = frozen.value, 0.0, 0
+            for b in batches:
+                for i in range(b.num_rows):
+                    net, own = Network(m.vector, m.used), 0
+                    for _, texts in _texts(b.column(0)[i], b.column(1)[i]):
+                        w = Words(texts)
+                        classes = m.classes(w)
+                        around = m.windows(w, classes)
+                        for j in range(0, len(classes), STEP):
+                            net.train(around[:, j : j + STEP], classes[j : j + STEP])
+                        own += len(classes)
+                    total, seen = total + net.vector().astype(np.float64) * own, seen + own
+            if seen:
+                v = np.asarray(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v), pa.array(np.full(len(v), seen))], ["i", "v", "n"])
+
+        part = packed.where(F.pmod("block", F.lit(ROUNDS)) == turn).select("sizes", "data")
+        vector = model.vector.copy()
+        for i, v in part.mapInArrow(run, "i int, v double, n long").groupBy("i").agg(F.sum("v") / F.sum("n")).collect():  # one row per weight
+            vector[i] = v
+        model.vector = vector
+        frozen.unpersist()
+    # sums of other orders differ by rounding only, which is taken away here
+    model.vector = np.round(model.vector, 6)
+    return model
+
+
+def fit(docs: DataFrame, text: str = "text") -> MaskedModel:
+    """A model of all texts of ``docs``, for scores of other documents."""
+    packed = pack(docs, text)
+    model = fit_blocks(packed)
+    model.corpus = packed
+    return model
+
+
+def _own_keys(m: MaskedModel, sizes: pa.ListScalar, data: pa.BinaryScalar, bits: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """(keys, documents, chunks) of a block: the distinct keys ascending, in how many documents each is; per chunk its words, and for each key of a word in which document."""
+    chunks, all_keys, all_docs = [], [], []
+    for first, texts in _texts(sizes, data):
+        w = Words(texts)
+        which, key = m.keys(w, bits) if len(w.hash) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        chunks.append((first, w, which, key))
+        all_keys.append(key)
+        all_docs.append(w.text[which] + first)
+    key, doc = np.concatenate([np.zeros(0, np.uint64), *all_keys]), np.concatenate([np.zeros(0, np.int64), *all_docs])
+    order = np.argsort(key, kind="stable")  # documents ascend within a key
+    key, doc = key[order], doc[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    distinct, count = np.unique(key[new], return_counts=True)
+    return distinct, count.astype(np.uint32), chunks
+
+
+def _six(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _whole(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _pressed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u4").tobytes())
+
+
+def _unpressed(x: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<u4")
+
+
+def _asked(packed: DataFrame, frozen, bits: int, counts: bool, answers: bool) -> DataFrame:
+    """(shard, block, counts, answers, keys, documents): the keys of each block by shard; whether they count, and whether totals are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, words = np.zeros(BUCKETS, np.int64), Words()
+        m = frozen.value
         for b in batches:
-            for _, found in _texts_by_words(b, 0, words):
-                total += np.bincount(_laid_out(found)[0], minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+            for i in range(b.num_rows):
+                distinct, count, _ = _own_keys(m, b.column(1)[i], b.column(2)[i], bits)
+                shard = (distinct >> np.uint64(CONTEXT_BITS + WORD_BITS)).astype(np.int64)
+                starts = np.flatnonzero(np.diff(shard, prepend=-1)) if len(shard) else np.zeros(0, int)
+                ends = np.append(starts[1:], len(shard))
+                n = len(starts)
+                yield pa.RecordBatch.from_arrays([pa.array(shard[starts].astype(np.int32)), pa.array(np.full(n, b.column(0)[i].as_py(), np.int64)), pa.array([counts] * n, pa.bool_()), pa.array([answers] * n, pa.bool_()), pa.array([_six(distinct[a:z]) for a, z in zip(starts, ends)], pa.binary()), pa.array([_pressed(count[a:z]) for a, z in zip(starts, ends)], pa.binary())], ["shard", "block", "counts", "answers", "keys", "documents"])
+
+    return packed.select("block", "sizes", "data").mapInArrow(run, "shard int, block long, counts boolean, answers boolean, keys binary, documents binary")
 
-    counts = np.zeros(BUCKETS, np.int64)
-    for bucket, n in docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():  # BUCKETS rows
-        counts[bucket] = n
-    return counts
 
+def _totals(asked: DataFrame) -> DataFrame:
+    """(block, shard, totals): for each key of a block in how many documents it is, and all keys of its context."""
 
-def fit(docs: DataFrame) -> MaskedModel:
-    """Learns from every text of ``docs``; without any word all words are alike."""
-    counts = count_words(docs)
-    top = sorted(np.flatnonzero(counts), key=lambda x: (-counts[x], x))[:FREQUENT]
-    frequent = {int(x): i + 1 for i, x in enumerate(top)}
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, keys, counts = [], [], []
+        for b in batches:
+            for i in range(b.num_rows):
+                k = _whole(b.column("keys")[i].as_py())
+                if b.column("counts")[i].as_py():
+                    keys.append(k)
+                    counts.append(_unpressed(b.column("documents")[i].as_py()))
+                if b.column("answers")[i].as_py():
+                    wanted.append((b.column("block")[i].as_py(), k))
+        k = np.concatenate([np.zeros(0, np.uint64), *keys])
+        n = np.concatenate([np.zeros(0, np.int64), *counts])
+        order = np.argsort(k, kind="stable")
+        k, n = k[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
+        known, docs = k[first], np.add.reduceat(n, first) if len(k) else n
+        context = known >> np.uint64(WORD_BITS)
+        head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(k) else np.zeros(0, int)
+        all_of = np.add.reduceat(docs, head) if len(k) else docs
+        contexts = context[head]
+        for block, own in wanted:
+            at, c = np.searchsorted(known, own), np.searchsorted(contexts, own >> np.uint64(WORD_BITS))
+            at, c = np.minimum(at, max(len(known) - 1, 0)), np.minimum(c, max(len(contexts) - 1, 0))
+            d = np.where(known[at] == own, docs[at], 0) if len(known) else np.zeros(len(own))
+            t = np.where(contexts[c] == own >> np.uint64(WORD_BITS), all_of[c], 0) if len(known) else np.zeros(len(own))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([key[0].as_py()], pa.int32()), pa.array([_pressed(np.concatenate([d, t]))], pa.binary())], ["block", "shard", "totals"])
+
+    return asked.groupBy("shard").applyInArrow(run, "block long, shard int, totals binary")
+
+
+def score_blocks(packed: DataFrame, model: MaskedModel, corpus: DataFrame | None) -> DataFrame:
+    """The rows of ``packed`` with n_words, log_likelihood and per_word; ``corpus`` None: they are the corpus, and each is left out of its own score."""
+    spark = packed.sparkSession
+    inside = corpus is None
+    held, model.corpus = model.corpus, None
+    frozen = spark.sparkContext.broadcast(model)  # some hundred kB, of a fixed size
+    model.corpus = held
+    words = (packed if inside else corpus).agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    bits = max(0, (words // 6 // SHARD_KEYS).bit_length())
+    asked = _asked(packed, frozen, bits, inside, True)
+    if not inside:
+        asked = asked.unionByName(_asked(corpus, frozen, bits, True, False))
+    totals = _totals(asked).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "totals"))).alias("found"))
+    both = packed.hint("merge").join(totals.withColumnRenamed("block", "b"), F.col("block") == F.col("b"), "left").select("rows", "sizes", "data", "found")
+    row = packed.schema["rows"].dataType.elementType
+    new = ("n_words", "log_likelihood", "per_word")
+    kept = [f for f in row.fields if f.name not in new]
+    schema = StructType([*kept, StructField(new[0], LongType()), *StructType.fromDDL(f"{new[1]} double, {new[2]} double").fields])
+    from_own = 1 if inside else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, words, seen = Network(), Words(frequent), 0
+        m = frozen.value
         for b in batches:
-            for _, found in _texts_by_words(b, 0, words):
-                flat, _, starts = _laid_out(found)
-                classes = flat >> 16
-                around = windows(classes, starts)
-                for i in range(0, len(flat), STEP):
-                    net.train(around[:, i : i + STEP], classes[i : i + STEP])
-                seen += len(flat)
-        v = net.vector().astype(np.float64) * seen
-        at = np.arange(len(v), dtype=np.int32)
-        if seen:
-            for i in range(0, len(v), 8192):
-                yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 8192]), pa.array(v[i : i + 8192]), pa.array(np.full(len(v[i : i + 8192]), seen))], ["i", "v", "n"])
-
-    vector = Network().vector().astype(np.float64)
-    for i, v in docs.select("text").mapInArrow(run, "i int, v double, n long").groupBy("i").agg(F.sum("v") / F.sum("n")).collect():  # one row per weight of the network
-        vector[i] = v
-    return MaskedModel(counts, frequent, vector)
+            for i in range(b.num_rows):
+                rows = b.column(0)[i].values
+                distinct, _, chunks = _own_keys(m, b.column(1)[i], b.column(2)[i], bits)
+                parts = [_unpressed(x["totals"]) for x in b.column(3)[i].as_py() or []]
+                d = np.concatenate([np.zeros(0), *(p[: len(p) // 2] for p in parts)])
+                t = np.concatenate([np.zeros(0), *(p[len(p) // 2 :] for p in parts)])
+                n, total = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+                for first, w, which, key in chunks:
+                    if not len(w.hash):
+                        continue
+                    logp = m.base(w)
+                    at = np.searchsorted(distinct, key)
+                    # the document itself stands once in its keys' counts, and with each of its words in a context in those of the context
+                    context = key >> np.uint64(WORD_BITS)
+                    order = np.lexsort((key, context, w.text[which]))
+                    k, doc = key[order], w.text[which][order]
+                    fresh_key = np.ones(len(k), bool)
+                    fresh_key[1:] = (k[1:] != k[:-1]) | (doc[1:] != doc[:-1])
+                    fresh_context = np.ones(len(k), bool)
+                    fresh_context[1:] = (context[order][1:] != context[order][:-1]) | (doc[1:] != doc[:-1])
+                    own = np.zeros(len(k))
+                    if len(k):
+                        group = np.cumsum(fresh_context) - 1
+                        own[order] = np.bincount(group, fresh_key)[group]
+                    others, places = d[at] - from_own, t[at] - from_own * own
+                    some = np.flatnonzero(places > 0)
+                    x = which[some]
+                    logp[x] = np.log(others[some] + STRENGTH * np.exp(logp[x])) - np.log(places[some] + STRENGTH)
+                    last = first + len(w.counts)
+                    n[first:last] = w.counts
+                    total[first:last] = np.bincount(w.text, logp, len(w.counts))
+                per = pa.array(total / np.maximum(n, 1), mask=n == 0)
+                columns = [rows.field(row.fieldNames().index(f.name)) for f in kept]
+                out = pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(total), per], [*(f.name for f in kept), *new])
+                yield out
+
+    return both.mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: MaskedModel, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` but ``text``, with n_words, log_likelihood and per_word.
+    """All columns of ``docs`` but ``text``, with n_words, log_likelihood and per_word, by the model of another corpus.
 
     A text without words (null and empty ones too) has log-likelihood 0 and a null per_word.
+    Columns named like the new ones are replaced.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # under 1 MB, of a fixed size
-    new = ("n_words", "log_likelihood", "per_word")
-    whole = fresh(docs, "_text")
-    kept = docs.select(*[c for c in docs.columns if c not in (text, *new)], F.col(text).alias(whole))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop(whole).schema)
+    return score_blocks(pack(docs, text), model, model.corpus)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        if m.words_of is None:
-            m.ready()
-        for b in batches:
-            n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for rows, found in _texts_by_words(b, b.num_columns - 1, m.words_of):
-                n[rows] = [len(f) for f in found]
-                total[rows] = m.log_probabilities(found)
-            per = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n), pa.array(total), per], [*b.schema.names[:-1], *new])
 
-    return kept.mapInArrow(run, f"{schema}, n_words long, log_likelihood double, per_word double".lstrip(", "))
+def score_corpus(docs: DataFrame, text: str = "text") -> DataFrame:
+    """As ``score``, of every document by a model of all of them, its own places left out of the memory."""
+    packed = pack(docs, text)
+    return score_blocks(packed, fit_blocks(packed), None)
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, log_likelihood, per_word of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, fit(docs))
+    return score_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))

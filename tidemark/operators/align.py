@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import bday_add
 
@@ -19,29 +19,41 @@ def pivot_series(long: DataFrame, names: list[str], date: str = "obs_date") -> D
     return long.groupBy(F.col(date).alias("date")).pivot("series_id", names).agg(F.first("value", ignorenulls=True))
 
 
-def asof(left: DataFrame, right: DataFrame, columns: list[str], days: int | None = None, by: str | None = None, left_on: str = "date", right_on: str = "date", parts: int = 16) -> DataFrame:
+def per_day(rows: DataFrame, days: int | None, until: Column | None = None) -> DataFrame:
+    """``rows(_d, _r)``, the series of one economy -> (_day, _r): each day with the row in force, at most ``days`` old, to the day ``until``.
+
+    One row per day of the calendar, whatever the number of bars: some ten thousand a century.
+    The dates of a series are in one window: one row each.
+    """
+    one = rows.where(F.col("_d").isNotNull()).groupBy("_d").agg(F.max("_r").alias("_r"))
+    end = F.date_sub(F.lead("_d").over(Window.orderBy("_d")), 1)
+    if days is None:
+        end = F.coalesce(end, until)
+    else:
+        end = F.least(end, F.date_add("_d", days))  # skips NULLs
+    return one.withColumn("_end", end).where("_end >= _d").select(F.explode(F.sequence("_d", "_end")).alias("_day"), "_r")
+
+
+def asof(left: DataFrame, right: DataFrame, columns: list[str], days: int | None = None, by: str | None = None, left_on: str = "date", right_on: str = "date") -> DataFrame:
     """Each left row with the latest right row on or before its date, at most ``days`` earlier (inclusive).
 
-    The whole right row is taken, so a NULL cell stays NULL.  Both sides are
-    united and sorted by key and date, right rows before left ones of a date;
-    the last right row seen is carried along: one shuffle, and no range join.
-    Without a key the rows are cut at quantiles of the left dates, and the last right
-    row of each part goes to the head of the later ones, so that no single
-    task sorts everything.  Left rows without a date get no right row.
+    The whole right row is taken, so a NULL cell stays NULL; of right rows with
+    equal dates the largest.  Without a key the right side becomes a table of
+    days, which is broadcast: the left side is joined on its date without a
+    shuffle.  With a key both sides are united and sorted by key and date, right rows
+    before left ones of a date, and the last right row seen is carried along: one
+    shuffle, and no range join.  Left rows without a date get no right row.
     """
+    if not by:
+        held = F.struct(F.col(right_on).cast("date").alias("asof_date"), *columns)
+        until = None if days is not None else F.lit(left.agg(F.max(F.col(left_on).cast("date"))).first()[0]).cast("date")
+        table = per_day(right.select(F.col(right_on).cast("date").alias("_d"), held.alias("_r")), days, until)
+        kept = [c for c in left.columns if c not in columns and c != "asof_date"]
+        return left.select(*kept).join(F.broadcast(table), F.col(left_on).cast("date") == F.col("_day"), "left").select(*kept, "_r.*")
     held = F.struct(F.col(right_on).cast("date").alias("asof_date"), *columns)
     kept = [c for c in left.columns if c not in columns and c != "asof_date"]
-    a = left.select(F.struct(*kept).alias("_l"), F.col(left_on).cast("date").alias("_d"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(held.alias("x")).schema["x"].dataType).alias("_r"), *([F.col(by).alias("_k")] if by else []))
-    b = right.where(F.col(right_on).isNotNull()).select(F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), F.col(right_on).cast("date").alias("_d"), F.lit(0).alias("_side"), held.alias("_r"), *([F.col(by).alias("_k")] if by else []))
-    if not by:
-        day = F.unix_date("_d")
-        edges = sorted(set(a.agg(F.percentile_approx(day, [i / parts for i in range(1, parts)], 1000)).first()[0] or []))
-        at = F.array(*map(F.lit, edges)) if edges else F.array().cast("array<int>")
-        a, b = (x.withColumn("_k", F.size(F.filter(at, lambda e: e < day))) for x in (a, b))
-        # the last right row of each part, for the parts after it: at most ``parts`` rows
-        last = b.groupBy("_k").agg(F.max_by("_r", "_d").alias("_r"), F.max("_d").alias("_d"))
-        heads = last.select(F.explode(F.sequence(F.col("_k") + 1, F.greatest(F.col("_k") + 1, F.lit(len(edges))))).alias("_k"), "_r", "_d").where(F.col("_k") <= len(edges))
-        b = b.unionByName(heads.select(F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), "_d", F.lit(0).alias("_side"), "_r", "_k"))
+    a = left.select(F.struct(*kept).alias("_l"), F.col(left_on).cast("date").alias("_d"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(held.alias("x")).schema["x"].dataType).alias("_r"), F.col(by).alias("_k"))
+    b = right.where(F.col(right_on).isNotNull()).select(F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), F.col(right_on).cast("date").alias("_d"), F.lit(0).alias("_side"), held.alias("_r"), F.col(by).alias("_k"))
     w = Window.partitionBy("_k").orderBy("_d", "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b).withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
     if days is not None:
@@ -52,12 +64,19 @@ def asof(left: DataFrame, right: DataFrame, columns: list[str], days: int | None
 
 def asof_lagged(left: DataFrame, macro: DataFrame, lags: dict[str, int], days: int | None = None) -> DataFrame:
     """As-of join of each series of a wide macro table at its date plus its publication lag in business days."""
-    out = left
-    for name, n in lags.items():
-        series = macro.where(F.col(name).isNotNull()).select(bday_add("date", n).alias("date"), name)
-        series = series.groupBy("date").agg(F.max_by(name, "date").alias(name)) if n else series
-        out = asof(out, series, [name], days).drop("asof_date")
-    return out
+    until = None if days is not None else F.lit(left.agg(F.max(F.col("date").cast("date"))).first()[0]).cast("date")
+    # all series in one pass: (series, day it is out, value); of values that are out on the same day the later observation
+    each = F.array(*[F.struct(F.lit(c).alias("_s"), bday_add("date", n).alias("_d"), F.col(c).cast("double").alias("_v")) for c, n in lags.items()])
+    long = macro.select("date", F.explode(each).alias("x")).select("date", "x.*").where("_v is not null and _d is not null")
+    out = long.groupBy("_s", "_d").agg(F.max_by("_v", "date").alias("_v"))
+    w = Window.partitionBy("_s").orderBy("_d")
+    end = F.date_sub(F.lead("_d").over(w), 1)
+    end = F.coalesce(end, until) if days is None else F.least(end, F.date_add("_d", days))
+    daily = out.withColumn("_end", end).where("_end >= _d").select("_s", "_v", F.explode(F.sequence("_d", "_end")).alias("_day"))
+    # one row per day of the calendar: the left side is read once, and not shuffled
+    table = daily.groupBy("_day").pivot("_s", list(lags)).agg(F.first("_v"))
+    kept = [c for c in left.columns if c not in lags]
+    return left.select(*kept).join(F.broadcast(table), F.col("date").cast("date") == F.col("_day"), "left").select(*kept, *lags)
 
 
 def fill_left(keys: DataFrame, values: DataFrame, on: list[str], defaults: dict[str, float]) -> DataFrame:

@@ -107,6 +107,17 @@ def best_threshold(events: DataFrame, cost: float = 0.0005) -> DataFrame:
     return s.groupBy("ticker").agg(F.max_by("threshold", F.struct("sharpe", -F.col("threshold"))).alias("threshold"), F.max("sharpe").alias("sharpe"))
 
 
+def threshold_with_trades(events: DataFrame, best: DataFrame, least: int = 5, default: float = 0.5) -> DataFrame:
+    """(ticker, threshold): the best threshold (``default`` where there is none) if at least ``least`` events reach it, else the first of falling quantiles of the probabilities that so many reach."""
+    steps = [0.98, 0.95, 0.90, 0.85, 0.80, 0.75, 0.70, 0.65, 0.60, 0.55]
+    quantiles = events.groupBy("ticker").agg(F.percentile("proba", F.array(*map(F.lit, steps))).alias("q"))
+    start = quantiles.join(best.select("ticker", "threshold"), "ticker", "left").withColumn("start", F.coalesce("threshold", F.lit(default)))
+    tried = start.select("ticker", "start", F.posexplode(F.concat(F.array("start"), "q")).alias("at", "cut"))
+    reached = events.select("ticker", "proba").join(tried, "ticker").groupBy("ticker", "at", "cut", "start").agg(F.count(F.when(F.col("proba") >= F.col("cut"), 1)).alias("n"))
+    first = F.min_by("cut", F.when(F.col("n") >= least, F.col("at")))
+    return reached.groupBy("ticker").agg(F.coalesce(first, F.first("start")).alias("threshold"))
+
+
 def numbered(df: DataFrame) -> DataFrame:
     return df.withColumns({"pos": F.row_number().over(ordered()) - 1, "n": F.count("*").over(Window.partitionBy("ticker"))})
 

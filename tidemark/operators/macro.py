@@ -58,11 +58,36 @@ def simple_features(df: DataFrame, price: str, rate: str, base: str) -> DataFram
     return df.withColumns({f"{c}_z": (F.col(c) - past(F.avg, c, 12, w())) / F.nullif(past(F.stddev_samp, c, 12, w()), F.lit(0.0)) for c in ("yoy", "carry")})
 
 
-def late_curve(df: DataFrame, short: str, long: str) -> DataFrame:
-    """Level and slope with their changes over five rows, one row late."""
-    df = df.withColumns({"_level": F.col(long), "_slope": F.col(long) - F.col(short)})
-    df = df.withColumns({"_level_5": F.col("_level") - prev("_level", 5, w()), "_slope_5": F.col("_slope") - prev("_slope", 5, w())})
-    return df.withColumns({"yc_level": prev("_level", 1, w()), "yc_slope": prev("_slope", 1, w()), "yc_level_chg_5": prev("_level_5", 1, w()), "yc_slope_chg_5": prev("_slope_5", 1, w())}).drop("_level", "_slope", "_level_5", "_slope_5")
+def _late(df: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """``df`` with new columns and their changes over five rows, all one row late."""
+    hidden = df.withColumns({f"_{c}": x for c, x in made.items()})
+    late = {c: prev(f"_{c}", 1, w()) for c in made} | {f"{c}_chg_5": prev(f"_{c}", 1, w()) - prev(f"_{c}", 6, w()) for c in made}
+    return hidden.withColumns(late).drop(*[f"_{c}" for c in made])
+
+
+def late_curve(df: DataFrame, ten: str, five: str, two: str, bill: str) -> DataFrame:
+    """Level, slope (against the bill, else the two-year tenor) and curvature of the tenors that are there, with their changes over five rows, one row late."""
+    have = set(df.columns)
+    made = {}
+    if ten in have:
+        made["yc_level"] = F.col(ten)
+        if short := next((c for c in (bill, two) if c in have), None):
+            made["yc_slope_bill" if short == bill else "yc_slope_two"] = F.col(ten) - F.col(short)
+        if {five, two} <= have:
+            made["yc_curvature"] = F.col(ten) - 2 * F.col(five) + F.col(two)
+    return _late(df, made)
+
+
+def liquidity_proxies(df: DataFrame, funds: str, bill: str, ten: str) -> DataFrame:
+    """Bill less funds rate, ten years less bill, ten years less funds rate, of the series that are there, with their changes over five rows, one row late."""
+    have = set(df.columns)
+    pairs = {"proxy_ted_like": (bill, funds), "term_slope": (ten, bill), "carry_ff": (ten, funds)}
+    return _late(df, {c: F.col(a) - F.col(b) for c, (a, b) in pairs.items() if {a, b} <= have})
+
+
+def state_features(df: DataFrame, ten: str, five: str, two: str, bill: str, funds: str, actual: str, expected: str) -> DataFrame:
+    """The state of the economy: curve, liquidity and surprises, by date (components and their regimes: ``pca_regimes``)."""
+    return surprises(liquidity_proxies(late_curve(df, ten, five, two, bill), funds, bill, ten), actual, expected)
 
 
 def surprises(df: DataFrame, actual: str, expected: str) -> DataFrame:
@@ -99,7 +124,9 @@ def pca_regimes(df: DataFrame, columns: list[str], k: int = 2, clusters: int = 3
     a = vector_to_array("_pc")
     scored = pca.transform(joined.transform(zs)).withColumns({f"pc{j + 1}": a[j] * signs[j] for j in range(k)})
     parts = VectorAssembler(inputCols=[f"pc{j + 1}" for j in range(k)], outputCol="_x")
-    fitted = [KMeans(k=clusters, seed=s, featuresCol="_x", predictionCol="_k").fit(parts.transform(scored)) for s in range(seeds)]
+    # clusters, like components, know the rows up to ``train_end`` only
+    known = parts.transform(scored.where(F.col("date") <= F.lit(train_end)) if train_end else scored)
+    fitted = [KMeans(k=clusters, seed=s, featuresCol="_x", predictionCol="_k").fit(known) for s in range(seeds)]
     best = min(fitted, key=lambda m: m.summary.trainingCost)
     order = sorted(range(len(best.clusterCenters())), key=lambda i: tuple(best.clusterCenters()[i]))
     named = F.create_map(*[F.lit(x) for i, c in enumerate(order) for x in (c, i)])

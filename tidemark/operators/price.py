@@ -282,3 +282,26 @@ def relative(bars: DataFrame, benchmark: str, n: int = 60) -> DataFrame:
     )
 
 
+
+
+def two_relatives(bars: DataFrame, sector: str | None, market: str | None, fallbacks: tuple[str | None, str | None] = (None, None), n: int = 60) -> DataFrame:
+    """Relative strength and rolling beta of every ticker against its sector's fund and the market, on a common grid.
+
+    A benchmark that has no bars is replaced by its fallback; without either its columns are NULL.
+    """
+    asked = {x for x in (sector, market, *fallbacks) if x}
+    have = {r[0] for r in bars.where(F.col("ticker").isin(*asked)).select("ticker").distinct().collect()}  # at most four
+    out = bars.withColumn("ret", pct("close"))
+    w = ordered().rowsBetween(-(n - 1), 0)
+    for name, choices in (("sector", (sector, fallbacks[0])), ("market", (market, fallbacks[1]))):
+        bench = next((x for x in choices if x in have), None)
+        if bench is None:
+            out = out.withColumns({f"{name}_{c}": F.lit(None).cast("double") for c in ("strength", "beta")})
+            continue
+        # one ticker's returns by date: a row per day of the calendar
+        own = bars.where(F.col("ticker") == bench).withColumn("_b", pct("close")).select("date", "_b")
+        out = out.join(F.broadcast(own), "date", "left")
+        full = F.count(F.when(F.col("ret").isNotNull() & F.col("_b").isNotNull(), 1)).over(w) >= n
+        beta = F.when(full, F.covar_samp("ret", "_b").over(w) / (F.var_samp(F.when(F.col("ret").isNotNull(), F.col("_b"))).over(w) + 1e-12))
+        out = out.withColumns({f"{name}_strength": F.col("ret") / (F.col("_b") + TINY), f"{name}_beta": beta}).drop("_b")
+    return out

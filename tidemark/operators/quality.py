@@ -194,6 +194,12 @@ def content_hash(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("hash"))
 
 
+def same_content(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(same): whether two tables have the same rows, in any order, by their hashes."""
+    x, y = content_hash(a), content_hash(b)
+    return x.join(F.broadcast(y.withColumnsRenamed({"rows": "r", "hash": "h"})), F.col("rows").eqNullSafe(F.col("r")), "left").select(F.col("h").eqNullSafe(F.col("hash")).alias("same"))
+
+
 def seeded_sample(df: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
 

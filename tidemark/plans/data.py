@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.exprs import pct as spark_pct, prev
@@ -17,7 +19,7 @@ on_bars("s1_common_grid", common_grid, [], ALL, f"\n====\nSELECT {ALLS} FROM bar
 on_bars("s2_relabel", lambda b: b.select(F.concat(F.lit("T_"), "ticker").alias("ticker"), "date", F.col("close").alias("price")), [], ["price"], "\n====\nSELECT 'T_' || ticker AS ticker, date, close AS price FROM bars")
 add("s3_observations_json", lambda s, d: round_trip_observations(macro_long(macro_monthly(s, d), list(LAGS))), ["series_id", "obs_date"], ["value"], "\n====\nSELECT series_id, date AS obs_date, value FROM (UNPIVOT macro ON discount, tax, price INTO NAME series_id VALUE value)")
 on_bars("s5_k1_csv_round_trip", round_trip_csv, [], ALL, f"\n====\nSELECT {ALLS} FROM bars")
-on_bars("s7_k2_parquet_round_trip", lambda b: round_trip_parquet(b, "ticker").where("ticker = '1-URGENT'"), [], ALL, f"\n====\nSELECT {ALLS} FROM bars WHERE ticker = '1-URGENT'")
+on_bars("s7_k2_parquet_round_trip", lambda b: round_trip_parquet(b, "ticker"), [], ALL, f"\n====\nSELECT {ALLS} FROM bars")
 NAMES = "SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN n_name || '__' || n_nationkey ELSE replace(n_name, ' ', '_') || '_X_' || n_nationkey END AS name FROM nation"
 
 
@@ -120,13 +122,37 @@ on_bars("a14_target_health", lambda b: quality.target_health(b, [5, 10], [0.0, 0
 on_bars("a15_suggested_thresholds", lambda b: quality.suggested_thresholds(b, 5, 0.3), [], ["threshold"], f"{FWD.format(w=5)}\n====\nSELECT ticker, quantile_cont(fwd, 0.7) AS threshold FROM f GROUP BY 1", keys=("ticker",))
 SCORE = f"f AS (SELECT ticker, date, {pct('close')} AS r1, {pct('close', 5)} AS r5, {pct('volume')} AS v1, coalesce((lead(close, 5) OVER ({W}) / nullif(close, 0) - 1 > 0)::INT, 0) AS y FROM bars), u AS (UNPIVOT f ON r1, r5, v1 INTO NAME feature VALUE x), s AS (SELECT ticker, feature, abs(corr(x, CAST(y AS DOUBLE))) AS score FROM u GROUP BY 1, 2 HAVING count(x) >= 150), k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY score DESC, feature) AS k FROM s)\n====\nSELECT ticker, string_agg(feature, ',' ORDER BY k) AS top_features, avg(score) AS score FROM k WHERE k <= 2 GROUP BY 1"
 on_bars("a17_a18_scores", lambda b: quality.scores(b.withColumns({"r1": spark_pct("close"), "r5": spark_pct("close", 5), "v1": spark_pct("volume"), "y": F.coalesce((F.lead("close", 5).over(Window.partitionBy("ticker").orderBy("date")) / F.col("close") - 1 > 0).cast("int"), F.lit(0))}), ["r1", "r5", "v1"], "y", 150, 2), ["top_features"], ["score"], SCORE, keys=("ticker",))
-add("a25_content_hash", lambda s, d: quality.content_hash(bars(s, d)), ["rows"], [], "\n====\nSELECT count(*) AS rows FROM bars")
+
+
+def _hashes(s: SparkSession, d: str) -> DataFrame:
+    """Of bars against themselves in another order, with one cell changed, without some rows, and with some rows twice."""
+    b = bars(s, d)
+    first = (F.col("ticker") == "1-URGENT") & (F.col("date") == F.lit(b.where("ticker = '1-URGENT'").agg(F.min("date")).first()[0]))
+    others = {"reordered": b.orderBy(F.desc("date"), "ticker"), "cell": b.withColumn("close", F.when(first, F.col("close") + 1).otherwise(F.col("close"))), "less": b.where("ticker <> '5-LOW' or volume > 1"), "twice": b.unionByName(b.where("ticker = '1-URGENT'"))}
+    found = [quality.same_content(b, x).select(F.lit(n).alias("kind"), "same") for n, x in others.items()]
+    return reduce(DataFrame.unionByName, found).join(F.broadcast(quality.content_hash(b).select("rows")))
+
+
+NO_URGENT, NO_LOW = (f"NOT EXISTS (SELECT 1 FROM bars WHERE {x})" for x in ("ticker = '1-URGENT'", "ticker = '5-LOW' AND volume <= 1"))
+HASHED = f"u AS (SELECT 'reordered' AS kind, true AS same UNION ALL SELECT 'cell', {NO_URGENT} UNION ALL SELECT 'less', {NO_LOW} UNION ALL SELECT 'twice', {NO_URGENT})"
+add("a25_content_hash", _hashes, ["kind", "same", "rows"], [], f"{HASHED}\n====\nSELECT kind, same, (SELECT count(*) FROM bars) AS rows FROM u")
 
 # sorts, limits, sets
 on_bars("o1_o2_top_rows", lambda b: b.orderBy(F.desc_nulls_last("close"), "ticker", "date").limit(30), [], ["close"], "\n====\nSELECT * FROM bars ORDER BY close DESC NULLS LAST, ticker, date LIMIT 30")
 on_bars("o3_top_per_group", lambda b: b.withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("close"), "date"))).where("k <= 5"), ["k"], ["close"], "k AS (SELECT *, CAST(row_number() OVER (PARTITION BY ticker ORDER BY close DESC, date) AS INTEGER) AS k FROM bars)\n====\nSELECT * FROM k WHERE k <= 5")
 on_bars("o5_head_and_tail", lambda b: transforms.head_and_tail(b, 3), [], ["close"], f"k AS (SELECT *, row_number() OVER ({W}) AS a, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS z FROM bars)\n====\nSELECT * FROM k WHERE a <= 3 OR z <= 3")
-on_bars("o6_seeded_sample", lambda b: quality.seeded_sample(b, ["ticker", "date"], 500, 42).agg(F.count("*").alias("n")), ["n"], [], "\n====\nSELECT least(count(*), 500) AS n FROM bars", keys=())
+
+
+def _samples(b: DataFrame) -> DataFrame:
+    """Of a seeded sample: its size, how many of its rows are no bars, how many come twice, and how many another draw lacks with the same seed and (whether any) with another."""
+    key = ["ticker", "date"]
+    one, again, other = (quality.seeded_sample(x, key, 500, seed).select(*key) for x, seed in ((b, 42), (b.repartition(7), 42), (b, 43)))
+    n = lambda x, c: x.agg(F.count("*").alias(c))
+    parts = [n(one, "n"), n(one.join(b, key, "left_anti"), "strange"), n(one.groupBy(*key).count().where("count > 1"), "twice"), n(one.join(again, key, "left_anti"), "lost"), n(one.join(other, key, "left_anti"), "_o").select((F.col("_o") > 0).alias("differs"))]
+    return reduce(lambda a, x: a.join(F.broadcast(x)), parts)
+
+
+on_bars("o6_seeded_sample", _samples, ["n", "strange", "twice", "lost", "differs"], [], "\n====\nSELECT least(count(*), 500) AS n, 0::BIGINT AS strange, 0::BIGINT AS twice, 0::BIGINT AS lost, count(*) > 500 AS differs FROM bars", keys=())
 on_bars("o7_union_all", lambda b: b.where("volume > 1").unionByName(b.where("volume > 2")), [], ["close"], "\n====\nSELECT * FROM bars WHERE volume > 1 UNION ALL SELECT * FROM bars WHERE volume > 2")
 on_bars("o8_intersect_and_except", lambda b: b.where("volume > 1").select("ticker", "date").intersect(b.where("close > open").select("ticker", "date")).exceptAll(b.where("ticker = '5-LOW'").select("ticker", "date")), [], [], "\n====\nSELECT ticker, date FROM bars WHERE volume > 1 AND close > open AND ticker <> '5-LOW'")
 
@@ -147,7 +173,10 @@ def zsql(c: str, n: int, least: int) -> str:
 
 
 CURVE = "c AS (SELECT *, (discount + tax + price) / 3 AS level, price - discount AS slope, price - 2 * tax + discount AS curvature FROM macro)"
-on_macro("m3_curve_moments", lambda m: macro.curve_moments(m, "discount", "tax", "price"), ["level_z", "slope_z", "curvature_z"], f"{CURVE}\n====\nSELECT date, {zsql('level', 252, 60)} AS level_z, {zsql('slope', 252, 60)} AS slope_z, {zsql('curvature', 252, 60)} AS curvature_z FROM c", digits=4)
+
+# prices are some ten thousand times the other series: compared in units of a thousand
+MOMENTS = ["level", "slope", "curvature"]
+on_macro("m3_curve_moments", lambda m: macro.curve_moments(m.withColumn("price", F.col("price") / 1000), "discount", "tax", "price"), [*MOMENTS, "level_z", "slope_z", "curvature_z"], f"{CURVE.replace('price', '(price / 1000)').replace('SELECT *', 'SELECT date')}\n====\nSELECT date, level, slope, curvature, {zsql('level', 252, 60)} AS level_z, {zsql('slope', 252, 60)} AS slope_z, {zsql('curvature', 252, 60)} AS curvature_z FROM c", digits=4)
 on_macro("m4_risk_appetite", lambda m: macro.risk_appetite(m, ["discount", "tax"]), ["discount_z21", "tax_z252", "risk_appetite"], f"z AS (SELECT date, {zsql('discount', 21, 21)} AS discount_z21, {zsql('discount', 252, 60)} AS d, {zsql('tax', 252, 60)} AS tax_z252 FROM macro)\n====\nSELECT date, discount_z21, tax_z252, -list_avg(list_filter([d, tax_z252], lambda x: x IS NOT NULL)) AS risk_appetite FROM z")
 PCT = "(SELECT count(*) FILTER (WHERE b.{c} <= a.{c}) / nullif(count(b.{c}), 0) FROM {t} b WHERE b.date < a.date)"
 REG = f"g AS (SELECT *, discount / lag(discount) OVER ({MW}) - 1 AS g, tax / lag(tax) OVER ({MW}) - 1 AS i FROM macro), p AS (SELECT a.date, coalesce((g > 0)::INT, 0) AS g, coalesce((i > 0)::INT, 0) AS i, coalesce(({PCT.format(c='price', t='macro')} < 0.8)::INT, 0) AS r FROM g a)\n====\nSELECT date, CAST(2 * g + i + 3 * r AS INTEGER) AS regime_code, CAST(4 * r + 2 * g + i AS INTEGER) AS regime_bits FROM p"
@@ -155,13 +184,43 @@ on_macro("m5_regimes", lambda m: macro.regimes(m.withColumns({"g": F.col("discou
 on_macro("m6_m7_expanding", lambda m: macro.expanding(m, "price", 6), ["price_mean", "price_std", "price_z", "price_pctile"], f"e AS (SELECT *, {past('avg', 'price', 6, MW)} AS m, nullif({past('stddev_samp', 'price', 6, MW)}, 0) AS s FROM macro)\n====\nSELECT date, m AS price_mean, s AS price_std, (price - m) / s AS price_z, {PCT.format(c='price', t='macro')} AS price_pctile FROM e a", digits=4)
 SIMPLE = f"e AS (SELECT *, price / nullif(lag(price, 12) OVER ({MW}), 0) * 100 - 100 AS yoy, tax - discount AS carry FROM macro)\n====\nSELECT date, yoy, carry, (yoy - {past('avg', 'yoy', 12, MW)}) / nullif({past('stddev_samp', 'yoy', 12, MW)}, 0) AS yoy_z, (carry - {past('avg', 'carry', 12, MW)}) / nullif({past('stddev_samp', 'carry', 12, MW)}, 0) AS carry_z FROM e"
 on_macro("m8_simple_features", lambda m: macro.simple_features(m, "price", "tax", "discount"), ["yoy", "carry", "yoy_z", "carry_z"], SIMPLE)
-LATE = f"s AS (SELECT date, tax AS l, tax - discount AS s FROM macro), c AS (SELECT *, l - lag(l, 5) OVER ({MW}) AS l5, s - lag(s, 5) OVER ({MW}) AS s5 FROM s)\n====\nSELECT date, lag(l) OVER ({MW}) AS yc_level, lag(s) OVER ({MW}) AS yc_slope, lag(l5) OVER ({MW}) AS yc_level_chg_5, lag(s5) OVER ({MW}) AS yc_slope_chg_5 FROM c"
-on_macro("m9_m10_late_curve", lambda m: macro.late_curve(m, "discount", "tax"), ["yc_level", "yc_slope", "yc_level_chg_5", "yc_slope_chg_5"], LATE)
+
+
+def late_sql(made: dict[str, str]) -> str:
+    """Expressions and their changes over five rows, one row late."""
+    inner = ", ".join(f"{x} AS _{c}" for c, x in made.items())
+    outer = ", ".join(f"lag(_{c}) OVER ({MW}) AS {c}, lag(_{c}) OVER ({MW}) - lag(_{c}, 6) OVER ({MW}) AS {c}_chg_5" for c in made)
+    return f"s AS (SELECT date, {inner} FROM macro)\n====\nSELECT date, {outer} FROM s"
+
+
+def with_changes(*names: str) -> list[str]:
+    return [x for n in names for x in (n, f"{n}_chg_5")]
+
+
+on_macro("m9_late_curve", lambda m: macro.late_curve(m, "price", "tax", "discount", "bill"), with_changes("yc_level", "yc_slope_two", "yc_curvature"), late_sql({"yc_level": "price", "yc_slope_two": "price - discount", "yc_curvature": "price - 2 * tax + discount"}), digits=7)
+on_macro("m9_late_curve_with_bill", lambda m: macro.late_curve(m, "tax", "five", "two", "discount"), with_changes("yc_level", "yc_slope_bill"), late_sql({"yc_level": "tax", "yc_slope_bill": "tax - discount"}))
+LIQUID = {"proxy_ted_like": "tax - discount", "term_slope": "price - tax", "carry_ff": "price - discount"}
+on_macro("m10_liquidity_proxies", lambda m: macro.liquidity_proxies(m, "discount", "tax", "price"), with_changes(*LIQUID), late_sql(LIQUID), digits=7)
 SUR = f"s AS (SELECT date, discount - tax AS s, discount / nullif(lag(discount) OVER ({MW}), 0) - 1 AS c FROM macro), p AS (SELECT *, {zsql('c', 24, 12)} AS p FROM s)\n====\nSELECT date, lag(s) OVER ({MW}) AS discount_surprise, lag(p) OVER ({MW}) AS discount_surprise_proxy_z FROM p"
 on_macro("m13_surprises", lambda m: macro.surprises(m, "discount", "tax"), ["discount_surprise", "discount_surprise_proxy_z"], SUR, digits=5)
 add("m11_m12_pca_regimes", lambda s, d: macro.pca_regimes(economy(s, d), ["discount", "tax", "price"]), ["date", "regime_km"], ["pc1", "pc2"], None, 5)
-M15 = "w AS (SELECT last_day(date) AS month_end, arg_max(discount, date) AS discount, arg_max(tax, date) AS tax FROM macro GROUP BY 1)\n====\nSELECT b.ticker, b.date, m.discount, m.tax FROM bars b ASOF LEFT JOIN w m ON b.date >= m.month_end"
-add("m2_m15_macro_pipeline", lambda s, d: align.asof(bars(s, d).select("ticker", "date"), align.month_end(macro_monthly(s, d), ["discount", "tax"]), ["discount", "tax"], right_on="month_end"), ["ticker", "date"], ["discount", "tax"], M15)
+STATE = {"yc_level": "price", "yc_slope_bill": "price - tax", **LIQUID, "discount_surprise": "discount - tax"}
+on_macro("m14_state_features", lambda m: macro.state_features(m, "price", "five", "two", "tax", "discount", "discount", "tax"), [*with_changes(*list(STATE)[:-1]), "discount_surprise"], late_sql(STATE), digits=7)
+
+
+def _daily_macro(s: SparkSession, d: str) -> DataFrame:
+    """Month-end series with their features, each published by its lag, on business days: the last of equal dates, latest value carried."""
+    monthly = align.month_end(macro_monthly(s, d), list(LAGS)).withColumnRenamed("month_end", "date").withColumn("region", F.lit("all"))
+    monthly = monthly.select("date", "region", *LAGS)
+    span = bars(s, d).agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    days = span.select(F.explode(F.sequence("lo", "hi")).alias("date")).where(F.weekday("date") < 5)
+    shown = align.asof_lagged(days, monthly, LAGS).withColumn("region", F.lit("all"))
+    return macro.risk_appetite(macro.liquidity_proxies(shown, "discount", "tax", "price"), ["discount", "tax"])
+
+
+LAG_DAYS = ", ".join(f"l{i} AS (SELECT {BD('last_day(date)', n)} AS d, arg_max({c}, date) AS {c} FROM macro WHERE {c} IS NOT NULL GROUP BY 1)" for i, (c, n) in enumerate(LAGS.items()))
+DAILY = f"{LAG_DAYS}, days AS (SELECT CAST(unnest(generate_series((SELECT min(date) FROM bars)::TIMESTAMP, (SELECT max(date) FROM bars)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS date), shown AS (SELECT days.date, {', '.join(LAGS)} FROM days {' '.join(f'ASOF LEFT JOIN l{i} ON days.date >= l{i}.d' for i in range(len(LAGS)))} WHERE isodow(days.date) < 6), z AS (SELECT *, {zsql('discount', 252, 60)} AS dz, {zsql('tax', 252, 60)} AS tz FROM shown)"
+add("m2_m15_macro_pipeline", _daily_macro, ["date"], [*LAGS, *LIQUID, "discount_z21", "risk_appetite"], f"{DAILY}\n====\nSELECT date, discount, tax, price, lag(tax - discount) OVER ({MW}) AS proxy_ted_like, lag(price - tax) OVER ({MW}) AS term_slope, lag(price - discount) OVER ({MW}) AS carry_ff, {zsql('discount', 21, 21)} AS discount_z21, -list_avg(list_filter([dz, tz], lambda x: x IS NOT NULL)) AS risk_appetite FROM z", 3)
 
 # transforms that look back only
 on_bars("r1_imputer", lambda b: transforms.impute(holes(b).withColumns({"a": F.ln("a"), "b": F.ln("b")}), ["a", "b"], 1), [], ["a", "b"], f"{HOLES}, l AS (SELECT ticker, date, ln(a) AS a, ln(b) AS b FROM h)\n====\nSELECT ticker, date, coalesce(a, {past('avg', 'a')}) AS a, coalesce(b, {past('avg', 'b')}) AS b FROM l")

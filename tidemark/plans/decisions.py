@@ -63,6 +63,9 @@ GRIDS = f"""{EVENTS}, g AS (SELECT e.*, t, CASE WHEN proba >= t THEN side * ret
 ====
 SELECT ticker, t AS threshold, sharpe FROM k WHERE k = 1"""
 on_bars("t12_best_threshold", lambda b: labels.best_threshold(events(b)), [], ["threshold", "sharpe"], GRIDS, keys=("ticker",))
+# few events reach 0.85: tickers go down the quantiles until five do
+FALLBACK = f"{EVENTS}, q AS (SELECT ticker, quantile_cont(proba, [0.98, 0.95, 0.90, 0.85, 0.80, 0.75, 0.70, 0.65, 0.60, 0.55]) AS q FROM e GROUP BY 1), t AS (SELECT ticker, unnest(list_concat([0.84], q)) AS cut, generate_subscripts(list_concat([0.84], q), 1) AS k FROM q), n AS (SELECT t.ticker, t.k, t.cut, count(*) FILTER (WHERE e.proba >= t.cut) AS n FROM t JOIN e ON e.ticker = t.ticker GROUP BY 1, 2, 3)\n====\nSELECT ticker, coalesce(arg_min(cut, k) FILTER (WHERE n >= 5), 0.84) AS threshold FROM n GROUP BY 1"
+on_bars("t13_threshold_with_trades", lambda b: labels.threshold_with_trades(events(b), b.select("ticker").distinct().withColumn("threshold", F.lit(0.84))), [], ["threshold"], FALLBACK, keys=("ticker",))
 NTH = f"n AS (SELECT *, row_number() OVER ({W}) - 1 AS pos, count(*) OVER (PARTITION BY ticker) AS n FROM bars)"
 PURGED = f"""t AS (SELECT *, coalesce(lead(date, 10) OVER ({W}), max(date) OVER (PARTITION BY ticker)) AS t1, row_number() OVER ({W}) - 1 AS pos, count(*) OVER (PARTITION BY ticker) AS n FROM bars),
   x AS (SELECT t.*, i AS fold, n - (3 - i) * 50 AS lo FROM t, range(3) r(i)), y AS (SELECT *, min(CASE WHEN pos = lo THEN date END) OVER (PARTITION BY ticker, fold) AS start FROM x),
@@ -155,7 +158,7 @@ SQL["a1_event_bars"] = SQL["a1_event_bars"].replace("CAST(date_trunc('hour', ts)
 
 
 def _stream(f):
-    return lambda s, d: streams.run_to_table(f(streams.read_events(s, streams.staged(table(s, d, "events")), 10)))
+    return lambda s, d: streams.run_to_table(f(streams.read_events(s, streams.staged(table(s, d, "events")), 1)))
 
 
 CLOSED = "\n====\nSELECT event_type AS ticker, date_trunc('hour', ts) AS start, count(*) AS n, max(value) AS high, min(value) AS low, sum(value) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('hour', any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"

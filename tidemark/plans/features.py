@@ -119,3 +119,14 @@ on_bars("x14_rank_ic", lambda b: quality.rank_ic_series(b.withColumns({"x": spar
 TOPK = f"{RET.replace(chr(10) + '====' + chr(10), '')}, k AS (SELECT date, ticker, row_number() OVER (PARTITION BY date ORDER BY ret DESC, ticker) AS k FROM r WHERE ret IS NOT NULL), s AS (SELECT date, list(ticker) AS s FROM k WHERE k <= 2 GROUP BY date), p AS (SELECT date, s, lag(s) OVER (ORDER BY date) AS p FROM s)\n====\nSELECT date, 1 - len(list_intersect(s, p)) / (len(p) + 1e-9) AS turnover FROM p WHERE p IS NOT NULL"
 on_bars("x15_topk_turnover", lambda b: quality.topk_turnover(price.returns(b), "ret_1", 2), [], ["turnover"], TOPK, keys=("date",))
 on_bars("c2_target_view", lambda b: price.relative(common_grid(price.volume_features(b).select("ticker", "date", "open", "high", "low", "close", "volume")), "2-HIGH"), [], ["strength", "beta", "spread"], None, 4)
+
+GRID = "g AS (SELECT * FROM bars WHERE date IN (SELECT date FROM bars GROUP BY date HAVING count(DISTINCT ticker) = (SELECT count(DISTINCT ticker) FROM bars)))"
+W60 = f"({W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
+
+
+def beta_sql(c: str) -> str:
+    return f"CASE WHEN count(CASE WHEN ret IS NOT NULL AND {c} IS NOT NULL THEN 1 END) OVER {W60} >= 60 THEN covar_samp(ret, {c}) OVER {W60} / (var_samp(CASE WHEN ret IS NOT NULL THEN {c} END) OVER {W60} + 1e-12) END"
+
+
+TWO = f"{GRID}, r AS (SELECT ticker, date, {pct('close')} AS ret FROM g), j AS (SELECT r.ticker, r.date, r.ret, s.ret AS sr, m.ret AS mr FROM r LEFT JOIN r s ON s.date = r.date AND s.ticker = '2-HIGH' LEFT JOIN r m ON m.date = r.date AND m.ticker = '3-MEDIUM')\n====\nSELECT ticker, date, ret / (sr + 1e-9) AS sector_strength, ret / (mr + 1e-9) AS market_strength, {beta_sql('sr')} AS sector_beta, {beta_sql('mr')} AS market_beta FROM j"
+on_bars("x9_x10_two_relatives", lambda b: price.two_relatives(common_grid(b), "2-HIGH", "0-MISSING", (None, "3-MEDIUM")), [], ["sector_strength", "sector_beta", "market_strength", "market_beta"], TWO, 4)

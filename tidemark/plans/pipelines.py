@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.exprs import ahead, pct
@@ -34,13 +36,22 @@ def meta_samples(b: DataFrame, horizon: int = 5) -> DataFrame:
     return x.join(m, ["ticker", "date"])
 
 
-def meta_decisions(b: DataFrame) -> DataFrame:
-    """Out-of-sample probabilities of the meta-labels, the best threshold per ticker, and the daily PnL of what it decides."""
-    scored = learning.walk_forward(meta_samples(b), ["ret_1", "ret_5", "roc", "stoch_k"], 2)
+def meta_decisions(b: DataFrame, folds: int = 3) -> DataFrame:
+    """Out-of-sample probabilities of the meta-labels, a threshold per ticker and fold, and the daily PnL of what they decide.
+
+    A fold's threshold is chosen on the folds before it, whose rows its model has not
+    been tested on; the first fold has none and takes 0.5.
+    """
+    samples = meta_samples(b)
+    scored = learning.walk_forward(samples, ["ret_1", "ret_5", "roc", "stoch_k"], folds)
     following = b.withColumn("_r", pct("close")).withColumn("ret", ahead("_r")).select("ticker", "date", "ret")
-    events = scored.join(meta_samples(b).select("ticker", "date", "side"), ["ticker", "date"]).join(following, ["ticker", "date"])
-    best = labels.best_threshold(events.select("ticker", "date", "proba", "side", "ret"))
-    decided = events.join(best, "ticker").withColumn("signal", F.when(F.col("proba") >= F.col("threshold"), F.col("side")).otherwise(0.0))
+    events = scored.join(samples.select("ticker", "date", "side"), ["ticker", "date"]).join(following, ["ticker", "date"])
+    chosen = []
+    for k in range(1, folds):
+        before = events.where(F.col("fold") < k).select("ticker", "date", "proba", "side", "ret")
+        chosen.append(labels.threshold_with_trades(before, labels.best_threshold(before)).withColumn("fold", F.lit(k)))
+    decided = events.join(reduce(DataFrame.unionByName, chosen), ["ticker", "fold"], "left")
+    decided = decided.withColumn("signal", F.when(F.col("proba") >= F.coalesce("threshold", F.lit(0.5)), F.col("side")).otherwise(0.0))
     return quality.decision_metrics(labels.daily_pnl(b, decided.select("ticker", "date", "signal")))
 
 

@@ -52,8 +52,13 @@ def stream_averages(events: DataFrame, span: float = 12) -> DataFrame:
     return events.groupBy("event_type").applyInPandasWithState(step, "event_type string, ts timestamp, value double, ema double", "y double", "append", GroupStateTimeout.NoTimeout)
 
 
-def staged(events: DataFrame) -> str:
-    """The events as files of a folder, in one file per stretch of time, so that a stream reads them in order."""
+def staged(events: DataFrame, files: int = 4) -> str:
+    """The events as files of a folder, one after the other by stretches of time, so that a stream reads them in order, a file a trigger."""
     path = scratch(events.sparkSession, "events")
-    events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props").repartitionByRange(2, "ts").write.parquet(path)
+    rows = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
+    at = F.unix_micros("ts")
+    edges = rows.agg(F.percentile_approx(at, [i / files for i in range(1, files)], 1000)).first()[0] or []
+    for low, high in zip([None, *edges], [*edges, None]):
+        part = rows.where(F.lit(True) if low is None else at >= low).where(F.lit(True) if high is None else at < high)
+        part.coalesce(1).write.mode("append").parquet(path)
     return path

@@ -23,7 +23,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import cut, discard, fresh, if_few, small_batches, table
 from .components import connected_components
@@ -154,6 +154,8 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SIMILARITY, SHINGLE_WORDS = 0.8, 5
 #: Segments and codewords per segment; differing bits (of 138) up to which texts are proposed, and at which one stands for the other.
 SOFT_SEGMENTS, NEAR, CLOSE_BITS, SAME_BITS = 6, 2, 40, 3
+#: Proposals of a document that are verified; the prefixes complete the rest.
+CLOSEST = 3
 #: Documents (about) whose shingles tell which are common, and how many of them are held.
 SAMPLED, MOST_COMMON = 20_000, 200_000
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -210,7 +212,7 @@ _BITS = np.array([(1 << 64) - 1, (1 << 64) - 1, (1 << 10) - 1], np.uint64)  # 13
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and doc_id -> (a, b): each document with the closest one before it in its bucket.
+    """Rows sorted by key and doc_id -> (a, b, bits): each document with the closest one before it in its bucket, and by how many bits they differ.
 
     A document within ``SAME_BITS`` of one before it is proposed with that and not held itself.
     """
@@ -218,7 +220,7 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys, doc = b.column("key").to_numpy(), b.column("doc_id").to_numpy()
         f = np.stack([b.column(c).to_numpy().view(np.uint64) for c in ("f0", "f1", "f2")], 1) & _BITS
-        out_a, out_b = [], []
+        out_a, out_b, bits = [], [], []
         # a bucket of one row has nothing to propose
         alone = np.concatenate([[True], keys[1:] != keys[:-1]]) & np.concatenate([keys[1:] != keys[:-1], [False]])
         for i in np.flatnonzero(~alone).tolist() if b.num_rows else []:
@@ -232,12 +234,13 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if close <= CLOSE_BITS:
                     out_a.append(int(doc[i]))
                     out_b.append(int(ids[j]))
+                    bits.append(close)
             if close > SAME_BITS:
                 if size == len(ids):
                     held, ids = np.concatenate([held, np.zeros_like(held)]), np.concatenate([ids, np.zeros_like(ids)])
                 held[size], ids[size] = f[i], doc[i]
                 size += 1
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(bits, pa.int32())], ["a", "b", "bits"])
 
 
 def _common(rows: DataFrame, words: int) -> np.ndarray:
@@ -412,7 +415,7 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: f
 
     The fingerprints' proposals join most of a group cheaply.  What they miss is
     found by the exact prefixes of the sets: pairs between different groups only,
-    in a first pass one of each document and group, in the second all.
+    in two passes those that share most of the prefix, in the last all.
     """
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null").select("doc_id", "text")
@@ -425,18 +428,26 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: f
     known = members.unionByName(wordless.join(F.broadcast(least)).select(F.col("doc_id").alias("a"), "b").where("a <> b"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
     flat = classes.select(F.col("first").alias("doc_id"), "f0", "f1", "f2", F.explode("keys").alias("key"))
-    proposed = flat.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_propose, "a long, b long")
-    pairs = cut(proposed.where("a <> b").distinct(), "pairs")
+    proposed = flat.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_propose, "a long, b long, bits int").where("a <> b")
+    # at most one a bucket; the closest join a group with few texts compared, and whatever they leave apart the prefixes find
+    closest = proposed.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("bits", "b"))), 1, CLOSEST).alias("x"))
+    pairs = cut(closest.select("a", F.explode("x.b").alias("b")), "pairs")
     links = cut(known.unionByName(_verified(pairs, rows, words, similarity)), "links")
     # of equal sets one: the first document goes on, and every document that is the first of any of its texts
     copies = cut(members.select(F.col("a").alias("doc_id")).distinct().join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_anti"), "copies")
     discard(pairs, prints, classes)
     spread = _prefixes(rows.join(if_few(copies), "doc_id", "left_anti"), _common(rows, words), words, similarity)
     shared = cut(spread.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_several, "key long, doc_id long, at long"), "prefixes")
-    for all_pairs in (False, True):
+    # twice the pairs between groups that share most, then all that are left
+    for all_pairs in (False, False, True):
         roots = connected_components(links)
         placed = shared.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"), "at")
-        pairs = cut(placed.repartition(n, "key").sortWithinPartitions("key", "at").mapInArrow(_across(similarity, all_pairs), "a long, b long").distinct(), "pairs")
+        met = placed.repartition(n, "key").sortWithinPartitions("key", "at").mapInArrow(_across(similarity, all_pairs), "a long, b long")
+        if all_pairs:
+            pairs = cut(met.distinct(), "pairs")
+        else:
+            ranked = met.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b")))
+            pairs = cut(ranked.where(F.col("k") <= CLOSEST).select("a", "b"), "pairs")
         links = links.unionByName(_verified(pairs, rows, words, similarity))
         discard(pairs, roots)
     discard(copies, shared)

@@ -1,6 +1,7 @@
 """Operators on tiny frames with known results."""
 
 import datetime as dt
+import json
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.exprs import bday_add
 from tidemark.functions.recursive import Ewm, EwmStd, LocalLevel
 from tidemark.operators import align, labels, learning, macro, price, quality, simulation, transforms
+from tidemark.plans import pipelines
 from tidemark.sources import views
 
 D = dt.date
@@ -198,6 +200,36 @@ def test_write_by_suffix_and_directory(spark, tmp_path):
     assert '"rows": 2' in views.manifest(b, ["x"], {"a": 1})
 
 
+def test_unreadable_files_are_rows(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("ticker,date,open,high,low,close,volume\nA,2020-01-01,1,1,1,1,1\nA,2020-01-02,x,1,1,1,1\n")
+    got = [tuple(r) for r in views.read_each(spark, [str(tmp_path / "b.csv"), str(tmp_path / "none.csv")]).collect()]
+    assert got[0][1:] == (2, 1, None) and got[1][1:3] == (None, None) and "none.csv" in got[1][3]
+
+
+def test_backtest_chains_its_folds(spark):
+    b = bars(spark, [float(100 + 10 * np.sin(i / 5)) for i in range(160)]).withColumns({"x": F.sin(F.dayofyear("date") / 5), "y": (F.dayofyear("date") % 31 < 15).cast("int")})
+    r = pipelines.walk_forward_backtest(b, ["x"], 2, {"share": [0.5, 1.0], "stop": [0.05]}, cash=1000.0).orderBy("date").collect()
+    folds = {k: [x for x in r if x["fold"] == k] for k in (0, 1)}
+    assert all(len({x["share"] for x in f}) == 1 for f in folds.values()) and len({x["date"] for x in r}) == len(r)
+    assert all(x["equity"] == x["balance"] for x in folds[0])
+    assert all(x["equity"] == pytest.approx(x["balance"] * folds[0][-1]["balance"] / 1000.0) for x in folds[1])
+
+
+def test_coarse_grid_and_search(spark):
+    b = bars(spark, [float(i % 7) for i in range(140)]).withColumns({"y": (F.col("close") > 3).cast("int"), "three": (F.col("close") / 3).cast("int"), "n": 2 * F.col("close"), "open": F.col("close") % 3})
+    g = {(r["target"], r["features"], r["model"]): r["score"] for r in learning.coarse_grid(b, ["open", "high", "close"], {"three": 3}, ["n"], 1).collect()}
+    assert len(g) == 9 + 6 and g["n", "all", "linear"] == pytest.approx(1.0) and g["three", "all", "boosted"] == 1.0
+    s = learning.random_search(b, ["open", "close"], 1, 1).collect()
+    assert len(s) == 1 and len(json.loads(s[0]["parameters"])) == 9
+
+
+def test_model_with_metadata(spark, tmp_path):
+    b = bars(spark, [float(i % 7) for i in range(40)]).withColumn("y", (F.col("close") > 3).cast("int"))
+    learning.save_model(learning.fit(b, ["close"], "logistic"), str(tmp_path / "m"), {"features": ["close"]})
+    model, about = learning.load_model(str(tmp_path / "m"))
+    assert about == {"features": ["close"]} and learning.predict(model, b).count() == 40
+
+
 def test_model_saves_and_loads(spark, tmp_path):
     from pyspark.ml import PipelineModel
 

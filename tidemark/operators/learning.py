@@ -2,30 +2,45 @@
 
 from __future__ import annotations
 
+import json
+import random
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.base import Estimator
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.feature import PCA, Imputer, StandardScaler, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, LinearRegression
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.regression import IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .labels import expanding_splits
 from .quality import auc, sharpe
 
 MODELS = {
-    "forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=6, seed=42, labelCol="y", featuresCol="_v"),
+    "forest": lambda: RandomForestClassifier(numTrees=200, maxDepth=6, seed=42, labelCol="y", featuresCol="_v"),
     "boosted": lambda: GBTClassifier(maxIter=10, maxDepth=3, seed=42, labelCol="y", featuresCol="_v"),
     "logistic": lambda: LogisticRegression(labelCol="y", featuresCol="_v", regParam=0.01),
 }
+REGRESSORS = {
+    "linear": lambda: LinearRegression(labelCol="y", featuresCol="_v", solver="normal"),
+    "forest": lambda: RandomForestRegressor(numTrees=50, maxDepth=6, seed=42, labelCol="y", featuresCol="_v"),
+}
+#: Sets of features: arguments of ``fit``.
+SETS = {"all": {}, "best": {"select": 10}, "pca": {"components": 3}}
+
 
+def fit(train: DataFrame, features: list[str], model: str | Estimator = "forest", select: int | None = None, components: int | None = None, numeric: bool = False) -> PipelineModel:
+    """Imputer (medians), optionally the ``select`` best features or the first ``components`` of the standardised ones, and a model of the column ``y``.
 
-def fit(train: DataFrame, features: list[str], model: str = "forest", select: int | None = None) -> PipelineModel:
-    """Imputer (medians), optionally the ``select`` best features, and a classifier of the 0/1 column ``y``."""
+    A model is a name of ``MODELS`` or an estimator of ``y`` by ``_v``; ``numeric`` says that ``y`` is a number and no class.
+    """
     filled = [f"_i_{c}" for c in features]
-    stages = [Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_v" if not select else "_all")]
+    stages = [Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_all" if select or components else "_v")]
     if select:
-        stages.append(UnivariateFeatureSelector(featuresCol="_all", outputCol="_v", labelCol="y", selectionMode="numTopFeatures").setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(select))
-    return Pipeline(stages=[*stages, MODELS[model]()]).fit(train)
+        stages.append(UnivariateFeatureSelector(featuresCol="_all", outputCol="_v", labelCol="y", selectionMode="numTopFeatures").setFeatureType("continuous").setLabelType("continuous" if numeric else "categorical").setSelectionThreshold(min(select, len(features))))
+    elif components:
+        stages += [StandardScaler(inputCol="_all", outputCol="_s", withMean=True), PCA(k=min(components, len(features)), inputCol="_s", outputCol="_v")]
+    return Pipeline(stages=[*stages, MODELS[model]() if isinstance(model, str) else model]).fit(train)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -33,11 +48,13 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("proba", vector_to_array("probability")[1]).select(*df.columns, "proba")
 
 
-def walk_forward(df: DataFrame, features: list[str], folds: int = 3, model: str = "logistic", gap: int = 0) -> DataFrame:
+def walk_forward(df: DataFrame, features: list[str], folds: int = 3, model: str | Estimator = "logistic", gap: int = 0, **args) -> DataFrame:
     """Out-of-sample ``proba`` of every test row, a model per expanding fold: (ticker, date, y, fold, proba)."""
     splits = expanding_splits(df, folds, gap)
     j = df.join(splits, ["ticker", "date"]).persist()
-    parts = [predict(fit(j.where(f"fold = {k} and role = 'train'"), features, model), j.where(f"fold = {k} and role = 'test'")) for k in range(folds)]
+    models = [fit(j.where(f"fold = {k} and role = 'train'"), features, model, **args) for k in range(folds)]
+    j.unpersist()  # what is left is one pass over the test rows
+    parts = [predict(m, j.where(f"fold = {k} and role = 'test'")) for k, m in enumerate(models)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -79,7 +96,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
-def permutation_target_test(df: DataFrame, features: list[str], shuffles: int = 3) -> DataFrame:
+def permutation_target_test(df: DataFrame, features: list[str], shuffles: int = 50) -> DataFrame:
     """(seed, auc): areas under the curve with the labels dealt anew (seed >= 0), and as they are (seed -1)."""
     rows = []
     for seed in range(-1, shuffles):
@@ -111,17 +128,67 @@ def regime_validation(scored: DataFrame, regimes: DataFrame, returns: DataFrame)
     return j.groupBy("regime").agg(F.count("*").alias("n"), sharpe(j, "_s").alias("sharpe"))
 
 
-def random_search(df: DataFrame, features: list[str], trials: int = 3, seed: int = 5) -> DataFrame:
-    """(trial, regularisation, mixing, score): seeded random parameters of a logistic model by mean fold accuracy."""
-    import random
+#: What a search draws of boosted trees: (parameter, draw by a random generator).
+DRAWS = {
+    "maxIter": lambda r: r.randint(5, 20),
+    "maxDepth": lambda r: r.randint(2, 5),
+    "stepSize": lambda r: 10 ** r.uniform(-2, -0.5),
+    "subsamplingRate": lambda r: r.uniform(0.5, 1.0),
+    "minInstancesPerNode": lambda r: r.randint(1, 20),
+    "minInfoGain": lambda r: 10 ** r.uniform(-6, -2),
+    "maxBins": lambda r: r.choice([16, 32, 64]),
+    "featureSubsetStrategy": lambda r: r.choice(["all", "sqrt", "onethird"]),
+    "minWeightFractionPerNode": lambda r: r.uniform(0.0, 0.05),
+}
+
 
+def random_search(df: DataFrame, features: list[str], trials: int = 20, folds: int = 2, seed: int = 5) -> DataFrame:
+    """(trial, parameters, features, score): seeded random parameters of boosted trees, and how many of the best features they see, by mean fold accuracy."""
     rng, rows = random.Random(seed), []
     for t in range(trials):
-        reg, mix = 10 ** rng.uniform(-4, 0), rng.uniform(0, 1)
-        MODELS["_trial"] = lambda reg=reg, mix=mix: LogisticRegression(labelCol="y", featuresCol="_v", regParam=reg, elasticNetParam=mix)
-        rows.append((t, reg, mix, fold_summary(walk_forward(df, features, 2, "_trial")).first()["mean"]))
-    del MODELS["_trial"]
-    return df.sparkSession.createDataFrame(rows, "trial int, regularisation double, mixing double, score double")
+        drawn = {k: f(rng) for k, f in DRAWS.items()}
+        n = rng.randint(min(2, len(features)), len(features))
+        scored = walk_forward(df, features, folds, GBTClassifier(seed=42, labelCol="y", featuresCol="_v", **drawn), select=n)
+        rows.append((t, json.dumps(drawn, sort_keys=True), n, fold_summary(scored).first()["mean"]))
+    return df.sparkSession.createDataFrame(rows, "trial int, parameters string, features int, score double")
+
+
+def coarse_grid(df: DataFrame, features: list[str], classes: dict[str, int], numbers: list[str], folds: int = 2) -> DataFrame:
+    """(target, features, model, score) of every target, set of features and model, on expanding folds.
+
+    ``classes`` maps columns of classes 0, 1, ... to their number, ``numbers`` are columns to regress on;
+    rows without a target are left out of it. Scores are mean accuracy and mean coefficient of determination over the folds.
+    """
+    j = df.join(expanding_splits(df, folds), ["ticker", "date"]).persist()
+    right = F.avg((F.col("prediction") == F.col("y")).cast("double"))
+    explained = 1 - F.try_divide(F.avg(F.pow(F.col("y") - F.col("prediction"), 2)), F.var_pop("y"))
+    rows = []
+    for target in [*classes, *numbers]:
+        known = j.where(F.col(target).isNotNull()).withColumn("y", F.col(target).cast("double"))
+        for name, make in (MODELS if target in classes else REGRESSORS).items():
+            for kind, args in SETS.items():
+                scores = []
+                for k in range(folds):
+                    model = make()
+                    if classes.get(target, 0) > 2 and isinstance(model, GBTClassifier):  # knows two classes only
+                        model = OneVsRest(classifier=model, labelCol="y", featuresCol="_v")
+                    m = fit(known.where(f"fold = {k} and role = 'train'"), features, model, numeric=target in numbers, **args)
+                    scores.append(m.transform(known.where(f"fold = {k} and role = 'test'")).agg(right if target in classes else explained).first()[0])
+                found = [x for x in scores if x is not None]
+                rows.append((target, kind, name, sum(found) / len(found) if found else None))
+    j.unpersist()
+    return df.sparkSession.createDataFrame(rows, "target string, features string, model string, score double")
+
+
+def save_model(model: PipelineModel, path: str, metadata: dict) -> None:
+    """The model and a JSON document about it, in a folder."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+
+def load_model(path: str) -> tuple[PipelineModel, dict]:
+    return PipelineModel.load(f"{path}/model"), json.loads(SparkSession.active().read.text(f"{path}/metadata").first()[0])
 
 
 def linear(train: DataFrame, test: DataFrame, features: list[str], target: str) -> DataFrame:

@@ -239,14 +239,14 @@ def late(df: DataFrame, columns: list[str], k: int = 1) -> DataFrame:
 LEAKY = ["macd", "macd_signal", "macd_hist", "rsi_14", "range_vol", "bb_mid", "bb_upper", "bb_lower"]
 
 
-def base_features(df: DataFrame, keep: float = 0.9) -> DataFrame:
-    """All features of a sector's bars; rows with fewer than ``keep`` of them go."""
+def base_features(df: DataFrame, keep: float = 0.9, older: bool = False) -> DataFrame:
+    """All features of a sector's bars; rows with fewer than ``keep`` of them go. ``older``: without illiquidity, and nothing a row late."""
     first = df.columns
-    for f in (event_time, ranges, volume_features, on_balance_volume, recursions, bollinger, stochastic, mean_convergence, rate_of_change, money_flow, chaikin, volume_shock, drawdown, streaks, parkinson, autocorrelation, illiquidity):
+    for f in (event_time, ranges, volume_features, on_balance_volume, recursions, bollinger, stochastic, mean_convergence, rate_of_change, money_flow, chaikin, volume_shock, drawdown, streaks, parkinson, autocorrelation, *([] if older else [illiquidity])):
         df = f(df)
     df = moving_averages(df, (10, 20, 50))
     df = interactions(gaps(df))
-    df = local_level(late(df, LEAKY))
+    df = local_level(df if older else late(df, LEAKY))
     new = [c for c in df.columns if c not in first]
     return df.na.drop(thresh=int(keep * len(new)), subset=new)
 
@@ -282,8 +282,6 @@ def relative(bars: DataFrame, benchmark: str, n: int = 60) -> DataFrame:
     )
 
 
-
-
 def two_relatives(bars: DataFrame, sector: str | None, market: str | None, fallbacks: tuple[str | None, str | None] = (None, None), n: int = 60) -> DataFrame:
     """Relative strength and rolling beta of every ticker against its sector's fund and the market, on a common grid.
 
@@ -305,3 +303,9 @@ def two_relatives(bars: DataFrame, sector: str | None, market: str | None, fallb
         beta = F.when(full, F.covar_samp("ret", "_b").over(w) / (F.var_samp(F.when(F.col("ret").isNotNull(), F.col("_b"))).over(w) + 1e-12))
         out = out.withColumns({f"{name}_strength": F.col("ret") / (F.col("_b") + TINY), f"{name}_beta": beta}).drop("_b")
     return out
+
+
+def stock_features(bars: DataFrame, sector: str | None, market: str | None, fallbacks: tuple[str | None, str | None] = (None, None)) -> DataFrame:
+    """In one go, the base features of all tickers and their relatives to a sector's fund and the market."""
+    names = [f"{b}_{c}" for b in ("sector", "market") for c in ("strength", "beta")]
+    return base_features(bars, older=True).join(two_relatives(bars, sector, market, fallbacks).select("ticker", "date", *names), ["ticker", "date"])

@@ -108,17 +108,17 @@ def simulate(rows: DataFrame, strategy: str = "single_pass", cash: float = 10_00
     return rows.repartition(*key).sortWithinPartitions(*key, "date").mapInPandas(run, schema)
 
 
-def optimise(rows: DataFrame, strategy: str, grid: dict[str, list[float]], by: str = "total", **args) -> DataFrame:
-    """Per ticker the grid point with the best total return or Sharpe ratio; the smallest of equals."""
+def optimise(rows: DataFrame, strategy: str, grid: dict[str, list[float]], by: str = "total", within: tuple[str, ...] = (), **args) -> DataFrame:
+    """Per ticker, and per value of the number columns ``within``, the grid point with the best total return or Sharpe ratio; the smallest of equals."""
     points = rows
     for c, values in grid.items():
         points = points.withColumn(c, F.explode(F.array(*[F.lit(float(v)) for v in values])))
-    names = list(grid)
+    names = [*within, *grid]
     sim = simulate(points, strategy, grid=names, **args)
     from pyspark.sql import Window
 
     w = Window.partitionBy("ticker", *names).orderBy("date")
     r = sim.withColumn("r", F.try_divide(F.col("balance"), F.lag("balance").over(w)) - 1)
     s = r.groupBy("ticker", *names).agg((F.max_by("balance", "date") / F.min_by("balance", "date") - 1).alias("total"), F.coalesce(F.try_divide(F.avg("r"), F.nullif(F.stddev_samp("r"), F.lit(0.0))) * 252**0.5, F.lit(0.0)).alias("sharpe"))
-    rank = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc(by), *names))
+    rank = F.row_number().over(Window.partitionBy("ticker", *within).orderBy(F.desc(by), *grid))
     return s.withColumn("_k", rank).where("_k = 1").drop("_k")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.exprs import pct as spark_pct, prev
 from ..operators import align, macro, price, quality, transforms
-from ..sources.views import LAGS, available, bars, common_grid, macro_long, macro_monthly, round_trip_csv, round_trip_observations, round_trip_parquet, sector_and_ticker, table
+from ..sources.views import LAGS, available, bars, common_grid, macro_long, macro_monthly, round_trip_csv, round_trip_observations, round_trip_parquet, round_trip_results, round_trip_trends, sector_and_ticker, table
 from .catalog import MW, W, add, lag, on_bars, past, pct, roll
 
 ALL = ["open", "high", "low", "close", "volume"]
@@ -18,6 +18,7 @@ ALLS = "ticker, date, open, high, low, close, volume"
 on_bars("s1_common_grid", common_grid, [], ALL, f"\n====\nSELECT {ALLS} FROM bars WHERE date IN (SELECT date FROM bars GROUP BY date HAVING count(DISTINCT ticker) = (SELECT count(DISTINCT ticker) FROM bars))")
 on_bars("s2_relabel", lambda b: b.select(F.concat(F.lit("T_"), "ticker").alias("ticker"), "date", F.col("close").alias("price")), [], ["price"], "\n====\nSELECT 'T_' || ticker AS ticker, date, close AS price FROM bars")
 add("s3_observations_json", lambda s, d: round_trip_observations(macro_long(macro_monthly(s, d), list(LAGS))), ["series_id", "obs_date"], ["value"], "\n====\nSELECT series_id, date AS obs_date, value FROM (UNPIVOT macro ON discount, tax, price INTO NAME series_id VALUE value)")
+add("s4_trends", lambda s, d: round_trip_trends(macro_monthly(s, d), ["discount", "tax"]), ["date"], ["trend_discount", "trend_tax"], "\n====\nSELECT date, discount AS trend_discount, tax AS trend_tax FROM macro")
 on_bars("s5_k1_csv_round_trip", round_trip_csv, [], ALL, f"\n====\nSELECT {ALLS} FROM bars")
 on_bars("s7_k2_parquet_round_trip", lambda b: round_trip_parquet(b, "ticker"), [], ALL, f"\n====\nSELECT {ALLS} FROM bars")
 NAMES = "SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN n_name || '__' || n_nationkey ELSE replace(n_name, ' ', '_') || '_X_' || n_nationkey END AS name FROM nation"
@@ -106,6 +107,8 @@ SELECT ticker AS dataset, count(*) AS rows, count(*) - count(DISTINCT date) AS d
   CAST((avg((a IS NULL)::INT) > 0.8)::INT + (avg((b IS NULL)::INT) > 0.8)::INT + (avg((c IS NULL)::INT) > 0.8)::INT AS INTEGER) AS n_sparse_cols,
   CAST(coalesce((var_pop(a) < 1e-10)::INT, 0) + coalesce((var_pop(b) < 1e-10)::INT, 0) + coalesce((var_pop(c) < 1e-10)::INT, 0) AS INTEGER) AS n_near_constant, CAST(greatest(max(sa), max(sb), max(sc)) AS INTEGER) AS worst_staleness FROM s GROUP BY 1"""
 on_bars("a6_a12_profile", lambda b: quality.profile(holes(b), ["a", "b", "c"]), ["dataset", "rows", "dup_index_rows", "n_sparse_cols", "n_near_constant", "worst_staleness"], ["median_gap_days", "nan_overall"], PROFILE, keys=())
+RESULTS = ["dataset", "rows", "dup_index_rows", "n_sparse_cols", "n_near_constant", "worst_staleness"]
+on_bars("k3_results_files", lambda b: round_trip_results(quality.profile(holes(b), ["a", "b", "c"])), RESULTS, ["median_gap_days", "nan_overall"], PROFILE, keys=())
 on_bars("a10_identical_columns", lambda b: quality.identical_columns(b.withColumn("copy", F.col("close")), [*ALL, "copy"], ["ticker", "date"]), ["a", "b"], [], "\n====\nSELECT 'close' AS a, 'copy' AS b UNION ALL SELECT a, b FROM (SELECT 'open' AS a, 'close' AS b, bool_and(open IS NOT DISTINCT FROM close) AS same FROM bars) WHERE same", keys=())
 on_bars("a13_index_stats", quality.index_stats, ["rows", "dups", "first", "last"], ["median_gap"], f"g AS (SELECT *, date - {lag('date')} AS g FROM bars)\n====\nSELECT ticker, count(*) AS rows, count(*) - count(DISTINCT date) AS dups, min(date) AS first, max(date) AS last, quantile_cont(g, 0.5) AS median_gap FROM g GROUP BY 1", keys=("ticker",))
 FWD = "f AS (SELECT ticker, date, lead(close, {w}) OVER (" + W + ") / nullif(close, 0) - 1 AS fwd FROM bars)"
@@ -203,6 +206,16 @@ LIQUID = {"proxy_ted_like": "tax - discount", "term_slope": "price - tax", "carr
 on_macro("m10_liquidity_proxies", lambda m: macro.liquidity_proxies(m, "discount", "tax", "price"), with_changes(*LIQUID), late_sql(LIQUID), digits=7)
 SUR = f"s AS (SELECT date, discount - tax AS s, discount / nullif(lag(discount) OVER ({MW}), 0) - 1 AS c FROM macro), p AS (SELECT *, {zsql('c', 24, 12)} AS p FROM s)\n====\nSELECT date, lag(s) OVER ({MW}) AS discount_surprise, lag(p) OVER ({MW}) AS discount_surprise_proxy_z FROM p"
 on_macro("m13_surprises", lambda m: macro.surprises(m, "discount", "tax"), ["discount_surprise", "discount_surprise_proxy_z"], SUR, digits=5)
+SHOWN = ["discount_surprise", "discount_surprise_proxy_z"]
+
+
+def _with_surprises(m: DataFrame) -> DataFrame:
+    """The latest surprises, known ten days after their month, beside the month's own series."""
+    s = macro.surprises(m, "discount", "tax").select(F.date_add("date", 10).alias("date"), *SHOWN)
+    return align.asof(m, s, SHOWN, 31)
+
+
+on_macro("j5_asof_surprises", _with_surprises, ["discount", *SHOWN], f"{SUR.replace(chr(10) + '====' + chr(10), ', q AS (').replace('SELECT date, lag(s)', 'SELECT date + 10 AS date, lag(s)')})\n====\nSELECT m.date, m.discount, {', '.join(f'CASE WHEN m.date - q.date <= 31 THEN q.{c} END AS {c}' for c in SHOWN)} FROM macro m ASOF LEFT JOIN q ON m.date >= q.date", digits=5)
 add("m11_m12_pca_regimes", lambda s, d: macro.pca_regimes(economy(s, d), ["discount", "tax", "price"]), ["date", "regime_km"], ["pc1", "pc2"], None, 5)
 STATE = {"yc_level": "price", "yc_slope_bill": "price - tax", **LIQUID, "discount_surprise": "discount - tax"}
 on_macro("m14_state_features", lambda m: macro.state_features(m, "price", "five", "two", "tax", "discount", "discount", "tax"), [*with_changes(*list(STATE)[:-1]), "discount_surprise"], late_sql(STATE), digits=7)

@@ -129,7 +129,7 @@ SELECT ticker, date, shares, buys, sells, cash + shares * close AS balance FROM
 on_bars("e3_single_pass", lambda b: simulation.simulate(signals(b)), ["shares", "buys", "sells"], ["balance"], ACCOUNT, 3)
 on_bars("e4_continuous_allocation", lambda b: simulation.simulate(signals(b), "continuous_allocation"), ["shares", "buys", "sells"], ["balance"], None, 3)
 on_bars("e5_probabilistic", lambda b: simulation.simulate(signals(b), "probabilistic"), ["shares", "buys", "sells"], ["balance"], None, 3)
-on_bars("e6_optimise", lambda b: simulation.optimise(signals(b), "continuous_allocation", {"share": [0.5, 0.95], "stop": [0.03, 0.05]}, "sharpe"), [], ["share", "stop", "total", "sharpe"], None, keys=("ticker",))
+on_bars("e6_optimise", lambda b: simulation.optimise(signals(b), "continuous_allocation", {"share": [0.1 * k for k in range(1, 11)], "stop": [0.01 * k for k in range(1, 10)]}, "sharpe"), [], ["share", "stop", "total", "sharpe"], None, keys=("ticker",))
 
 
 # models
@@ -148,7 +148,7 @@ on_bars("e8_permutation_importance", lambda b: learning.permutation_importance(l
 on_bars("e9_feature_stability", lambda b: learning.feature_stability(samples(b), FEATURES, 2), ["feature", "stable"], ["mean", "cv"], None, keys=())
 on_bars("e10_regime_validation", lambda b: learning.regime_validation(learning.walk_forward(samples(b), FEATURES, 2), b.withColumn("_r", spark_pct("close")).withColumn("regime", F.when(spark_roll(F.stddev_samp, "_r", 20) > 0.5, 1).otherwise(0)).select("ticker", "date", "regime"), quality.next_returns(b).select("ticker", "date", "next_ret")), ["regime", "n"], ["sharpe"], None, keys=())
 on_bars("e11_e18_selected_boosting", lambda b: learning.predict(learning.fit(samples(b), FEATURES, "boosted", 2), samples(b)), ["y"], ["proba"], None)
-on_bars("e13_random_search", lambda b: learning.random_search(samples(b), FEATURES, 2), ["trial"], ["regularisation", "mixing", "score"], None, keys=())
+on_bars("e13_random_search", lambda b: learning.random_search(samples(b), FEATURES, 2), ["trial", "parameters", "features"], ["score"], None, keys=())
 on_bars("e15_calibration", lambda b: (lambda s: learning.calibrate(s.where("date < '1999-01-01'"), s.where("date >= '1999-01-01'")))(learning.walk_forward(samples(b), FEATURES, 2)), ["y"], ["proba", "calibrated"], None)
 on_bars("e17_linear", lambda b: learning.linear(samples(b).where("date < '1999-01-01'"), samples(b).where("date >= '1999-01-01'"), FEATURES, "fwd"), [], ["prediction"], None)
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.exprs import ahead, pct
-from ..operators import align, labels, learning, price, quality, transforms
+from ..operators import align, labels, learning, price, quality, simulation, transforms
 from ..sources.views import LAGS, bars, macro_monthly
 from .catalog import add
 
@@ -55,6 +55,36 @@ def meta_decisions(b: DataFrame, folds: int = 3) -> DataFrame:
     return quality.decision_metrics(labels.daily_pnl(b, decided.select("ticker", "date", "signal")))
 
 
+#: Parameters of the account within a fold: twenty shares of the equity by ten stops.
+ACCOUNTS = {"share": [0.05 * k for k in range(1, 21)], "stop": [0.01 * k for k in range(1, 11)]}
+
+
+def walk_forward_backtest(rows: DataFrame, features: list[str], folds: int = 3, grid: dict[str, list[float]] | None = None, cash: float = 10_000_000.0, **args) -> DataFrame:
+    """(ticker, fold, date, the grid's columns, balance, equity): per expanding fold a model, its signals on the
+    test rows, the account parameters of the best total return there, and the equity of all folds one after the other.
+
+    ``rows`` have prices, features and ``y``. The best point is chosen on the rows it is shown on, so
+    equity is what the grid can reach and no estimate of what it will.
+    """
+    grid = grid or ACCOUNTS
+    scored = learning.walk_forward(rows, features, folds).select("ticker", "date", F.col("fold").cast("double").alias("fold"), F.when(F.col("proba") >= 0.5, 1.0).otherwise(-1.0).alias("signal"))
+    traded = rows.select("ticker", "date", "open", "low", "close").join(scored, ["ticker", "date"])
+    best = simulation.optimise(traded, "continuous_allocation", grid, within=("fold",), cash=cash, **args)
+    # the chosen accounts again: one of the grid's points, for less than keeping the days of all
+    shown = simulation.simulate(traded.join(best.select("ticker", "fold", *grid), ["ticker", "fold"]), "continuous_allocation", grid=["fold", *grid], cash=cash, **args)
+    grown = shown.groupBy("ticker", "fold").agg((F.max_by("balance", "date") / cash).alias("grown"))
+    before = Window.partitionBy("ticker").orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    start = grown.select("ticker", "fold", F.coalesce(F.product("grown").over(before), F.lit(1.0)).alias("_start"))
+    out = shown.join(start, ["ticker", "fold"]).withColumn("equity", F.col("balance") * F.col("_start"))
+    return out.select("ticker", F.col("fold").cast("int").alias("fold"), "date", *grid, "balance", "equity")
+
+
+def _tame(b: DataFrame) -> DataFrame:
+    """Features and ``y``, and prices that move by a few percent a day."""
+    x = labels.binary_target(price.stochastic(price.rate_of_change(price.returns(b, (1, 5)))), 5, 0.0, True).withColumnRenamed("target", "y")
+    return x.withColumns({c: 1000 + F.col(c) / 10000 for c in ("open", "low", "close")})
+
+
 def _bars(f):
     return lambda s, d: f(bars(s, d))
 
@@ -66,3 +96,6 @@ def _sector(s: SparkSession, d: str) -> DataFrame:
 add("c4_c5_sector_dataset", _sector, ["ticker", "date"], ["close", *SCALED], None, 4)
 add("c6_k4_triage", _bars(triage), ["ticker", "top_features"], ["score"], None)
 add("e12_e14_meta_decisions", _bars(meta_decisions), ["ticker", "trades"], ["exposure", "hit_rate", "pnl"], None)
+add("c3_stock_features", _bars(lambda b: price.stock_features(b, "none", "1-URGENT", ("2-HIGH", None))), ["ticker", "date"], ["sector_strength", "sector_beta", "market_strength", "market_beta", "rsi_14", "macd"], None)
+add("e2_walk_forward_backtest", _bars(lambda b: walk_forward_backtest(_tame(b), ["ret_1", "ret_5", "roc", "stoch_k"])), ["ticker", "fold", "date"], ["share", "stop", "balance", "equity"], None, 3)
+add("e17_e18_coarse_grid", _bars(lambda b: learning.coarse_grid(_tame(b), ["ret_1", "ret_5", "roc", "stoch_k"], {"y": 2}, ["fwd"], 1)), ["target", "features", "model"], ["score"], None)

@@ -82,6 +82,33 @@ def read_directory(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.csv(glob, header=True).withColumn("dataset", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))
 
 
+def read_trends(spark: SparkSession, path: str, keywords: list[str]) -> DataFrame:
+    """(date, trend_<keyword>, ...) of CSV files of search interest; the mark of unfinished weeks goes."""
+    columns = ", ".join(["date date", *[f"`{k}` double" for k in keywords], "isPartial boolean"])
+    raw = spark.read.schema(columns).csv(path, header=True, enforceSchema=False)
+    return raw.drop("isPartial").withColumnsRenamed({k: f"trend_{k}" for k in keywords})
+
+
+def read_each(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, rows, bad_rows, error) of each file of bars: one that can't be read is a row with its error and not an exception."""
+    found = []
+    for path in paths:
+        try:
+            d = read_bars_csv(spark, path)
+            # a column that nothing asks for isn't parsed, and its bad cells aren't seen
+            r = d.agg(F.count("*"), F.count("_corrupt_record"), *[F.count(c) for c in d.columns]).first()
+            found.append((path, r[0], r[1], None))
+        except Exception as e:  # noqa: BLE001 - whatever it is, it is the file's result
+            found.append((path, None, None, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"))
+    return spark.createDataFrame(found, "path string, rows long, bad_rows long, error string")
+
+
+def write_results(df: DataFrame, path: str) -> None:
+    """A table of results as CSV and as JSON lines, in folders of these names."""
+    df.write.mode("overwrite").csv(f"{path}/csv", header=True)
+    df.write.mode("overwrite").json(f"{path}/json")
+
+
 def sector_and_ticker(name: str) -> tuple:
     """Columns sector and ticker of a data set's name: ``sector__ticker``, else its first and last part between underscores."""
     c = F.col(name)
@@ -122,6 +149,21 @@ def round_trip_parquet(df: DataFrame, by: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def round_trip_results(df: DataFrame) -> DataFrame:
+    """The rows that are equal in the CSV and in the JSON written of a table of results."""
+    path = scratch(df.sparkSession, "results")
+    write_results(df, path)
+    read = df.sparkSession.read.schema(df.schema)
+    return read.csv(f"{path}/csv", header=True).intersect(read.json(f"{path}/json"))
+
+
+def round_trip_trends(df: DataFrame, keywords: list[str]) -> DataFrame:
+    """Search interest written as CSV files and read again."""
+    path = scratch(df.sparkSession, "trends")
+    df.select("date", *keywords, F.lit(False).alias("isPartial")).write.csv(path, header=True)
+    return read_trends(df.sparkSession, path, keywords)
+
+
 def round_trip_observations(long: DataFrame) -> DataFrame:
     """Observations written as JSON documents, a list per series and year, and read again."""
     path = scratch(long.sparkSession, "observations")

@@ -438,9 +438,11 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: f
     discard(pairs, prints, classes)
     spread = _prefixes(rows.join(if_few(copies), "doc_id", "left_anti"), _common(rows, words), words, similarity)
     shared = cut(spread.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_several, "key long, doc_id long, at long"), "prefixes")
-    # twice the pairs between groups that share most, then all that are left
+    # twice the pairs between groups that share most, then all that are left; groups that nothing joined are met by the same pairs
+    roots, joined = connected_components(links), True
     for all_pairs in (False, False, True):
-        roots = connected_components(links)
+        if not joined and not all_pairs:
+            continue
         placed = shared.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"), "at")
         met = placed.repartition(n, "key").sortWithinPartitions("key", "at").mapInArrow(_across(similarity, all_pairs), "a long, b long")
         if all_pairs:
@@ -448,10 +450,17 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: f
         else:
             ranked = met.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b")))
             pairs = cut(ranked.where(F.col("k") <= CLOSEST).select("a", "b"), "pairs")
-        links = links.unionByName(_verified(pairs, rows, words, similarity))
-        discard(pairs, roots)
-    discard(copies, shared)
-    roots = connected_components(links)
+        if pairs.isEmpty():  # no two groups share a prefix any more
+            discard(pairs)
+            break
+        found = _verified(pairs, rows, words, similarity)
+        joined = not found.isEmpty()
+        if joined:
+            # the groups so far are stars already: only they and what joins them are labelled anew
+            stars, roots = roots, connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+            discard(stars)
+        discard(pairs, found)
+    discard(copies, shared, links)
     return rows.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -64,15 +65,26 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.size = len(symbols)
-        self.table = np.zeros((len(nexts), k + 1), np.int32)
-        for s, m in enumerate(nexts):
-            for c, t in m.items():
-                self.table[s, c] = t
+        self.size, self.states, self.symbols = len(symbols), len(nexts), k
+        n = np.fromiter(map(len, nexts), np.int64, len(nexts))
+        #: Transitions: from ``state`` by ``symbol`` to ``target``.
+        self.state = np.repeat(np.arange(len(nexts), dtype=np.int32), n)
+        self.symbol = np.fromiter((c for m in nexts for c in m), np.uint16, int(n.sum()))
+        self.target = np.fromiter((t for m in nexts for t in m.values()), np.int32, int(n.sum()))
+
+    @property
+    def table(self) -> np.ndarray:
+        """(states, k + 1) targets."""
+        out = np.zeros((self.states, self.symbols + 1), np.int32)
+        out[self.state, self.symbol] = self.target
+        return out
 
 
 class LanguageModel:
-    """Automata of several languages over one alphabet."""
+    """Automata of several languages over one alphabet.
+
+    Their transitions are some MB and are what is sent to workers; each worker makes of them, once, the table that it parses by.
+    """
 
     def __init__(self, texts: dict[str, str]) -> None:
         data = {lang: letters(t).encode("utf-8", "surrogatepass") for lang, t in texts.items()}
@@ -82,23 +94,32 @@ class LanguageModel:
         self.lookup[known] = np.arange(1, len(known) + 1)
         self.languages = sorted(texts)
         self.sizes = np.array([max(2, len(data[x])) for x in self.languages], float)
-        k = len(known)
-        parts = [SuffixAutomaton(self.lookup[np.frombuffer(data[x], np.uint8)].tolist(), k).table for x in self.languages]
-        #: The automata below one another, completed: per state and symbol the place of the row to go on from (after a
-        #: missing transition that of the symbol from the start, or the start), times four, plus the phrases that end or stand alone.
+        self.parts = [SuffixAutomaton(self.lookup[np.frombuffer(data[x], np.uint8)].tolist(), len(known)) for x in self.languages]
         #: The last symbol pads texts that are over: it changes nothing.
-        width, rows = k + 2, np.cumsum([0, *(len(p) for p in parts)])
-        self.pad = k + 1
-        kind = np.int32 if int(rows[-1]) * width * 4 < 1 << 31 else np.int64
-        self.base = (rows[:-1] * width).astype(kind)
-        self.table = np.zeros(int(rows[-1]) * width, kind)
-        for p, first in zip(parts, rows[:-1]):
-            missing, alone = p == 0, p[0] == 0
-            ends = np.where(missing, 1 + alone, 0)
-            ends[0] = missing[0]
-            go = np.where(missing, np.where(alone, 0, p[0]), p).astype(np.int64)
-            packed = np.concatenate([((go + first) * width) << 2 | ends, (np.arange(first, first + len(p))[:, None] * width) << 2], 1)
-            self.table[first * width : (first + len(p)) * width] = packed.ravel()
+        self.pad = len(known) + 1
+        self.rows = np.cumsum([0, *(p.states for p in self.parts)])
+        self.kind = np.int32 if int(self.rows[-1]) * (self.pad + 1) * 4 < 1 << 31 else np.int64
+        self.base = (self.rows[:-1] * (self.pad + 1)).astype(self.kind)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """The automata below one another, completed: per state and symbol the place of the row to go on from (after a
+        missing transition that of the symbol from the start, or the start), times four, plus the phrases that end or stand alone."""
+        width, k = self.pad + 1, self.pad
+        out = np.empty(int(self.rows[-1]) * width, self.kind)
+        for p, first in zip(self.parts, self.rows[:-1].tolist()):
+            view = out[first * width : (first + p.states) * width].reshape(p.states, width)
+            start = np.zeros(k, np.int64)
+            start[p.symbol[p.state == 0]] = p.target[p.state == 0]
+            alone, go = start == 0, (start + first) * width << 2
+            view[:, :k] = go | 1 + alone
+            view[0, :k] = go | alone
+            view[p.state, p.symbol] = (p.target.astype(np.int64) + first) * width << 2
+            view[:, k] = np.arange(first, first + p.states) * width << 2
+        return out
 
     def symbols(self, text: str) -> np.ndarray:
         return self.lookup[np.frombuffer(letters(text).encode("utf-8", "surrogatepass"), np.uint8)]
@@ -208,7 +229,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     """
     spark = docs.sparkSession
     small_batches(spark, LANES)
-    shared = spark.sparkContext.broadcast(model)  # some 10 MB per language at most: bounded by TRAIN_CHARS and ALL_CHARS
+    shared = spark.sparkContext.broadcast(model)  # some MB per language at most: bounded by TRAIN_CHARS and ALL_CHARS
     whole = fresh(docs, "_text")
     kept = docs.select(*[c for c in docs.columns if c not in (text, "lang_pred", "score", "lang_bits")], F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias(whole))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop(whole).schema)

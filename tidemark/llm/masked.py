@@ -56,6 +56,8 @@ SHARD_KEYS = 1 << 19
 CANDIDATES, SHORT = 200, 14
 #: Bytes that are looked at together, and bits of a key: a word's, and beside the shard's number a context's.
 CHUNK, WORD_BITS, CONTEXT_BITS = 1 << 22, 16, 32
+#: Bytes whose places, hashes and bigrams are made at once.
+PIECE = 1 << 18
 _END, _BYTES = 256, 64
 _SPACES = [9, 10, 11, 12, 13, 32]
 
@@ -83,13 +85,24 @@ class Words:
         self.sizes = end - begin
         self.bytes = data[~space]
         self.starts = np.cumsum(self.sizes) - self.sizes
-        inside = np.arange(len(self.bytes)) - np.repeat(self.starts, self.sizes)
-        values = _tabulation()[inside % _BYTES, self.bytes]
-        self.hash = np.add.reduceat(values, self.starts) + self.sizes.astype(np.uint64) if len(begin) else np.zeros(0, np.uint64)
+        self.hash = self.sizes.astype(np.uint64)
+        # some words at a time: what is made for each byte takes many times the byte
+        for i, j in self.pieces():
+            own, at = self.bytes[self.starts[i] : self.starts[j - 1] + self.sizes[j - 1]], self.starts[i:j] - self.starts[i]
+            inside = np.arange(len(own)) - np.repeat(at, self.sizes[i:j])
+            self.hash[i:j] += np.add.reduceat(_tabulation()[inside % _BYTES, own], at)
         firsts = np.cumsum(lengths + 1) - lengths - 1
         self.text = np.searchsorted(firsts, begin, side="right") - 1
         self.counts = np.bincount(self.text, minlength=len(texts))
 
+    def pieces(self) -> Iterator[tuple[int, int]]:
+        """(first, end) of runs of words of about ``PIECE`` bytes, a longer word on its own."""
+        i = 0
+        while i < len(self.sizes):
+            j = max(i + 1, int(np.searchsorted(self.starts, self.starts[i] + PIECE)))
+            yield i, j
+            i = j
+
     def spelled(self, i: int) -> bytes:
         return self.bytes[self.starts[i] : self.starts[i] + self.sizes[i]].tobytes()
 
@@ -188,10 +201,13 @@ class MaskedModel:
         """Log-probability of each word by the byte bigrams, its end included."""
         if not len(w.sizes):
             return np.zeros(0)
-        before = np.concatenate([[_END], w.bytes[:-1]]).astype(np.int64)
-        before[w.starts] = _END
-        last = w.bytes[w.starts + w.sizes - 1]
-        return np.add.reduceat(self.bytes[before, w.bytes], w.starts) + self.bytes[last, _END]
+        out = self.bytes[w.bytes[w.starts + w.sizes - 1], _END]
+        for i, j in w.pieces():
+            own, at = w.bytes[w.starts[i] : w.starts[j - 1] + w.sizes[j - 1]], w.starts[i:j] - w.starts[i]
+            before = np.concatenate([[_END], own[:-1]]).astype(np.int64)
+            before[at] = _END
+            out[i:j] += np.add.reduceat(self.bytes[before, own], at)
+        return out
 
     def classes(self, w: Words) -> np.ndarray:
         out = 1 + FREQUENT + (w.bytes[w.starts] % GROUPS).astype(np.int64)
@@ -300,9 +316,11 @@ def _statistics(packed: DataFrame) -> tuple[list[bytes], np.ndarray]:
                     w = Words(texts)
                     if not len(w.hash):
                         continue
-                    before = np.concatenate([[_END], w.bytes[:-1]]).astype(np.int64)
-                    before[w.starts] = _END
-                    bigrams += np.bincount(before * side + w.bytes, minlength=side * side)
+                    for first, end in w.pieces():
+                        own, at = w.bytes[w.starts[first] : w.starts[end - 1] + w.sizes[end - 1]], w.starts[first:end] - w.starts[first]
+                        before = np.concatenate([[_END], own[:-1]]).astype(np.int64)
+                        before[at] = _END
+                        bigrams += np.bincount(before * side + own, minlength=side * side)
                     bigrams += np.bincount(w.bytes[w.starts + w.sizes - 1].astype(np.int64) * side + _END, minlength=side * side)
                     found, at, n = np.unique(w.hash, return_index=True, return_counts=True)
                     head, tail = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)

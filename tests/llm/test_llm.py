@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import pickle
 import random
 from collections import Counter
 
@@ -699,3 +700,26 @@ def test_pipeline(spark):
     assert set(done) == set(ids)
     for r in docs.collect():
         assert done[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
+
+
+def test_language_model_is_sent_without_its_table():
+    m = language.LanguageModel({"a": "one two three two one", "b": "uno dos tres dos uno", "c": ""})
+    texts = ["one two", "tres uno!", "", "zzz", "two tres " * 40]
+    found = m.phrases(texts)
+    sent = pickle.loads(pickle.dumps(m))
+    assert "table" in vars(m) and "table" not in vars(sent)
+    assert (sent.phrases(texts) == found).all() and (sent.table == m.table).all()
+
+
+def test_words_do_not_depend_on_the_pieces_they_are_made_in(monkeypatch):
+    texts = [b"", b"a bb  ccc a", b"x" * 700 + b" y", b" ", "été naïve".encode()]
+    model = masked.MaskedModel([b"a"], np.ones((257, 257), np.int64))
+    whole = masked.Words(texts)
+    spelled = model.spelled(whole)
+    for size in (1, 3, 64):
+        monkeypatch.setattr(masked, "PIECE", size)
+        w = masked.Words(texts)
+        pieces = list(w.pieces())
+        assert pieces[0][0] == 0 and pieces[-1][1] == len(w.sizes) and all(a[1] == b[0] for a, b in zip(pieces, pieces[1:]))
+        assert (w.hash == whole.hash).all() and np.allclose(model.spelled(w), spelled, rtol=1e-12)
+    assert list(masked.Words([]).pieces()) == []

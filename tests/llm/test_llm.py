@@ -166,6 +166,21 @@ def test_similar_documents_equal_brute_force_in_families_of_edits(spark):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == dict(enumerate(root))
 
 
+def test_similar_documents_compare_no_texts_that_share_passages_only(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    passages = [[word() for _ in range(9)] for _ in range(24)]
+    texts = []
+    for i in range(72):  # each passage in three texts, of which over a fifth is nowhere else
+        texts.append(" ".join([*(word() for _ in range(20)), *passages[i % 24], *(word() for _ in range(10))]))
+    texts.append(texts[0].replace(texts[0].split()[-1], "end"))
+    compared, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *x: compared.append(pairs.select("a", "b").collect()) or verified(pairs, *x))
+    found = simhash.similar_documents(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i for i in range(72)} | {72: 0}
+    assert {tuple(p) for pairs in compared[1:] for p in pairs} <= {(72, 0)}
+
+
 def test_keys_that_come_more_than_once_over_batches():
     import pyarrow as pa
 

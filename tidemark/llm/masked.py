@@ -28,7 +28,7 @@ add them up and send the totals back to the blocks that asked.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -241,8 +241,8 @@ class MaskedModel:
         return which, context << np.uint64(WORD_BITS) | _mixed(w.hash[which]) >> np.uint64(64 - WORD_BITS)
 
 
-def pack(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(block, rows, sizes, data): the documents in blocks, by a hash of id and text; ``rows`` holds all columns but ``text``, ``data`` the packed lower-cased texts."""
+def pack(docs: DataFrame, text: str = "text", prepare: Callable[[str | None], bytes] = lowered) -> DataFrame:
+    """(block, rows, sizes, data): the documents in blocks, by a hash of id and text; ``rows`` holds all columns but ``text``, ``data`` the packed texts as ``prepare`` makes them."""
     spark = docs.sparkSession
     small_batches(spark)
     total = docs.agg(F.sum(F.char_length(text))).first()[0] or 0
@@ -276,14 +276,14 @@ def pack(docs: DataFrame, text: str = "text") -> DataFrame:
                 now = int(block[a])
                 part = b.slice(a, z - a)
                 held.append(part.column("row"))
-                texts += [lowered(t) for t in part.column("text").to_pylist()]
+                texts += [prepare(t) for t in part.column("text").to_pylist()]
         if held:
             yield done()
 
     return cut(dealt.mapInArrow(run, schema), "blocks")
 
 
-def _texts(sizes: pa.ListScalar, data: pa.BinaryScalar) -> Iterator[tuple[int, list[bytes]]]:
+def packed_texts(sizes: pa.ListScalar, data: pa.BinaryScalar) -> Iterator[tuple[int, list[bytes]]]:
     """(number of the first, texts) of a block, about ``CHUNK`` bytes at a time."""
     plain = zstandard.ZstdDecompressor().decompress(data.as_py())
     at, first, out, n = 0, 0, [], 0
@@ -312,7 +312,7 @@ def _statistics(packed: DataFrame) -> tuple[list[bytes], np.ndarray]:
 
         for b in batches:
             for i in range(b.num_rows):
-                for _, texts in _texts(b.column(0)[i], b.column(1)[i]):
+                for _, texts in packed_texts(b.column(0)[i], b.column(1)[i]):
                     w = Words(texts)
                     if not len(w.hash):
                         continue
@@ -354,7 +354,7 @@ def fit_blocks(packed: DataFrame) -> MaskedModel:
             for b in batches:
                 for i in range(b.num_rows):
                     net, own = Network(m.vector, m.used), 0
-                    for _, texts in _texts(b.column(0)[i], b.column(1)[i]):
+                    for _, texts in packed_texts(b.column(0)[i], b.column(1)[i]):
                         w = Words(texts)
                         classes = m.classes(w)
                         around = m.windows(w, classes)
@@ -388,7 +388,7 @@ def fit(docs: DataFrame, text: str = "text") -> MaskedModel:
 def _own_keys(m: MaskedModel, sizes: pa.ListScalar, data: pa.BinaryScalar, bits: int) -> tuple[np.ndarray, np.ndarray, list]:
     """(keys, documents, chunks) of a block: the distinct keys ascending, in how many documents each is; per chunk its words, and for each key of a word in which document."""
     chunks, all_keys, all_docs = [], [], []
-    for first, texts in _texts(sizes, data):
+    for first, texts in packed_texts(sizes, data):
         w = Words(texts)
         which, key = m.keys(w, bits) if len(w.hash) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
         chunks.append((first, w, which, key))
@@ -413,11 +413,11 @@ def _whole(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _pressed(x: np.ndarray) -> bytes:
+def pressed(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(x.astype("<u4").tobytes())
 
 
-def _unpressed(x: bytes) -> np.ndarray:
+def unpressed(x: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<u4")
 
 
@@ -433,7 +433,7 @@ def _asked(packed: DataFrame, frozen, bits: int, counts: bool, answers: bool) ->
                 starts = np.flatnonzero(np.diff(shard, prepend=-1)) if len(shard) else np.zeros(0, int)
                 ends = np.append(starts[1:], len(shard))
                 n = len(starts)
-                yield pa.RecordBatch.from_arrays([pa.array(shard[starts].astype(np.int32)), pa.array(np.full(n, b.column(0)[i].as_py(), np.int64)), pa.array([counts] * n, pa.bool_()), pa.array([answers] * n, pa.bool_()), pa.array([_six(distinct[a:z]) for a, z in zip(starts, ends)], pa.binary()), pa.array([_pressed(count[a:z]) for a, z in zip(starts, ends)], pa.binary())], ["shard", "block", "counts", "answers", "keys", "documents"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[starts].astype(np.int32)), pa.array(np.full(n, b.column(0)[i].as_py(), np.int64)), pa.array([counts] * n, pa.bool_()), pa.array([answers] * n, pa.bool_()), pa.array([_six(distinct[a:z]) for a, z in zip(starts, ends)], pa.binary()), pa.array([pressed(count[a:z]) for a, z in zip(starts, ends)], pa.binary())], ["shard", "block", "counts", "answers", "keys", "documents"])
 
     return packed.select("block", "sizes", "data").mapInArrow(run, "shard int, block long, counts boolean, answers boolean, keys binary, documents binary")
 
@@ -448,7 +448,7 @@ def _totals(asked: DataFrame) -> DataFrame:
                 k = _whole(b.column("keys")[i].as_py())
                 if b.column("counts")[i].as_py():
                     keys.append(k)
-                    counts.append(_unpressed(b.column("documents")[i].as_py()))
+                    counts.append(unpressed(b.column("documents")[i].as_py()))
                 if b.column("answers")[i].as_py():
                     wanted.append((b.column("block")[i].as_py(), k))
         k = np.concatenate([np.zeros(0, np.uint64), *keys])
@@ -466,7 +466,7 @@ def _totals(asked: DataFrame) -> DataFrame:
             at, c = np.minimum(at, max(len(known) - 1, 0)), np.minimum(c, max(len(contexts) - 1, 0))
             d = np.where(known[at] == own, docs[at], 0) if len(known) else np.zeros(len(own))
             t = np.where(contexts[c] == own >> np.uint64(WORD_BITS), all_of[c], 0) if len(known) else np.zeros(len(own))
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([key[0].as_py()], pa.int32()), pa.array([_pressed(np.concatenate([d, t]))], pa.binary())], ["block", "shard", "totals"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([key[0].as_py()], pa.int32()), pa.array([pressed(np.concatenate([d, t]))], pa.binary())], ["block", "shard", "totals"])
 
     return asked.groupBy("shard").applyInArrow(run, "block long, shard int, totals binary")
 
@@ -497,7 +497,7 @@ def score_blocks(packed: DataFrame, model: MaskedModel, corpus: DataFrame | None
             for i in range(b.num_rows):
                 rows = b.column(0)[i].values
                 distinct, _, chunks = _own_keys(m, b.column(1)[i], b.column(2)[i], bits)
-                parts = [_unpressed(x["totals"]) for x in b.column(3)[i].as_py() or []]
+                parts = [unpressed(x["totals"]) for x in b.column(3)[i].as_py() or []]
                 d = np.concatenate([np.zeros(0), *(p[: len(p) // 2] for p in parts)])
                 t = np.concatenate([np.zeros(0), *(p[len(p) // 2 :] for p in parts)])
                 n, total = np.zeros(len(rows), np.int64), np.zeros(len(rows))

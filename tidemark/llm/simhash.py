@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import cut, discard, fresh, if_few, small_batches, table
 from .components import connected_components
 from .golay import codewords, nearby
+from .masked import SHARD_KEYS, pack, packed_texts, pressed, unpressed
 
 SEED = 42
 MAX_BITS = 3
@@ -38,9 +39,13 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _AT_ONCE = 1 << 16
 
 
-def shingles(text: str | None, words: int) -> list[bytes]:
-    """The text's word shingles in UTF-8, A-Z lowered, repeats included; the whole sequence if it has fewer words."""
-    w = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+def _plain(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def shingles(text: str | bytes | None, words: int) -> list[bytes]:
+    """The word shingles of a text (or its UTF-8), A-Z lowered, repeats included; the whole sequence if it has fewer words."""
+    w = (text if isinstance(text, bytes) else _plain(text)).translate(_LOWER).split()
     if not w:
         return []
     if len(w) < words:
@@ -149,19 +154,20 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # is close enough; the Jaccard similarity of the two shingle sets decides.
 # These proposals join most of a group, but not all of it: the closest by bits
 # need not be the similar one.  So pairs between the groups are completed by the
-# prefixes of the shingle sets, which miss none.
+# prefixes of the shingle sets, which miss none: rarest shingles first, by their
+# number of documents in all rows, so that a text shares few of its first.
 
 SIMILARITY, SHINGLE_WORDS = 0.8, 5
 #: Segments and codewords per segment; differing bits (of 138) up to which texts are proposed, and at which one stands for the other.
 SOFT_SEGMENTS, NEAR, CLOSE_BITS, SAME_BITS = 6, 2, 40, 3
 #: Proposals of a document that are verified; the prefixes complete the rest.
 CLOSEST = 3
-#: Documents (about) whose shingles tell which are common, and how many of them are held.
-SAMPLED, MOST_COMMON = 20_000, 200_000
+#: Bits of a shingle's hash, beside its shard's, by which it is counted: equal ones among rare shingles only change the order.
+KEY_BITS = 40
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def shingle_set(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+def shingle_set(text: str | bytes | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     """The distinct hashes of a text's word shingles, ascending."""
     found = shingles(text, words)
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), np.uint64, len(found)))
@@ -243,63 +249,103 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(bits, pa.int32())], ["a", "b", "bits"])
 
 
-def _common(rows: DataFrame, words: int) -> np.ndarray:
-    """Hashes of shingles that many of some ``SAMPLED`` documents share, ascending by how many, at most ``MOST_COMMON``.
+def _least_shared(similarity: float, n: np.ndarray | int) -> np.ndarray:
+    """The least whole number at or over similarity * n, rounding errors allowed for."""
+    return np.ceil(similarity * np.asarray(n, np.float64) - 1e-6).astype(np.int64)
 
-    Only the order in which shingles are taken depends on them, and any order finds all pairs.
-    """
-    total = rows.count()
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(total // SAMPLED, 1))) == 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view(np.int64))], ["h"])
+def _block_sets(sizes: pa.ListScalar, data: pa.BinaryScalar, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, lengths) of a block: the shingle sets of its texts end to end, and the size of each."""
+    sets = [shingle_set(t, words) for _, part in packed_texts(sizes, data) for t in part]
+    return np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(s) for s in sets], np.int64)
 
-    often = some.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("docs")).where("docs >= 4")
-    found = often.orderBy(F.desc("docs"), "h").limit(MOST_COMMON).select("h").toArrow()["h"].to_numpy()
-    return found[::-1].copy().view(np.uint64)
 
+def _short(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return hashes >> np.uint64(64 - KEY_BITS - bits)
 
-def _ordered(hashes: np.ndarray, rank: np.ndarray, by_hash: np.ndarray) -> np.ndarray:
-    """A set's hashes in the order of all sets: rare ones by hash, then the common ones (``by_hash`` sorted, with their ``rank``)."""
-    if not len(by_hash):
-        return hashes
-    at = np.minimum(np.searchsorted(by_hash, hashes), len(by_hash) - 1)
-    known = by_hash[at] == hashes
-    late = hashes[known]
-    return np.concatenate([hashes[~known], late[np.argsort(rank[at[known]], kind="stable")]])
 
+def _five(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
-def _least_shared(similarity: float, n: np.ndarray | int) -> np.ndarray:
-    """The least whole number at or over similarity * n, rounding errors allowed for."""
-    return np.ceil(similarity * np.asarray(n, np.float64) - 1e-6).astype(np.int64)
 
+def _from_five(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
 
-def _prefixes(rows: DataFrame, common: np.ndarray, words: int, similarity: float) -> DataFrame:
-    """``rows(doc_id, text)`` -> (key, doc_id, at): the first shingles of every set, of which two similar sets share one at least.
+
+def _frequencies(packed: DataFrame, words: int, bits: int) -> DataFrame:
+    """(block, found): for each shard of hashes the numbers of documents that have the block's distinct short keys, in their order.
+
+    A block sends its keys to the shards of their first ``bits`` bits; a shard adds up and answers every block.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                distinct, count = np.unique(_short(_block_sets(b.column(1)[i], b.column(2)[i], words)[0], bits), return_counts=True)
+                shard = (distinct >> np.uint64(KEY_BITS)).astype(np.int32)
+                starts = np.flatnonzero(np.diff(shard, prepend=-1))
+                parts = list(zip(starts, [*starts[1:], len(shard)]))
+                yield pa.RecordBatch.from_arrays([pa.array(shard[starts]), pa.array(np.full(len(parts), b.column(0)[i].as_py(), np.int64)), pa.array([_five(distinct[a:z]) for a, z in parts], pa.binary()), pa.array([pressed(count[a:z]) for a, z in parts], pa.binary())], ["shard", "block", "keys", "documents"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, keys, counts = [], [], []
+        for b in batches:
+            blocks += b.column("block").to_pylist()
+            keys += map(_from_five, b.column("keys").to_pylist())
+            counts += map(unpressed, b.column("documents").to_pylist())
+        _, which = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(which, np.concatenate(counts)).astype(np.int64)[which]
+        ends = np.cumsum([len(k) for k in keys])
+        for block, k, z in zip(blocks, keys, ends.tolist()):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([key[0].as_py()], pa.int32()), pa.array([pressed(total[z - len(k) : z])], pa.binary())], ["block", "shard", "totals"])
+
+    asked = packed.select("block", "sizes", "data").mapInArrow(ask, "shard int, block long, keys binary, documents binary")
+    totals = asked.groupBy("shard").applyInArrow(add, "block long, shard int, totals binary")
+    return totals.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "totals"))).alias("found"))
+
+
+def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``rows(doc_id, text)`` -> (key, doc_id, at): of the first shingles of every set those that another set may have; two similar sets share one of them at least.
 
     ``at`` holds the size of the set and the place of the shingle in it (32 bits each).
     Sets of p and q at the similarity s share at least s * max(p, q), so one of p
     without its last ceil(s * p) - 1 still has a shared one, the first shared in the order of all.
+    That order is by the number of documents, counted over all rows, then by hash: what is in one document only comes first and is not sent.
     """
-    small_batches(rows.sparkSession)
-    sort = np.argsort(common)
-    by_hash, rank = common[sort], sort
+    packed = pack(rows, prepare=_plain)
+    total = packed.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    bits = max(0, (total // 6 // SHARD_KEYS).bit_length())
+    found = _frequencies(packed, words, bits).withColumnRenamed("block", "b")
+    both = packed.hint("merge").join(found, F.col("block") == F.col("b")).select("rows", "sizes", "data", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, at, each = [], [], []
-            for t in b.column(1).to_pylist():
-                h = shingle_set(t, words)
-                m = max(len(h) - int(_least_shared(similarity, len(h))) + 1, 0) if len(h) else 0
-                key.append(_ordered(h, rank, by_hash)[:m])
-                at.append(len(h) << 32 | np.arange(len(key[-1]), dtype=np.int64))
-                each.append(len(key[-1]))
-            if sum(each):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), each)), pa.array(np.concatenate(at))], ["key", "doc_id", "at"])
-
-    return rows.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, at long")
+            for i in range(b.num_rows):
+                doc = b.column(0)[i].values.field(0).to_numpy()
+                hashes, lengths = _block_sets(b.column(1)[i], b.column(2)[i], words)
+                totals = np.concatenate([unpressed(x["totals"]) for x in b.column(3)[i].as_py()])
+                short = _short(hashes, bits)
+                # numbers over 16 bits are alike: they are sorted by radix
+                often = np.minimum(totals, 65535).astype(np.uint16)[np.searchsorted(np.unique(short), short)]
+                key, at, each = [], [], np.zeros(len(lengths), np.int64)
+                first = np.where(lengths > 0, lengths - _least_shared(similarity, lengths) + 1, 0)
+                ends = np.cumsum(lengths)
+                for j, (z, n, m) in enumerate(zip(ends.tolist(), lengths.tolist(), first.tolist())):
+                    own = often[z - n : z]
+                    alone = int(np.count_nonzero(own == 1))
+                    if alone < m:
+                        order = np.argsort(own, kind="stable")[alone:m]
+                        key.append(hashes[z - n : z][order])
+                        at.append(n << 32 | np.arange(alone, m, dtype=np.int64))
+                        each[j] = m - alone
+                if key:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.repeat(doc, each)), pa.array(np.concatenate(at))], ["key", "doc_id", "at"])
+
+    out = both.mapInArrow(run, "key long, doc_id long, at long")
+    out._tidemark_path = packed._tidemark_path
+    return out
 
 
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,8 +482,9 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: f
     # of equal sets one: the first document goes on, and every document that is the first of any of its texts
     copies = cut(members.select(F.col("a").alias("doc_id")).distinct().join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_anti"), "copies")
     discard(pairs, prints, classes)
-    spread = _prefixes(rows.join(if_few(copies), "doc_id", "left_anti"), _common(rows, words), words, similarity)
+    spread = _prefixes(rows.join(if_few(copies), "doc_id", "left_anti"), words, similarity)
     shared = cut(spread.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_several, "key long, doc_id long, at long"), "prefixes")
+    discard(spread)
     # twice the pairs between groups that share most, then all that are left; groups that nothing joined are met by the same pairs
     roots, joined = connected_components(links), True
     for all_pairs in (False, False, True):

@@ -181,6 +181,21 @@ def test_similar_documents_compare_no_texts_that_share_passages_only(spark, monk
     assert {tuple(p) for pairs in compared[1:] for p in pairs} <= {(72, 0)}
 
 
+def test_sets_that_differ_in_too_many_hashes_are_no_pair():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    shared = rng.integers(0, 1 << 62, 100, np.uint64)
+    # 75 of 100 in common with the first set are a similarity of 0.6, 95 of 0.9
+    sets = [shared, *(np.concatenate([shared[:k], rng.integers(0, 1 << 62, 100 - k, np.uint64)]) for k in (75, 95, 90, 60))]
+    odd = np.stack([simhash.parities(s) for s in sets])
+    same = [pa.array([v] * 5, pa.int64()) for v in (7, 100 << 32)]
+    ids = pa.array(range(5), pa.int64())
+    b = pa.RecordBatch.from_arrays([same[0], ids, ids, same[1], *(pa.array(c.copy()) for c in odd.T)], ["key", "doc_id", "root", "at", *simhash.PARITIES])
+    got = {p for out in simhash._across(0.8, True)([b]) for p in zip(out.column("a").to_pylist(), out.column("b").to_pylist())}
+    assert got == {(2, 0), (3, 0), (3, 2)}
+
+
 def test_keys_that_come_more_than_once_over_batches():
     import pyarrow as pa
 

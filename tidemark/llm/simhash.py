@@ -164,6 +164,9 @@ SOFT_SEGMENTS, NEAR, CLOSE_BITS, SAME_BITS = 6, 2, 40, 3
 CLOSEST = 3
 #: Bits of a shingle's hash, beside its shard's, by which it is counted: equal ones among rare shingles only change the order.
 KEY_BITS = 40
+#: Columns with the parities of a set: 256 bits in four longs.
+PARITIES = ("m0", "m1", "m2", "m3")
+_PREFIX = "key long, doc_id long, at long, m0 long, m1 long, m2 long, m3 long"
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -306,8 +309,14 @@ def _frequencies(packed: DataFrame, words: int, bits: int) -> DataFrame:
     return totals.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "totals"))).alias("found"))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """(4,) longs of 256 bits: whether an odd number of the hashes end in the bit's number.  Two sets differ in at least as many hashes as bits."""
+    odd = np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``rows(doc_id, text)`` -> (key, doc_id, at): of the first shingles of every set those that another set may have; two similar sets share one of them at least.
+    """``rows(doc_id, text)`` -> (key, doc_id, at, parities): of the first shingles of every set those that another set may have; two similar sets share one of them at least.
 
     ``at`` holds the size of the set and the place of the shingle in it (32 bits each).
     Sets of p and q at the similarity s share at least s * max(p, q), so one of p
@@ -329,7 +338,7 @@ def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
                 short = _short(hashes, bits)
                 # numbers over 16 bits are alike: they are sorted by radix
                 often = np.minimum(totals, 65535).astype(np.uint16)[np.searchsorted(np.unique(short), short)]
-                key, at, each = [], [], np.zeros(len(lengths), np.int64)
+                key, at, bits_of, each = [], [], [], np.zeros(len(lengths), np.int64)
                 first = np.where(lengths > 0, lengths - _least_shared(similarity, lengths) + 1, 0)
                 ends = np.cumsum(lengths)
                 for j, (z, n, m) in enumerate(zip(ends.tolist(), lengths.tolist(), first.tolist())):
@@ -339,11 +348,13 @@ def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
                         order = np.argsort(own, kind="stable")[alone:m]
                         key.append(hashes[z - n : z][order])
                         at.append(n << 32 | np.arange(alone, m, dtype=np.int64))
+                        bits_of.append(parities(hashes[z - n : z]))
                         each[j] = m - alone
                 if key:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.repeat(doc, each)), pa.array(np.concatenate(at))], ["key", "doc_id", "at"])
+                    odd = np.repeat(np.stack(bits_of), each[each > 0], axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.repeat(doc, each)), pa.array(np.concatenate(at)), *(pa.array(odd[:, c].copy()) for c in range(len(PARITIES)))], ["key", "doc_id", "at", *PARITIES])
 
-    out = both.mapInArrow(run, "key long, doc_id long, at long")
+    out = both.mapInArrow(run, _PREFIX)
     out._tidemark_path = packed._tidemark_path
     return out
 
@@ -367,13 +378,13 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(similarity: float, all_pairs: bool):
-    """Rows sorted by key and ``at`` -> (a, b): documents of different roots that may be similar by their sizes and the places of the key.
+    """Rows sorted by key and ``at`` -> (a, b): documents of different roots that may be similar by their sizes, the places of the key and the parities of their sets.
 
     Without ``all_pairs`` one pair of each document and root, the first found.
     """
-    names = ("key", "doc_id", "root", "at")
+    names = ("key", "doc_id", "root", "at", *PARITIES)
 
-    def bucket(doc: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def bucket(doc: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, odd: np.ndarray) -> Iterator[pa.RecordBatch]:
         out_a, out_b, size = [], [], 0
         ends = np.searchsorted(n, np.floor(n / similarity + 1e-6), side="right")  # n ascends
         for i in range(len(doc) - 1):
@@ -382,7 +393,9 @@ def _across(similarity: float, all_pairs: bool):
                 continue
             o = slice(i + 1, z)
             least = _least_shared(similarity / (1 + similarity), n[i] + n[o])
-            j = np.flatnonzero((root[o] != root[i]) & (np.minimum(n[i] - pos[i], n[o] - pos[o]) >= least)) + i + 1
+            j = np.flatnonzero((root[o] != root[i]) & (np.minimum(n[i] - pos[i], n[o] - pos[o]) >= least))
+            # sets that share enough differ in few hashes, and in no more parities
+            j = j[np.bitwise_count(odd[o][j] ^ odd[i]).sum(1, dtype=np.int64) <= (n[i] + n[o] - 2 * least)[j]] + i + 1
             if not all_pairs and len(j) > 1:
                 j = j[np.unique(root[j], return_index=True)[1]]
             if len(j):
@@ -396,12 +409,13 @@ def _across(similarity: float, all_pairs: bool):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
     def ready(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key, doc, root, at = (np.concatenate([p[c] for p in parts]) for c in range(4))
+        key, doc, root, at, *odd = (np.concatenate([p[c] for p in parts]) for c in range(len(names)))
+        odd = np.stack(odd, 1).view(np.uint64)
         n, pos = at >> 32, at & 0xFFFFFFFF
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
         for a, z in zip(starts[mixed].tolist(), np.append(starts[1:], len(key))[mixed].tolist()):
-            yield from bucket(doc[a:z], root[a:z], n[a:z], pos[a:z])
+            yield from bucket(doc[a:z], root[a:z], n[a:z], pos[a:z], odd[a:z])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -483,14 +497,14 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: f
     copies = cut(members.select(F.col("a").alias("doc_id")).distinct().join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_anti"), "copies")
     discard(pairs, prints, classes)
     spread = _prefixes(rows.join(if_few(copies), "doc_id", "left_anti"), words, similarity)
-    shared = cut(spread.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_several, "key long, doc_id long, at long"), "prefixes")
+    shared = cut(spread.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_several, _PREFIX), "prefixes")
     discard(spread)
     # twice the pairs between groups that share most, then all that are left; groups that nothing joined are met by the same pairs
     roots, joined = connected_components(links), True
     for all_pairs in (False, False, True):
         if not joined and not all_pairs:
             continue
-        placed = shared.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"), "at")
+        placed = shared.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"), "at", *PARITIES)
         met = placed.repartition(n, "key").sortWithinPartitions("key", "at").mapInArrow(_across(similarity, all_pairs), "a long, b long")
         if all_pairs:
             pairs = cut(met.distinct(), "pairs")

@@ -391,6 +391,30 @@ def test_masked_probabilities_add_up(spark):
     assert len(set(classes)) == len(often) == m.used[: 1 + masked.FREQUENT].sum()
 
 
+def test_masked_network_makes_the_powers_of_each_class_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    used = np.arange(masked.CLASSES) % 5 > 0
+    around, target = rng.integers(0, masked.CLASSES, (2 * masked.SIDE, 300)), rng.choice(np.flatnonzero(used), 300)
+    made, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *a, **b: made.append(x.size) or exp(x, *a, **b))
+    for scale in (1, 200):  # with large weights the powers are of differences
+        vector = masked.Network(used=used).vector() * scale
+        net = masked.Network(vector, used)
+        hidden, logp = net.forward(around)
+        assert np.allclose(net.of(around, target), logp[np.arange(300), target], rtol=1e-5, atol=1e-4) and np.isfinite(net.of(around, target)).all()
+        gap = exp(logp.astype(float))
+        gap[np.arange(300), target] -= 1
+        back = (gap @ net.out.T.astype(float)) * (1 - hidden.astype(float) ** 2)
+        want = net.embed.astype(float)
+        for i in range(2 * masked.SIDE):
+            total = np.zeros((masked.CLASSES, masked.WIDTH))
+            np.add.at(total, around[i], back)
+            want[i] -= masked.RATE * total / (np.bincount(around[i], minlength=masked.CLASSES)[:, None] + 8)
+        made.clear()
+        net.train(around, target)
+        assert sum(made) == 300 * masked.CLASSES and np.allclose(net.embed, want, rtol=1e-4, atol=1e-4 * scale)
+
+
 def test_masked_scores_do_not_depend_on_partitions(spark):
     rows = [(r[0], r[1]) for r in corpus(100, 3)] + [(None, "no id"), (None, "no id"), (7, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

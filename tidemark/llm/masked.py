@@ -126,6 +126,11 @@ def lowered(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "surrogatepass")
 
 
+@lru_cache(maxsize=1)
+def _ones() -> np.ndarray:
+    return np.ones(CLASSES, np.float32)
+
+
 class Network:
     """The bidirectional window network; ``used`` tells which classes there are."""
 
@@ -143,33 +148,54 @@ class Network:
     def vector(self) -> np.ndarray:
         return np.concatenate([self.embed.ravel(), self.out.ravel(), self.bias])
 
-    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden layers and log-probabilities of the classes for windows (2 * SIDE, n) of neighbours."""
-        hidden = self.embed[0][around[0]]
+    def _hidden(self, around: np.ndarray) -> np.ndarray:
+        hidden = self.embed[0].take(around[0], 0)
         for i in range(1, 2 * SIDE):
-            hidden += self.embed[i][around[i]]
-        np.tanh(hidden, out=hidden)
+            hidden += self.embed[i].take(around[i], 0)
+        return np.tanh(hidden, out=hidden)
+
+    def _logits(self, hidden: np.ndarray) -> np.ndarray:
+        """Logits of the classes, less the largest of a row only where their powers might be too large or too small for a float."""
         logits = hidden @ self.out
         logits += self.bias + self.off
-        logits -= logits.max(1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(1, keepdims=True))
+        if (np.abs(self.out).sum(0) + np.abs(self.bias)).max() > 60:  # hidden layers are from -1 to 1
+            logits -= logits.max(1, keepdims=True)
+        return logits
+
+    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden layers and log-probabilities of the classes for windows (2 * SIDE, n) of neighbours."""
+        hidden = self._hidden(around)
+        logits = self._logits(hidden)
+        logits -= np.log(np.exp(logits) @ _ones())[:, None]
         return hidden, logits
 
+    def of(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log-probability of the target's class alone."""
+        logits = self._logits(self._hidden(around))
+        own = logits[np.arange(len(target)), target]
+        return own - np.log(np.exp(logits, out=logits) @ _ones())
+
     def train(self, around: np.ndarray, target: np.ndarray) -> None:
         """One step of gradient descent on the mean negative log-probability of the targets."""
         n = len(target)
-        hidden, logp = self.forward(around)
-        gap = np.exp(logp, out=logp)
+        hidden = self._hidden(around)
+        gap = self._logits(hidden)
+        np.exp(gap, out=gap)
+        gap *= (1 / (gap @ _ones()))[:, None]
         gap[np.arange(n), target] -= 1
         back = (gap @ self.out.T) * (1 - hidden * hidden)
         rate = np.float32(RATE)
         self.out -= rate * np.clip(hidden.T @ gap / np.float32(n) * WIDTH, -CLIP, CLIP)
-        self.bias -= rate * gap.sum(0) / np.float32(n) * WIDTH
+        self.bias -= rate * (np.ones(n, np.float32) @ gap) / np.float32(n) * WIDTH
+        back = back.astype(np.float64)
         for i in range(2 * SIDE):
-            at = (around[i][:, None] * WIDTH + np.arange(WIDTH)).ravel()
-            total = np.bincount(at, back.ravel(), CLASSES * WIDTH).reshape(CLASSES, WIDTH)
+            # sums over runs of equal classes, which a radix sort puts together
+            order = np.argsort(around[i].astype(np.uint8), kind="stable")
+            count = np.bincount(around[i], minlength=CLASSES)
+            some = np.flatnonzero(count)
+            total = np.add.reduceat(back[order], (np.cumsum(count) - count)[some], axis=0)
             # each neighbour's embedding moves by its mean gradient in the step
-            self.embed[i] -= rate * (total / (np.bincount(around[i], minlength=CLASSES)[:, None] + 8)).astype(np.float32)
+            self.embed[i][some] -= rate * (total / (count[some, None] + 8)).astype(np.float32)
 
 
 class MaskedModel:
@@ -227,8 +253,7 @@ class MaskedModel:
         around = self.windows(w, classes)
         out = np.zeros(len(classes))
         for i in range(0, len(classes), STEP):
-            _, logp = net.forward(around[:, i : i + STEP])
-            out[i : i + STEP] = logp[np.arange(len(logp)), classes[i : i + STEP]]
+            out[i : i + STEP] = net.of(around[:, i : i + STEP], classes[i : i + STEP])
         other = classes > FREQUENT
         return out + np.where(other, self.spelled(w) - self.mass[np.maximum(classes - 1 - FREQUENT, 0)], 0)
 
@@ -385,8 +410,8 @@ def fit(docs: DataFrame, text: str = "text") -> MaskedModel:
     return model
 
 
-def _own_keys(m: MaskedModel, sizes: pa.ListScalar, data: pa.BinaryScalar, bits: int) -> tuple[np.ndarray, np.ndarray, list]:
-    """(keys, documents, chunks) of a block: the distinct keys ascending, in how many documents each is; per chunk its words, and for each key of a word in which document."""
+def _own_keys(m: MaskedModel, sizes: pa.ListScalar, data: pa.BinaryScalar, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """(keys, documents, places, chunks) of a block: the distinct keys ascending, in how many documents each is, and of all keys which of these they are; per chunk its words, and for each key of a word in which document."""
     chunks, all_keys, all_docs = [], [], []
     for first, texts in packed_texts(sizes, data):
         w = Words(texts)
@@ -397,10 +422,14 @@ def _own_keys(m: MaskedModel, sizes: pa.ListScalar, data: pa.BinaryScalar, bits:
     key, doc = np.concatenate([np.zeros(0, np.uint64), *all_keys]), np.concatenate([np.zeros(0, np.int64), *all_docs])
     order = np.argsort(key, kind="stable")  # documents ascend within a key
     key, doc = key[order], doc[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-    distinct, count = np.unique(key[new], return_counts=True)
-    return distinct, count.astype(np.uint32), chunks
+    head = np.ones(len(key), bool)
+    head[1:] = key[1:] != key[:-1]
+    new = head.copy()
+    new[1:] |= doc[1:] != doc[:-1]
+    group = np.cumsum(head, dtype=np.int32) - np.int32(1)
+    places = np.empty(len(key), np.int32)
+    places[order] = group
+    return key[head], np.bincount(group[new]).astype(np.uint32), places, chunks
 
 
 def _six(keys: np.ndarray) -> bytes:
@@ -428,7 +457,7 @@ def _asked(packed: DataFrame, frozen, bits: int, counts: bool, answers: bool) ->
         m = frozen.value
         for b in batches:
             for i in range(b.num_rows):
-                distinct, count, _ = _own_keys(m, b.column(1)[i], b.column(2)[i], bits)
+                distinct, count, *_ = _own_keys(m, b.column(1)[i], b.column(2)[i], bits)
                 shard = (distinct >> np.uint64(CONTEXT_BITS + WORD_BITS)).astype(np.int64)
                 starts = np.flatnonzero(np.diff(shard, prepend=-1)) if len(shard) else np.zeros(0, int)
                 ends = np.append(starts[1:], len(shard))
@@ -445,28 +474,24 @@ def _totals(asked: DataFrame) -> DataFrame:
         wanted, keys, counts = [], [], []
         for b in batches:
             for i in range(b.num_rows):
-                k = _whole(b.column("keys")[i].as_py())
-                if b.column("counts")[i].as_py():
-                    keys.append(k)
-                    counts.append(unpressed(b.column("documents")[i].as_py()))
-                if b.column("answers")[i].as_py():
-                    wanted.append((b.column("block")[i].as_py(), k))
-        k = np.concatenate([np.zeros(0, np.uint64), *keys])
-        n = np.concatenate([np.zeros(0, np.int64), *counts])
+                keys.append(_whole(b.column("keys")[i].as_py()))
+                # who only asks counts for nothing
+                counts.append(unpressed(b.column("documents")[i].as_py()) if b.column("counts")[i].as_py() else np.zeros(len(keys[-1]), "<u4"))
+                wanted.append(b.column("block")[i].as_py() if b.column("answers")[i].as_py() else None)
+        k = np.concatenate(keys)
         order = np.argsort(k, kind="stable")
-        k, n = k[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
-        known, docs = k[first], np.add.reduceat(n, first) if len(k) else n
-        context = known >> np.uint64(WORD_BITS)
-        head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(k) else np.zeros(0, int)
-        all_of = np.add.reduceat(docs, head) if len(k) else docs
-        contexts = context[head]
-        for block, own in wanted:
-            at, c = np.searchsorted(known, own), np.searchsorted(contexts, own >> np.uint64(WORD_BITS))
-            at, c = np.minimum(at, max(len(known) - 1, 0)), np.minimum(c, max(len(contexts) - 1, 0))
-            d = np.where(known[at] == own, docs[at], 0) if len(known) else np.zeros(len(own))
-            t = np.where(contexts[c] == own >> np.uint64(WORD_BITS), all_of[c], 0) if len(known) else np.zeros(len(own))
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([key[0].as_py()], pa.int32()), pa.array([pressed(np.concatenate([d, t]))], pa.binary())], ["block", "shard", "totals"])
+        k, n = k[order], np.concatenate(counts)[order]
+        totals = np.empty((2, len(k)), np.int64)
+        for row, x in zip(totals, (k, k >> np.uint64(WORD_BITS))):
+            head = np.ones(len(x), bool)
+            head[1:] = x[1:] != x[:-1]
+            group = np.cumsum(head) - 1
+            row[order] = np.bincount(group, n)[group]
+        end = 0
+        for block, own in zip(wanted, keys):
+            end += len(own)
+            if block is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([key[0].as_py()], pa.int32()), pa.array([pressed(totals[:, end - len(own) : end].ravel())], pa.binary())], ["block", "shard", "totals"])
 
     return asked.groupBy("shard").applyInArrow(run, "block long, shard int, totals binary")
 
@@ -496,19 +521,19 @@ def score_blocks(packed: DataFrame, model: MaskedModel, corpus: DataFrame | None
         for b in batches:
             for i in range(b.num_rows):
                 rows = b.column(0)[i].values
-                distinct, _, chunks = _own_keys(m, b.column(1)[i], b.column(2)[i], bits)
+                _, _, places_of, chunks = _own_keys(m, b.column(1)[i], b.column(2)[i], bits)
                 parts = [unpressed(x["totals"]) for x in b.column(3)[i].as_py() or []]
                 d = np.concatenate([np.zeros(0), *(p[: len(p) // 2] for p in parts)])
                 t = np.concatenate([np.zeros(0), *(p[len(p) // 2 :] for p in parts)])
-                n, total = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+                n, total, done = np.zeros(len(rows), np.int64), np.zeros(len(rows)), 0
                 for first, w, which, key in chunks:
                     if not len(w.hash):
                         continue
                     logp = m.base(w)
-                    at = np.searchsorted(distinct, key)
+                    at, done = places_of[done : done + len(key)], done + len(key)
                     # the document itself stands once in its keys' counts, and with each of its words in a context in those of the context
                     context = key >> np.uint64(WORD_BITS)
-                    order = np.lexsort((key, context, w.text[which]))
+                    order = np.lexsort((key, w.text[which]))  # a context is the beginning of its keys
                     k, doc = key[order], w.text[which][order]
                     fresh_key = np.ones(len(k), bool)
                     fresh_key[1:] = (k[1:] != k[:-1]) | (doc[1:] != doc[:-1])

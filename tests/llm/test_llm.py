@@ -4,6 +4,7 @@ import hashlib
 import os
 import pickle
 import random
+import time
 from collections import Counter
 
 import duckdb
@@ -142,6 +143,59 @@ def test_dedup_stage_keeps_one_of_each_group(spark, odd, empty):
     assert simhash.dedup_stage(spark, empty, "").count() == 0
 
 
+def _shuffled(spark):
+    """Bytes of the shuffle files that are there."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.length() for f in (files.apply(i) for i in range(files.length())) if f.getName().startswith("shuffle_"))
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    keep = spark.conf.get(common._CLEANUP)
+    before = _shuffled(spark)
+    rows = spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("x")).repartition(4, "id")
+    out = common.cut(rows)
+    for _ in range(50):
+        if _shuffled(spark) <= before:
+            break
+        time.sleep(0.1)
+    # over 1 MB, that nothing else deletes before the driver's garbage is collected
+    assert _shuffled(spark) <= before and out.count() == 20_000 and spark.conf.get(common._CLEANUP) == keep
+    common.discard(out)
+
+
+@pytest.mark.parametrize("most_bits", [common.MOST_BITS, 1 << 15])
+def test_rows_among_many_ids_are_not_shuffled_whole(spark, monkeypatch, most_bits):
+    monkeypatch.setattr(common, "MOST_BROADCAST", 100)
+    monkeypatch.setattr(common, "MOST_BITS", most_bits)
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(8_000).select(F.when(F.col("id") % 100 != 7, F.col("id")).alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"), F.lit(1).alias("_map"))
+        ids = common.cut(spark.range(0, 11_000, 20).select(F.col("id").alias("doc_id")))
+        wanted = set(range(0, 8_000, 20))
+        start = _shuffled(spark)
+        semi = common.among(rows, ids).collect()
+        anti = common.among(rows, ids, how="left_anti").collect()
+        sent = _shuffled(spark) - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    assert sorted(r["doc_id"] for r in semi) == sorted(wanted) and semi[0].asDict().keys() == {"doc_id", "text", "_map"}
+    assert Counter(r["doc_id"] for r in anti) == Counter({i: 1 for i in range(8_000) if i % 100 != 7 and i not in wanted} | {None: 80})
+    if most_bits == common.MOST_BITS:
+        assert sent < 8_000 * 128 // 4  # of 8,000 texts of 128 characters, twice
+    common.discard(ids)
+
+
+def test_dedup_stage_of_many_ids_equals_that_of_few(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(30)) for _ in range(60)]
+    texts += [t + " end" for t in texts[:20]] + texts[10:40] + [None, ""]
+    docs = spark.createDataFrame([(i if i != 5 else None, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    few = Counter(map(tuple, simhash.dedup_stage(spark, docs, "").collect()))
+    monkeypatch.setattr(common, "MOST_BROADCAST", 3)
+    assert Counter(map(tuple, simhash.dedup_stage(spark, docs, "").collect())) == few and sum(few.values()) == 61 + 1
+
+
 def test_similar_documents_equal_brute_force_in_families_of_edits(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 7)))

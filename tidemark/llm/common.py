@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,6 +15,9 @@ BATCH_ROWS, BATCH_BYTES = 256, 1 << 24
 
 #: Most rows of a table of ids that is broadcast: some MB.
 MOST_BROADCAST = 100_000
+#: Bits for each id in a map of more ids than that, and of a map at most: 8 MB.  A slot of it has so many.
+ID_BITS, MOST_BITS, SLOT_BITS = 32, 1 << 26, 1 << 15
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,11 +44,23 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run within are deleted when it ends: they stay else until the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame, what: str = "table") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: its lineage ends there, and a lost executor costs nothing that was written."""
+    """Writes ``df`` to the shared folder and reads it again: its lineage and its shuffle files end there, and a lost executor costs nothing that was written."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
+    with freeing(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
@@ -73,6 +89,28 @@ def if_few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def among(rows: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "left_semi") -> DataFrame:
+    """``rows`` whose ``key`` is in ``ids`` (left_semi) or is not (left_anti); ``ids`` is a written table of that column.
+
+    Up to ``MOST_BROADCAST`` ids are broadcast.  Of more a map of hashed bits is,
+    and only the rows that it marks are shuffled to be compared: those of the
+    ids and, up to ``MOST_BITS`` bits, some 3 % of the others.
+    """
+    n = ids.count()
+    if n <= MOST_BROADCAST:
+        return rows.join(F.broadcast(ids), key, how)
+    bits = min(MOST_BITS, 1 << (ID_BITS * n - 1).bit_length())
+    slot, at, of = (fresh(rows, name) for name in ("_slot", "_at", "_map"))
+    h = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    placed = (F.floor(h / SLOT_BITS).alias(slot), (h % SLOT_BITS).alias(at))
+    maps = ids.select(*placed).groupBy(slot).agg(F.bitmap_construct_agg(at).alias(of))
+    byte = f"cast(conv(hex(substring(`{of}`, cast(`{at}` div 8 as int) + 1, 1)), 16, 10) as int)"
+    marked = F.expr(f"coalesce(shiftright({byte}, cast(`{at}` % 8 as int)) & 1, 0)") == 1
+    looked = rows.select("*", *placed).join(F.broadcast(maps), slot, "left")
+    found = looked.where(marked).select(*rows.columns).join(ids, key, how).select(*rows.columns)
+    return found if how == "left_semi" else looked.where(~marked).select(*rows.columns).unionAll(found)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` doesn't have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

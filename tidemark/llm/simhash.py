@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import cut, discard, fresh, if_few, small_batches, table
+from .common import among, cut, discard, freeing, fresh, small_batches, table
 from .components import connected_components
 from .golay import codewords, nearby
 from .masked import SHARD_KEYS, pack, packed_texts, pressed, unpressed
@@ -315,8 +315,9 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+def _prefixes(rows: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``rows(doc_id, text)`` -> (key, doc_id, at, parities): of the first shingles of every set those that another set may have; two similar sets share one of them at least.
+    Two tables to discard when those are written come with them.
 
     ``at`` holds the size of the set and the place of the shingle in it (32 bits each).
     Sets of p and q at the similarity s share at least s * max(p, q), so one of p
@@ -326,7 +327,8 @@ def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     packed = pack(rows, prepare=_plain)
     total = packed.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     bits = max(0, (total // 6 // SHARD_KEYS).bit_length())
-    found = _frequencies(packed, words, bits).withColumnRenamed("block", "b")
+    # written: what is sent for it is gone before the blocks and the prefixes are shuffled
+    found = cut(_frequencies(packed, words, bits).withColumnRenamed("block", "b"), "found")
     both = packed.hint("merge").join(found, F.col("block") == F.col("b")).select("rows", "sizes", "data", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,9 +356,7 @@ def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
                     odd = np.repeat(np.stack(bits_of), each[each > 0], axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.repeat(doc, each)), pa.array(np.concatenate(at)), *(pa.array(odd[:, c].copy()) for c in range(len(PARITIES)))], ["key", "doc_id", "at", *PARITIES])
 
-    out = both.mapInArrow(run, _PREFIX)
-    out._tidemark_path = packed._tidemark_path
-    return out
+    return both.mapInArrow(run, _PREFIX), packed, found
 
 
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,7 +444,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float)
     Only the texts of documents in a pair are shuffled.
     """
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
-    texts = cut(rows.join(if_few(ids), "doc_id", "left_semi").select("doc_id", "text"), "texts")
+    texts = cut(among(rows, ids).select("doc_id", "text"), "texts")
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -496,9 +496,10 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: f
     # of equal sets one: the first document goes on, and every document that is the first of any of its texts
     copies = cut(members.select(F.col("a").alias("doc_id")).distinct().join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_anti"), "copies")
     discard(pairs, prints, classes)
-    spread = _prefixes(rows.join(if_few(copies), "doc_id", "left_anti"), words, similarity)
+    with freeing(spark):
+        spread, *sources = _prefixes(among(rows, copies, how="left_anti"), words, similarity)
     shared = cut(spread.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_several, _PREFIX), "prefixes")
-    discard(spread)
+    discard(*sources)
     # twice the pairs between groups that share most, then all that are left; groups that nothing joined are met by the same pairs
     roots, joined = connected_components(links), True
     for all_pairs in (False, False, True):
@@ -527,5 +528,5 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: f
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays, and every row without doc_id."""
-    gone = similar_documents(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = cut(similar_documents(docs).where("doc_id <> component_id").select("doc_id"), "gone")
+    return among(docs, gone, how="left_anti").select(*docs.columns)

@@ -5,10 +5,12 @@ import os
 import pickle
 import random
 import time
+import weakref
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -831,3 +833,20 @@ def test_words_do_not_depend_on_the_pieces_they_are_made_in(monkeypatch):
         assert pieces[0][0] == 0 and pieces[-1][1] == len(w.sizes) and all(a[1] == b[0] for a, b in zip(pieces, pieces[1:]))
         assert (w.hash == whole.hash).all() and np.allclose(model.spelled(w), spelled, rtol=1e-12)
     assert list(masked.Words([]).pieces()) == []
+
+
+def test_a_task_of_another_operator_drops_the_encoder(spark, monkeypatch):
+    """A worker that goes from stage to stage of the pipeline does not hold what all of them keep."""
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    ran = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: ran.append(f) or self)
+    bpe.encode(docs)
+    simhash._prints(docs, 5)
+    encode, prints = ran
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["one two three four five six"]})
+    assert list(encode(iter([rows])))[0].num_rows == 1
+    held = weakref.ref(bpe.encoder(bpe.vocabulary()))
+    assert list(encode(iter([rows])))[0].num_rows == 1
+    assert held() is not None and held() is bpe.encoder(bpe.vocabulary())
+    assert list(prints(iter([rows])))[0].num_rows == 1
+    assert held() is None

@@ -15,14 +15,13 @@ import json
 import sys
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fresh, small_batches, table
+from .common import fresh, in_arrow, keep, small_batches, table
 from .mixing import in_mixture
 
 #: Fixed value: how byte-level BPE cuts a text into pieces.
@@ -134,9 +133,9 @@ class BytePairEncoding:
         return b"".join([strings.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> BytePairEncoding:
-    return BytePairEncoding(path)
+    """The encoder of a file, which the worker keeps."""
+    return keep(f"bpe {path}", lambda: BytePairEncoding(path))
 
 
 def packed(ids: list[int]) -> bytes:
@@ -187,7 +186,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", with_id
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], [*b.schema.names[:-1], *new])
 
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return kept.mapInArrow(run, f"{schema}, {added}".lstrip(", "))
+    return in_arrow(kept, run, f"{schema}, {added}".lstrip(", "), f"bpe {path}")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

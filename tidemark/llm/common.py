@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import importable
@@ -18,6 +21,8 @@ MOST_BROADCAST = 100_000
 #: Bits for each id in a map of more ids than that, and of a map at most: 8 MB.  A slot of it has so many.
 ID_BITS, MOST_BITS, SLOT_BITS = 32, 1 << 26, 1 << 15
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What this worker keeps from task to task.
+_KEPT: dict[str, Any] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +36,40 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def keep(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in a worker, which keeps it until a task comes that does not name it (``in_arrow``)."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def keep_only(name: str | None) -> None:
+    """Drops what the worker keeps for others: operators that follow one another share its memory."""
+    gone = [k for k in _KEPT if k != name]
+    for k in gone:
+        del _KEPT[k]
+    if gone:
+        trim()
+
+
+def trim() -> None:
+    """Gives memory that is free back to the system: Arrow's pool and the C library hold the most that any task took until then."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc only
+        give(0)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: Any, keeps: str | None = None) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` that leaves a worker no larger than it must be: it keeps what ``run`` keeps by the name ``keeps``, nothing else."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(keeps)
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(lean, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one beside the warehouse where that is unset and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import fresh, small_batches, table
+from .common import fresh, in_arrow, small_batches, table
 
 UNKNOWN = "und"
 #: Characters of labelled text per language that an automaton is built from, of one row of it, and of all languages together.
@@ -247,7 +247,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
                     score[i] = float(1 / np.exp2(np.minimum(row[k] - row, 0) * min(len(texts[i]), 100)).sum())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score", "lang_bits"])
 
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double, lang_bits double".lstrip(", "))
+    return in_arrow(kept, run, f"{schema}, lang_pred string, score double, lang_bits double".lstrip(", "))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

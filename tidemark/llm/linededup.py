@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, discard, fresh, let, small_batches, table
+from .common import cut, discard, fresh, in_arrow, let, small_batches, table, trim
 
 #: A line is dropped if its key has at least this many characters and is in at least this many documents.
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -188,6 +188,8 @@ def _filters(changes: DataFrame) -> DataFrame:
         for k in keys[~add].tolist():
             f.delete(k)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([f.dump()], pa.binary())], ["shard", "filter"])
+        del f, waiting, keys, add
+        trim()
 
     return changes.groupBy("shard").applyInArrow(run, "shard int, filter binary")
 
@@ -260,7 +262,7 @@ class LineIndex:
                 keep = pa.array(hit)
                 yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("doc_id", "row", "pos", "k1", "k2")], ["doc_id", "row", "pos", "k1", "k2"])
 
-        return both.mapInArrow(run, "doc_id long, row long, pos int, k1 long, k2 long")
+        return in_arrow(both, run, "doc_id long, row long, pos int, k1 long, k2 long")
 
     def dropped(self, lines: DataFrame) -> DataFrame:
         """(doc_id, row, gone): the positions of the lines that each row loses.

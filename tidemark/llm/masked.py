@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import cut, discard, fresh, small_batches, table
+from .common import cut, discard, fresh, in_arrow, small_batches, table
 
 #: Frequent words with a class of their own, and groups of the first bytes of all others.
 FREQUENT, GROUPS = 63, 64
@@ -305,7 +305,7 @@ def pack(docs: DataFrame, text: str = "text", prepare: Callable[[str | None], by
         if held:
             yield done()
 
-    return cut(dealt.mapInArrow(run, schema), "blocks")
+    return cut(in_arrow(dealt, run, schema), "blocks")
 
 
 def packed_texts(sizes: pa.ListScalar, data: pa.BinaryScalar) -> Iterator[tuple[int, list[bytes]]]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import among, cut, discard, freeing, fresh, small_batches, table
+from .common import among, cut, discard, freeing, fresh, in_arrow, small_batches, table, trim
 from .components import connected_components
 from .golay import codewords, nearby
 from .masked import SHARD_KEYS, pack, packed_texts, pressed, unpressed
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ("doc_
             fps = np.fromiter((fingerprint(t, words) for t in b.column(b.num_columns - 1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], [*b.schema.names[:-1], "fp"])
 
-    return kept.mapInArrow(run, f"{schema}, fp long")
+    return in_arrow(kept, run, f"{schema}, fp long")
 
 
 def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,8 +111,8 @@ def links(distinct: DataFrame) -> DataFrame:
 
     # a fingerprint has some 85 fuzzy keys: dealt anew, as there are few files of them
     distinct = distinct.repartition(max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "fp")
-    left = distinct.mapInArrow(own, "key long, a long")
-    right = distinct.mapInArrow(fuzzy, "key long, b long")
+    left = in_arrow(distinct, own, "key long, a long")
+    right = in_arrow(distinct, fuzzy, "key long, b long")
     return left.hint("merge").join(right, (left.key == right.key) & (left.a > right.b) & (F.bit_count(left.a.bitwiseXOR(right.b)) <= MAX_BITS)).select("a", "b")
 
 
@@ -214,7 +214,7 @@ def _prints(docs: DataFrame, words: int) -> DataFrame:
             k = soft_keys(sums)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array([len(sets[i]) for i in some], pa.int32()), *(pa.array(whole[:, j].copy()) for j in range(2)), *(pa.array(bits[:, j].copy()) for j in range(3)), pa.ListArray.from_arrays(np.arange(0, k.size + 1, max(k.shape[1], 1), dtype=np.int32) if len(some) else pa.array([0], pa.int32()), pa.array(k.ravel()))], ["doc_id", "n", "s0", "s1", "f0", "f1", "f2", "keys"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s0 long, s1 long, f0 long, f1 long, f2 long, keys array<long>")
+    return in_arrow(docs.where("doc_id is not null").select("doc_id", "text"), run, "doc_id long, n int, s0 long, s1 long, f0 long, f1 long, f2 long, keys array<long>")
 
 
 _BITS = np.array([(1 << 64) - 1, (1 << 64) - 1, (1 << 10) - 1], np.uint64)  # 138 bits
@@ -303,8 +303,10 @@ def _frequencies(packed: DataFrame, words: int, bits: int) -> DataFrame:
         ends = np.cumsum([len(k) for k in keys])
         for block, k, z in zip(blocks, keys, ends.tolist()):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([key[0].as_py()], pa.int32()), pa.array([pressed(total[z - len(k) : z])], pa.binary())], ["block", "shard", "totals"])
+        del blocks, keys, counts, which, total, k
+        trim()
 
-    asked = packed.select("block", "sizes", "data").mapInArrow(ask, "shard int, block long, keys binary, documents binary")
+    asked = in_arrow(packed.select("block", "sizes", "data"), ask, "shard int, block long, keys binary, documents binary")
     totals = asked.groupBy("shard").applyInArrow(add, "block long, shard int, totals binary")
     return totals.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "totals"))).alias("found"))
 
@@ -356,7 +358,7 @@ def _prefixes(rows: DataFrame, words: int, similarity: float) -> tuple[DataFrame
                     odd = np.repeat(np.stack(bits_of), each[each > 0], axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.repeat(doc, each)), pa.array(np.concatenate(at)), *(pa.array(odd[:, c].copy()) for c in range(len(PARITIES)))], ["key", "doc_id", "at", *PARITIES])
 
-    return both.mapInArrow(run, _PREFIX), packed, found
+    return in_arrow(both, run, _PREFIX), packed, found
 
 
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,7 +463,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float)
             keep = pa.array(fine, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
-    out = cut(both.mapInArrow(verify, "a long, b long"), "links")
+    out = cut(in_arrow(both, verify, "a long, b long"), "links")
     discard(ids, texts)
     return out
 
@@ -488,7 +490,7 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: f
     known = members.unionByName(wordless.join(F.broadcast(least)).select(F.col("doc_id").alias("a"), "b").where("a <> b"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
     flat = classes.select(F.col("first").alias("doc_id"), "f0", "f1", "f2", F.explode("keys").alias("key"))
-    proposed = flat.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_propose, "a long, b long, bits int").where("a <> b")
+    proposed = in_arrow(flat.repartition(n, "key").sortWithinPartitions("key", "doc_id"), _propose, "a long, b long, bits int").where("a <> b")
     # at most one a bucket; the closest join a group with few texts compared, and whatever they leave apart the prefixes find
     closest = proposed.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("bits", "b"))), 1, CLOSEST).alias("x"))
     pairs = cut(closest.select("a", F.explode("x.b").alias("b")), "pairs")
@@ -498,7 +500,7 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: f
     discard(pairs, prints, classes)
     with freeing(spark):
         spread, *sources = _prefixes(among(rows, copies, how="left_anti"), words, similarity)
-    shared = cut(spread.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_several, _PREFIX), "prefixes")
+    shared = cut(in_arrow(spread.repartition(n, "key").sortWithinPartitions("key"), _several, _PREFIX), "prefixes")
     discard(*sources)
     # twice the pairs between groups that share most, then all that are left; groups that nothing joined are met by the same pairs
     roots, joined = connected_components(links), True
@@ -506,7 +508,7 @@ def similar_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: f
         if not joined and not all_pairs:
             continue
         placed = shared.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"), "at", *PARITIES)
-        met = placed.repartition(n, "key").sortWithinPartitions("key", "at").mapInArrow(_across(similarity, all_pairs), "a long, b long")
+        met = in_arrow(placed.repartition(n, "key").sortWithinPartitions("key", "at"), _across(similarity, all_pairs), "a long, b long")
         if all_pairs:
             pairs = cut(met.distinct(), "pairs")
         else:
